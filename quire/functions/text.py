@@ -24,6 +24,11 @@ def collapse_ws(x) -> Column:
     return F.trim(F.regexp_replace(_c(x), WS_RUN, " "))
 
 
+def py_strip(x) -> Column:
+    """Python ``str.strip()``: drop leading/trailing whitespace of any kind."""
+    return F.regexp_replace(_c(x), f"^{WS_RUN}|{WS_RUN}$", "")
+
+
 def extract_id(x) -> Column:
     """FN-02: first ``dddd.dddd(d)`` in the text, version dropped; null if none."""
     return F.nullif(F.regexp_extract(_c(x), ID_PATTERN, 1), F.lit(""))
@@ -47,9 +52,9 @@ def primary_first(primary, categories) -> Column:
     return F.array_distinct(F.filter(allc, lambda t: t.isNotNull() & (t != "")))
 
 
-def pdf_link(links) -> Column:
+def pdf_link(links, title: str = "title", href: str = "href") -> Column:
     """FN-13: href of the first link titled ``pdf``; null if none."""
-    return F.get(F.filter(_c(links), lambda l: l["title"] == "pdf"), 0)["href"]
+    return F.get(F.filter(_c(links), lambda lk: lk[title] == "pdf"), 0)[href]
 
 
 def parse_day_month_year(x) -> Column:
@@ -61,13 +66,13 @@ def parse_day_month_year(x) -> Column:
     pat = r"(\d{1,2})\s+(\w+)\s+(\d{4})"
     txt = F.concat_ws(" ", F.regexp_extract(x, pat, 1), F.regexp_extract(x, pat, 2),
                       F.regexp_extract(x, pat, 3))
-    return F.when(x.rlike(pat), F.try_to_date(txt, F.lit("d MMM yyyy")))
+    return F.when(x.rlike(pat), F.try_to_date(txt, "d MMM yyyy"))
 
 
 def valid_date(s) -> Column:
     """FL-06: ``YYYY-M-D`` with or without zero padding; impossible dates -> null."""
     s = _c(s)
-    return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, F.lit("yyyy-M-d")))
+    return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d"))
 
 
 def encode_array(a) -> Column:

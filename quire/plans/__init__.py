@@ -1,6 +1,6 @@
 """Composite plans and the registry of named queries."""
 
-from . import q_catalog, q_triage  # noqa: F401  (registers queries)
+from . import q_catalog, q_sources, q_triage  # noqa: F401  (registers queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
