@@ -66,6 +66,7 @@ select p.paper_id, p.doc_id, p.title, p.authors, p.abstract, p.comment, p.catego
   f.last_note as favourite_note, cast(null as varchar) as thumbnail,
   cast(null as varchar) as code_url, cast(null as varchar) as project_url
 from papers p left join folded f on f.doc_id = p.doc_id"""),
+    "images": (("page_html",), None),
 }
 
 
@@ -86,8 +87,16 @@ def _order(names) -> list[str]:
 
 def with_views(views, body: str, **ctes: str) -> str:
     """``WITH <fixture views>, <extra ctes> <body>``."""
-    parts = [f"{n} as ({VIEWS[n][1]}\n)" for n in _order(views)]
+    parts = [f"{n} as ({_view_sql(n)}\n)" for n in _order(views)]
     parts += [f"{k} as ({v}\n)" for k, v in ctes.items()]
     if not parts:
         return body
     return "with " + ",\n".join(parts) + "\n" + body
+
+
+def _view_sql(name: str) -> str:
+    if name == "images":
+        from .text_sql import image_candidates_sql
+        return (f"select distinct img as url, cast((length(img) * 131) % 1000 as bigint) as n_bytes "
+                f"from (select unnest({image_candidates_sql('html')}) as img from page_html)")
+    return VIEWS[name][1]

@@ -168,3 +168,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = fold_interactions(interactions(spark, sf_dir)
                                .withColumn("paper_id", paper_id_of(F.col("doc_id"))))
     return apply_interactions(cat, folded)
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched-image metadata (url, n_bytes) for every candidate image of the
+    project pages; sizes follow a fixed rule so some fall under the minimum."""
+    from ..functions.urls import image_candidates
+
+    ph = page_html(spark, sf_dir)
+    urls = ph.select(F.explode(image_candidates("html", F.col("url"))).alias("url")).distinct()
+    return urls.select("url", ((F.length("url") * 131) % 1000).cast("long").alias("n_bytes"))
