@@ -47,3 +47,10 @@ def q_stream_ingest(spark, sf):
     recs.write.partitionBy("drop").json(f"{root}/landing")
     ST.stream_ingest(spark, f"{root}/landing", f"{root}/catalog", "2024-02-01")
     return catalog_store.read_catalog(spark, f"{root}/catalog").select("paper_id", "title", "date_added")
+
+
+@register("flagship")
+def q_flagship(spark, sf):
+    """The end-to-end plan of ``entry`` (rows-only check; its pieces have oracles)."""
+    from .flagship import flagship
+    return flagship(spark, sf)
