@@ -15,12 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
+def _decode(s: pd.Series) -> pd.Series:
     return s.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
 
 
+# Marked non-deterministic only so that Catalyst never duplicates the call
+# (e.g. by pushing a filter on its result below the projection).
+_unescape = F.pandas_udf(_decode, T.StringType()).asNondeterministic()
+
+
 def unescape_html(x) -> Column:
-    """FN-09: decode every HTML5 character reference (``&amp;``, ``&#39;``, ...)."""
+    """FN-09: decode every HTML5 character reference (``&amp;``, ``&#39;``, ...).
+
+    Values without ``&`` reach the UDF as nulls, so only the few strings that
+    need decoding cross the Arrow boundary.
+    """
     x = F.col(x) if isinstance(x, str) else x
-    return F.when(x.contains("&"), _unescape(x)).otherwise(x)
+    return F.coalesce(_unescape(F.when(x.contains("&"), x)), x)

@@ -4,18 +4,23 @@ The regex constants are the very strings the Spark side uses (Java and RE2
 agree on these patterns); only the surrounding list/lambda syntax differs.
 """
 
-from ..functions.text import WS_RUN
+from ..functions.text import RE2_WS, WS_CLASS, WS_RUN
 from ..functions import urls as U
 from ..schemas import CODE_HOSTS, CODE_PATH_SKIP, FIGURE_SKIP_WORDS, GITHUB_NOISE
 
 
+def re2(pattern: str) -> str:
+    """A Java pattern of this package in RE2 spelling."""
+    return pattern.replace(WS_CLASS, RE2_WS)
+
+
 def lit(s: str) -> str:
-    """A Python string as a SQL string literal."""
-    return "'" + s.replace("'", "''") + "'"
+    """A Python string (regex patterns in RE2 spelling) as a SQL string literal."""
+    return "'" + re2(s).replace("'", "''") + "'"
 
 
 def collapse_sql(x: str) -> str:
-    return f"trim(regexp_replace({x}, '{WS_RUN}', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, {lit(WS_RUN)}, ' ', 'g'))"
 
 
 def escape_sql(x: str) -> str:

@@ -120,9 +120,9 @@ def listing_ids_by_date(pages: DataFrame, html_col: str = "html", key: str = "pa
 # ---------------------------------------------------------------------------
 # SRC-05 abstract pages
 # ---------------------------------------------------------------------------
-def _meta(html: Column, name: str) -> Column:
-    v = F.regexp_extract(html, rf'(?s)<meta\s+name="{name}"\s+content="(.*?)"', 1)
-    return F.when(html.rlike(rf'<meta\s+name="{name}"\s+content="'), py_strip(unescape_html(v)))
+def _meta_raw(html: Column, name: str) -> Column:
+    """Content of the first ``<meta name=...>`` tag; null when the tag is absent."""
+    return F.get(F.regexp_extract_all(html, F.lit(rf'(?s)<meta\s+name="{name}"\s+content="(.*?)"'), 1), 0)
 
 
 def parse_abs_pages(pages: DataFrame, html_col: str = "html", id_col: str = "paper_id") -> DataFrame:
@@ -131,30 +131,40 @@ def parse_abs_pages(pages: DataFrame, html_col: str = "html", id_col: str = "pap
     Title and abstract are required; authors are flipped to ``First Last``;
     the comment cell loses its tags; categories come from ``(...)`` in the
     primary subject and then in the rest of the cell, not de-duplicated.
+    Each pattern runs once per page (stage 1); entities are decoded on the
+    extracted values only (stage 2); HTML never leaves stage 1.
     """
     h = F.col(html_col)
-    title, abstract = _meta(h, "citation_title"), _meta(h, "citation_abstract")
-    # all author values of a page are decoded in one UDF call (joined by \x01)
-    raw = F.regexp_extract_all(h, F.lit(r'<meta\s+name="citation_author"\s+content="(.*?)"'), 1)
-    decoded = F.split(unescape_html(F.array_join(raw, "\x01")), "\x01")
-    authors = F.when(F.size(raw) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(decoded, lambda a: flip_author(py_strip(a))))
-    cm = F.regexp_extract(h, r'(?s)class="tablecell comments[^"]*">(.*?)</td>', 1)
-    comment = F.when(h.rlike(r'(?s)class="tablecell comments[^"]*">.*?</td>'), collapse_ws(strip_tags(cm)))
     subj = r'(?s)class="primary-subject">(.*?)</span>(.*?)</td>'
-    prim = F.regexp_extract(F.regexp_extract(h, subj, 1), r"\(([^)]+)\)", 1)
-    rest = F.regexp_extract_all(F.regexp_extract(h, subj, 2), F.lit(r"\(([^)]+)\)"), 1)
-    cats = F.when(h.rlike(subj), F.concat(F.filter(F.array(prim), lambda p: p != ""), rest)).otherwise(
-        F.array().cast("array<string>"))
-    pid = F.col(id_col)
-    out = pages.select(
-        pid.alias("paper_id"), collapse_ws(title).alias("title"), authors.alias("authors"),
-        collapse_ws(abstract).alias("abstract"), comment.alias("comment"), cats.alias("categories"),
-        _meta(h, "citation_date").alias("published"), F.lit(None).cast("string").alias("updated"),
-        F.coalesce(_meta(h, "citation_pdf_url"), F.concat(F.lit("https://arxiv.org/pdf/"), pid)).alias("pdf_url"),
-        F.concat(F.lit("https://arxiv.org/abs/"), pid).alias("abs_url"),
-        (title.isNotNull() & (title != "") & abstract.isNotNull() & (abstract != "")).alias("_ok"))
-    return out.filter("_ok").drop("_ok")
+    cm = F.get(F.regexp_extract_all(h, F.lit(r'(?s)class="tablecell comments[^"]*">(.*?)</td>'), 1), 0)
+    prim_cell = F.get(F.regexp_extract_all(h, F.lit(subj), 1), 0)
+    rest_cell = F.get(F.regexp_extract_all(h, F.lit(subj), 2), 0)
+    raw = pages.select(
+        F.col(id_col).alias("paper_id"),
+        _meta_raw(h, "citation_title").alias("_t"), _meta_raw(h, "citation_abstract").alias("_a"),
+        _meta_raw(h, "citation_date").alias("_d"), _meta_raw(h, "citation_pdf_url").alias("_p"),
+        F.regexp_extract_all(h, F.lit(r'<meta\s+name="citation_author"\s+content="(.*?)"'), 1).alias("_au"),
+        F.when(cm.isNotNull(), collapse_ws(strip_tags(cm))).alias("comment"),
+        F.when(prim_cell.isNotNull(), F.concat(
+            F.filter(F.array(F.regexp_extract(prim_cell, r"\(([^)]+)\)", 1)), lambda p: p != ""),
+            F.regexp_extract_all(rest_cell, F.lit(r"\(([^)]+)\)"), 1))).otherwise(
+            F.array().cast("array<string>")).alias("categories"))
+    # all author values of a page are decoded in one call (joined by \x01)
+    dec = raw.select(
+        "paper_id", "comment", "categories", F.size("_au").alias("_n_au"),
+        collapse_ws(unescape_html("_t")).alias("title"), collapse_ws(unescape_html("_a")).alias("abstract"),
+        py_strip(unescape_html("_d")).alias("published"), py_strip(unescape_html("_p")).alias("_p"),
+        unescape_html(F.array_join("_au", "\x01")).alias("_au"))
+    pid = F.col("paper_id")
+    out = dec.filter((F.col("title") != "") & (F.col("abstract") != "")).select(
+        "paper_id", "title",
+        F.when(F.col("_n_au") == 0, F.array().cast("array<string>")).otherwise(
+            F.transform(F.split("_au", "\x01"), lambda a: flip_author(py_strip(a)))).alias("authors"),
+        "abstract", "comment", "categories", "published",
+        F.lit(None).cast("string").alias("updated"),
+        F.coalesce(F.nullif("_p", F.lit("")), F.concat(F.lit("https://arxiv.org/pdf/"), pid)).alias("pdf_url"),
+        F.concat(F.lit("https://arxiv.org/abs/"), pid).alias("abs_url"))
+    return out
 
 
 # ---------------------------------------------------------------------------
