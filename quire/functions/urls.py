@@ -151,7 +151,7 @@ def resolve_url(base, ref) -> Column:
         F.concat(F.regexp_replace(bpath, r"[^/]*$", ""), rpath))
     return (F.when(ref.rlike(_SCHEME), ref)
              .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-             .when(ref == "", F.regexp_replace(base, "#.*$", ""))
+             .when(ref == "", base)
              .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
              .when(rpath == "", F.concat(origin, bpath,
                                          F.when(ref.startswith("?"), F.lit("")).otherwise(bquery), rtail))

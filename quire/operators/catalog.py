@@ -30,10 +30,11 @@ def validate_papers(papers: DataFrame, strict: bool = False) -> tuple[DataFrame,
     tagged = with_reject_reason(papers)
     valid = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     if strict:
-        valid = tagged.withColumn(
-            "_chk", F.when(F.col("reject_reason").isNotNull(),
-                           F.raise_error(F.concat(F.lit("invalid paper: "), F.col("reject_reason"))))
-        ).drop("_chk", "reject_reason")
+        # the check sits in the filter condition, so column pruning cannot drop it
+        valid = tagged.filter(
+            F.when(F.col("reject_reason").isNotNull(),
+                   F.raise_error(F.concat(F.lit("invalid paper: "), F.col("reject_reason"))))
+            .otherwise(F.lit(True))).drop("reject_reason")
     rejected = tagged.filter(F.col("reject_reason").isNotNull())
     return valid, rejected
 
@@ -79,9 +80,9 @@ def upsert_catalog(catalog: DataFrame, incoming: DataFrame, run_date, pos: str =
     * new: inserted with ``date_added = run_date`` and empty state;
     * duplicate ids inside the batch: the row with the largest ``pos`` wins.
 
-    Implemented as a full outer join on the key (Parquet has no MERGE); the
-    catalog side only contributes its state columns, so content never crosses
-    the shuffle twice.
+    Implemented as one full outer join on the key (Parquet has no MERGE).
+    The stored form (:mod:`quire.sinks.catalog_store`) feeds it only the
+    partitions the batch touches, so the catalog is not reshuffled whole.
     """
     run_date = F.lit(run_date).cast("date") if not isinstance(run_date, Column) else run_date.cast("date")
     if pos in incoming.columns:

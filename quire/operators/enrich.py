@@ -20,22 +20,31 @@ from ..functions.text import thumb_path
 from ..functions.urls import (classify_urls, code_url_from_page, figure_candidates, image_candidates,
                               project_page_from_repo)
 from ..schemas import MIN_IMAGE_BYTES
+from ..session import cut_lineage
 
 
-def page_facts(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """JN-09 + FN-16/18/19: parse each *distinct* requested page once.
+def page_facts(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """JN-09 + FN-16..19: parse each *distinct* requested page once.
 
-    Returns (url, fetched, page_code, repo_project, images[]); a requested URL
-    without a page gets ``fetched = false`` and nulls (never an error).
+    ``requests(url, kind)`` with kind in {project, repo, figure}. A page is
+    scanned only for the facts its kinds need (CASE WHEN skips the other
+    regexes). Returns (url, fetched, page_code, repo_project, images[],
+    figures[]); a requested URL without a page gets ``fetched = false``.
     """
-    wanted = urls.select("url").distinct()
-    facts = pages.join(wanted, "url", "left_semi").select(
+    wanted = requests.groupBy("url").agg(
+        F.max(F.col("kind") == "project").alias("_p"), F.max(F.col("kind") == "repo").alias("_r"),
+        F.max(F.col("kind") == "figure").alias("_f"))
+    # only (url, html) of the requested pages, then straight to the facts:
+    # the HTML column never reaches a shuffle after this join
+    hit = pages.select("url", "html").join(wanted, "url")
+    facts = hit.select(
         "url",
-        code_url_from_page("html").alias("page_code"),
-        project_page_from_repo("html").alias("repo_project"),
-        image_candidates("html", F.col("url")).alias("images"))
-    return (wanted.join(facts, "url", "left")
-            .withColumn("fetched", F.col("images").isNotNull()))
+        F.when(F.col("_p"), code_url_from_page("html")).alias("page_code"),
+        F.when(F.col("_r"), project_page_from_repo("html")).alias("repo_project"),
+        F.when(F.col("_p"), image_candidates("html", F.col("url"))).alias("images"),
+        F.when(F.col("_f"), figure_candidates("html", F.col("url"))).alias("figures"))
+    return (wanted.select("url").join(facts.withColumn("fetched", F.lit(True)), "url", "left")
+            .withColumn("fetched", F.coalesce("fetched", F.lit(False))))
 
 
 def image_ok(images: DataFrame) -> DataFrame:
@@ -49,7 +58,13 @@ def text_links(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", project.alias("project"), code.alias("code"))
 
 
-def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
+def _first_image(cands: DataFrame, good: DataFrame, order, name: str) -> DataFrame:
+    return (cands.join(good, "img", "left_semi")
+            .groupBy("paper_id").agg(F.min_by("img", order).alias(name)))
+
+
+def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame,
+                 materialize: bool = True) -> DataFrame:
     """CP-07: (paper_id, project_url, code_url, thumbnail, image_url, success).
 
     * code URL: the first code link of the text, else the first one found on
@@ -59,45 +74,58 @@ def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame) -> Data
       repository page may point at a ``*.github.io`` project page;
     * thumbnail: the first acceptable image over the project pages in order,
       else the first acceptable figure of the paper's rendered HTML page.
+
+    Pages are read in two passes: every first-hop request (project, repo,
+    figure page) in one, and the few ``github.io`` pages found on repo pages
+    in a second.
+
+    ``links`` (per-paper URL lists) and ``facts`` (per-page findings) feed
+    several branches; with ``materialize`` they are written once to the shared
+    checkpoint directory (reliable checkpoint, survives executor loss) so the
+    branches read narrow files instead of re-deriving papers and pages.
     """
     links = text_links(papers)
     gh_repo = F.get(F.filter("code", lambda u: u.contains("github.com")), 0)
     links = links.withColumn("_repo", F.when(F.size("project") == 0, gh_repo))
-    # repo pages -> extra project page (one lookup per distinct repo URL)
-    repo_req = links.filter(F.col("_repo").isNotNull()).select("paper_id", F.col("_repo").alias("url"))
-    repo_facts = page_facts(pages, repo_req).select("url", "repo_project")
-    extra = (repo_req.join(repo_facts, "url", "left")
-             .groupBy("paper_id").agg(F.first("repo_project", ignorenulls=True).alias("_extra")))
-    links = links.join(extra, "paper_id", "left")
-    plist = F.when(F.col("_extra").isNotNull(), F.concat("project", F.array("_extra"))).otherwise(F.col("project"))
-    links = links.withColumn("_plist", plist)
-    # project pages in order
-    proj = links.select("paper_id", F.posexplode("_plist").alias("ppos", "url"))
-    facts = page_facts(pages, proj)
-    visits = proj.join(facts, "url", "left")
+    if materialize:
+        links = cut_lineage(links)
+    proj = links.select("paper_id", F.posexplode("project").alias("ppos", "url"))
+    repo = links.filter(F.col("_repo").isNotNull()).select("paper_id", F.col("_repo").alias("url"))
+    fig = links.select("paper_id", F.concat(F.lit("https://arxiv.org/html/"), F.col("paper_id"),
+                                            F.lit("v1")).alias("url"))
+    requests = (proj.select("url", F.lit("project").alias("kind"))
+                .unionByName(repo.select("url", F.lit("repo").alias("kind")))
+                .unionByName(fig.select("url", F.lit("figure").alias("kind"))))
+    facts = page_facts(pages, requests)
+    if materialize:
+        facts = cut_lineage(facts)
+    # second hop: project pages named by repo pages, appended after the text ones
+    extra = (repo.join(facts.select("url", "repo_project"), "url")
+             .filter(F.col("repo_project").isNotNull())
+             .groupBy("paper_id").agg(F.first("repo_project").alias("url")))
+    extra_n = links.select("paper_id", F.size("project").alias("ppos")).join(extra, "paper_id")
+    facts2 = page_facts(pages, extra.select("url", F.lit("project").alias("kind")))
+    visits = (proj.join(facts.select("url", "page_code", "images"), "url", "left")
+              .unionByName(extra_n.join(facts2.select("url", "page_code", "images"), "url", "left")))
     page_code = (visits.filter(F.col("page_code").isNotNull())
                  .groupBy("paper_id").agg(F.min_by("page_code", "ppos").alias("_page_code")))
-    # candidate images of every visited page, then the first acceptable one
+    good = image_ok(images).withColumnRenamed("url", "img")
     cands = visits.select("paper_id", "ppos", F.posexplode(F.coalesce("images", F.array().cast("array<string>")))
                           .alias("ipos", "img"))
-    good = image_ok(images).withColumnRenamed("url", "img")
-    first_img = (cands.join(good, "img", "left_semi")
-                 .groupBy("paper_id").agg(F.min_by("img", F.struct("ppos", "ipos")).alias("_img")))
-    # figure fallback: the paper's rendered page
-    fig_req = papers.select("paper_id", F.concat(F.lit("https://arxiv.org/html/"), F.col("paper_id"),
-                                                 F.lit("v1")).alias("url"))
-    fig_pages = pages.join(fig_req.select("url"), "url", "left_semi").select(
-        "url", figure_candidates("html", F.col("url")).alias("figs"))
-    figs = (fig_req.join(fig_pages, "url").select("paper_id", F.posexplode("figs").alias("fpos", "img"))
-            .join(good, "img", "left_semi")
-            .groupBy("paper_id").agg(F.min_by("img", "fpos").alias("_fig")))
-    out = (links.join(page_code, "paper_id", "left").join(first_img, "paper_id", "left")
-                .join(figs, "paper_id", "left"))
+    first_img = _first_image(cands, good, F.struct("ppos", "ipos"), "_img")
+    figs = (fig.join(facts.select("url", "figures"), "url")
+            .select("paper_id", F.posexplode(F.coalesce("figures", F.array().cast("array<string>")))
+                    .alias("fpos", "img")))
+    first_fig = _first_image(figs, good, F.col("fpos"), "_fig")
+    plist0 = F.coalesce(F.get("project", 0), F.col("_extra"))
+    out = (links.join(extra.withColumnRenamed("url", "_extra"), "paper_id", "left")
+                .join(page_code, "paper_id", "left").join(first_img, "paper_id", "left")
+                .join(first_fig, "paper_id", "left"))
     img = F.coalesce("_img", "_fig")
     code = F.coalesce(F.get("code", 0), F.col("_page_code"))
     return out.select(
         "paper_id",
-        F.get("_plist", 0).alias("project_url"),
+        plist0.alias("project_url"),
         code.alias("code_url"),
         F.when(img.isNotNull(), thumb_path(F.col("paper_id"), img)).alias("thumbnail"),
         img.alias("image_url"),

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.catalog import add_missing_columns, touched_dates, upsert_catalog
 from ..schemas import CATALOG
@@ -51,8 +52,8 @@ def read_catalog(spark: SparkSession, root: str) -> DataFrame:
     """SRC-10: the current catalog. Date predicates prune partition directories."""
     if not _exists(spark, f"{root}/_commits"):
         return spark.createDataFrame([], CATALOG)
-    data = spark.read.schema(CATALOG.add("v", "long")).option("basePath", f"{root}/data") \
-        .parquet(f"{root}/data")
+    stored = T.StructType(CATALOG.fields + [T.StructField("v", T.LongType())])  # CATALOG stays untouched
+    data = spark.read.schema(stored).option("basePath", f"{root}/data").parquet(f"{root}/data")
     # Latest committed version per date: a broadcastable one-row-per-date
     # table (the number of dates, not of papers).
     latest = committed(spark, root)
