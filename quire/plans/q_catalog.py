@@ -259,3 +259,40 @@ select paper_id, case when relevance_tier = 'high' then 'HIGH' else 'MOD' end as
 from catalog""")
 def q_card_projection(spark, sf):
     return V.card_projection(_catalog(spark, sf))
+
+
+@register("number_papers", views=("papers",), sql="""
+select date_added, paper_id, cast(row_number() over (partition by date_added order by paper_id) as bigint) as pos
+from papers""")
+def q_number_papers(spark, sf):
+    """WN-02: 1-based running number per run date."""
+    from ..operators.ordering import ordered_positions
+    return ordered_positions(X.papers(spark, sf).select("date_added", "paper_id"), ["date_added"], ["paper_id"])
+
+
+@register("set_thumbnail", views=("papers",), sql="""
+select p.paper_id, coalesce(u.thumbnail, null) as thumbnail from papers p left join (
+  select paper_id, arg_max(thumbnail, seq) as thumbnail from (
+    select paper_id, concat('thumbs/', paper_id, '.jpg') as thumbnail, 1 as seq from papers where doc_id % 2 = 0
+    union all select paper_id, concat('thumbs/', paper_id, '.png'), 2 from papers where doc_id % 3 = 0)
+  group by paper_id) u using (paper_id)""")
+def q_set_thumbnail(spark, sf):
+    """JN-08: unconditional keyed update, the last update (by seq) wins."""
+    p = X.papers(spark, sf)
+    cat = C.catalog_from_papers(p)
+    upd = (p.filter(F.col("doc_id") % 2 == 0).select("paper_id", F.concat(F.lit("thumbs/"), "paper_id", F.lit(".jpg"))
+                                                      .alias("thumbnail"), F.lit(1).alias("seq"))
+           .unionByName(p.filter(F.col("doc_id") % 3 == 0).select(
+               "paper_id", F.concat(F.lit("thumbs/"), "paper_id", F.lit(".png")).alias("thumbnail"),
+               F.lit(2).alias("seq"))))
+    return C.set_thumbnail(cat, upd).select("paper_id", "thumbnail")
+
+
+@register("with_urls", views=("papers",), sql="""
+select paper_id, concat('https://arxiv.org/pdf/', paper_id) as pdf_url, concat('https://arxiv.org/abs/', paper_id) as abs_url
+from papers""")
+def q_with_urls(spark, sf):
+    """PR-02: scraped records get a built pdf URL and the abs URL."""
+    from ..sources.feeds import with_urls
+    p = X.papers(spark, sf).select("paper_id", F.lit(None).cast("string").alias("pdf_url"))
+    return with_urls(p).select("paper_id", "pdf_url", "abs_url")

@@ -49,17 +49,26 @@ def _rss(spark, sf):
     return S.render_rss(r, "feed")
 
 
+def _feed_key(rss):
+    # one feed per date, split into bounded parts: (feed, part) is the document key
+    return rss.withColumn("doc", F.concat_ws("#", "feed", F.col("part").cast("string")))
+
+
 @register("feed_item_ids", views=("papers",), sql="""
 select date_added as feed, cast(row_number() over (partition by date_added order by paper_id) - 1 as int) as pos, paper_id
 from papers""")
 def q_feed_item_ids(spark, sf):
-    return S.feed_item_ids(_rss(spark, sf), "xml", "feed")
+    ids = S.feed_item_ids(_feed_key(_rss(spark, sf)), "xml", "doc")
+    feed, part = F.split("doc", "#")[0], F.split("doc", "#")[1].cast("int")
+    return ids.select(feed.alias("feed"), (part * S.RSS_MAX_ITEMS + F.col("pos")).cast("int").alias("pos"),
+                      "paper_id")
 
 
 @register("feed_announcement_date", views=("papers",), sql="""
 select distinct date_added as feed, cast(date_added as date) as announced from papers""")
 def q_feed_date(spark, sf):
-    return S.feed_announcement_date(_rss(spark, sf), "xml", "feed")
+    d = S.feed_announcement_date(_feed_key(_rss(spark, sf)), "xml", "doc")
+    return d.select(F.split("doc", "#")[0].alias("feed"), "announced").distinct()
 
 
 def _listing(spark, sf):
@@ -75,8 +84,11 @@ select cast(floor(datediff('day', date '2024-01-01', cast(date_added as date)) /
   cast(row_number() over (partition by date_added order by paper_id) as bigint) as pos_in_date from papers""")
 def q_listing(spark, sf):
     ids = S.listing_ids_by_date(_listing(spark, sf), "html", "page")
-    w = Window.partitionBy("page", "announced").orderBy("pos")
-    return ids.select("page", "announced", "paper_id", F.row_number().over(w).cast("long").alias("pos_in_date"))
+    ids = ids.withColumn("part", F.col("page") % 1000).withColumn("page", F.floor(F.col("page") / 1000))
+    # position inside the date = entries on earlier parts + position on this page
+    w = Window.partitionBy("page", "announced", "part").orderBy("pos")
+    return ids.select("page", "announced", "paper_id",
+                      (F.col("part") * S.LISTING_MAX_ENTRIES + F.row_number().over(w)).cast("long").alias("pos_in_date"))
 
 
 def _abs_pages(spark, sf):

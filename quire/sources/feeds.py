@@ -167,6 +167,14 @@ def parse_abs_pages(pages: DataFrame, html_col: str = "html", id_col: str = "pap
     return out
 
 
+def with_urls(papers: DataFrame) -> DataFrame:
+    """PR-02: ``abs_url`` from the id; ``pdf_url`` falls back to the built URL."""
+    pid = F.col("paper_id")
+    return (papers.withColumn("pdf_url", F.coalesce(F.nullif(F.col("pdf_url"), F.lit("")),
+                                                    F.concat(F.lit("https://arxiv.org/pdf/"), pid)))
+                  .withColumn("abs_url", F.concat(F.lit("https://arxiv.org/abs/"), pid)))
+
+
 # ---------------------------------------------------------------------------
 # SRC-06 / SRC-09 JSON
 # ---------------------------------------------------------------------------
@@ -283,14 +291,20 @@ def pub_date_text(d) -> Column:
     return F.concat(F.date_format(d, "EEE, d MMM yyyy"), F.lit(" 00:00:00 -0400"))
 
 
+RSS_MAX_ITEMS = 1000
+LISTING_MAX_ENTRIES = 2000
+
+
 def render_rss(batched: DataFrame, key: str = "feed") -> DataFrame:
-    """(feed, xml): one RSS document per feed with its announcement date."""
-    per = batched.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "paper_id"))).alias("_l"),
-                                   F.min("announced").alias("_d"))
+    """(feed, part, xml): RSS documents of at most ``RSS_MAX_ITEMS`` items per
+    feed (``pos`` 1-based), so no document grows with the size of a day."""
+    b = batched.withColumn("part", F.floor((F.col("pos") - 1) / RSS_MAX_ITEMS).cast("long"))
+    per = b.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("pos", "paper_id"))).alias("_l"),
+                                     F.min("announced").alias("_d"))
     items = F.array_join(F.transform("_l", lambda x: F.concat(
         F.lit("<item><link>https://arxiv.org/abs/"), x["paper_id"], F.lit("</link></item>"))), "")
-    return per.select(key, F.concat(F.lit("<rss><channel><pubDate>"), pub_date_text(F.col("_d")),
-                                    F.lit("</pubDate>"), items, F.lit("</channel></rss>")).alias("xml"))
+    return per.select(key, "part", F.concat(F.lit("<rss><channel><pubDate>"), pub_date_text(F.col("_d")),
+                                            F.lit("</pubDate>"), items, F.lit("</channel></rss>")).alias("xml"))
 
 
 def render_abs_page(p) -> Column:
@@ -312,8 +326,15 @@ def render_abs_page(p) -> Column:
 
 
 def render_listing(batched: DataFrame, key: str = "page") -> DataFrame:
-    """(page, html): a listing page with one ``<h3>`` date header per date."""
-    per_date = batched.groupBy(key, "announced").agg(
+    """(page, html): listing pages with one ``<h3>`` date header per date.
+
+    A date section holds at most ``LISTING_MAX_ENTRIES`` entries; a bigger
+    day continues on the next page (``page`` becomes ``page * 1000 + part``),
+    so a page never grows with the size of a day.
+    """
+    b = batched.withColumn("_part", F.floor((F.col("pos") - 1) / LISTING_MAX_ENTRIES).cast("long"))
+    b = b.withColumn(key, F.col(key) * 1000 + F.col("_part"))
+    per_date = b.groupBy(key, "announced").agg(
         F.array_sort(F.collect_list(F.struct("pos", "paper_id"))).alias("_l"))
     sec = F.concat(F.lit("<h3>"), F.date_format("announced", "EEE, d MMM yyyy"), F.lit(" (showing "),
                    F.size("_l").cast("string"), F.lit(" entries)</h3><dl>"),
