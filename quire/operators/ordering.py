@@ -51,6 +51,5 @@ def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
     if by:
         return df.join(sizes, by)
-    # one global count: a one-row table, broadcast on a constant key
-    return (df.withColumn("_k", F.lit(1))
-              .join(F.broadcast(sizes.withColumn("_k", F.lit(1))), "_k").drop("_k"))
+    # one global count: a scalar subquery, no join
+    return df.withColumn(name, sizes.scalar())

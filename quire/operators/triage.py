@@ -3,6 +3,7 @@ hook, candidate selection, prompts, judge envelopes and their reports."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -123,25 +124,34 @@ def judge_by_terms(papers: DataFrame, criteria: DataFrame, text_col: str = "titl
     ``generous``: any high/moderate/low term makes a candidate.
     Adds ``relevance_tier`` (null = not selected) and ``relevance_summary``
     (matched topics). Matching is case-insensitive substring containment.
+
+    Size check: at most ``MAX_BROADCAST_TERMS + 1`` term rows are read once.
+    Within the bound the terms travel with the tasks as one constant (what a
+    broadcast would ship); beyond it the exact seeded join is used.
     """
-    n_terms = criteria.count()
-    if n_terms <= MAX_BROADCAST_TERMS:
-        return _judge_broadcast(papers, criteria, text_col, mode)
+    terms = criteria.select(F.lower("term").alias("term"), "tier", "topic").limit(MAX_BROADCAST_TERMS + 1).collect()
+    if len(terms) <= MAX_BROADCAST_TERMS:
+        return _judge_broadcast(papers, [t.asDict() for t in terms], text_col, mode)
     return _judge_seeded(papers, criteria, text_col, mode, key)
 
 
-def _judge_broadcast(papers, criteria, text_col, mode):
-    # One row holding every term: its size is checked by the caller, so it
-    # is broadcast and each task matches its rows locally - no shuffle.
-    arr = criteria.agg(F.collect_list(F.struct(F.lower("term").alias("term"), "tier", "topic")).alias("_terms"))
-    j = papers.withColumn("_k", F.lit(1)).join(F.broadcast(arr.withColumn("_k", F.lit(1))), "_k").drop("_k")
+TERM_ARRAY = "array<struct<term:string,tier:string,topic:string>>"
+
+
+def _judge_broadcast(papers, terms, text_col, mode):
+    # The bounded term list as one folded literal: every task matches its
+    # rows locally - no join, no shuffle of the papers. The text is zipped
+    # in (not captured by the lambda) so predicate pushdown sees every
+    # column the result depends on.
+    arr = F.from_json(F.lit(json.dumps(terms)), TERM_ARRAY)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hits = F.filter("_terms", lambda t: low.contains(t["term"]))
-    pos_hits = F.filter(hits, lambda t: t["tier"] != "exclude")
-    return (j.withColumn("_hits", hits)
+    pairs = F.arrays_zip(arr.alias("t"), F.array_repeat(low, F.size(arr)).alias("x"))
+    hits = F.transform(F.filter(pairs, lambda p: p["x"].contains(p["t"]["term"])), lambda p: p["t"])
+    return (papers.withColumn("_hits", hits)
              .withColumn("relevance_tier", _tier_from(F.transform("_hits", lambda t: t["tier"]), mode))
-             .withColumn("relevance_summary", _summary(F.transform(pos_hits, lambda t: t["topic"])))
-             .drop("_terms", "_hits"))
+             .withColumn("relevance_summary", _summary(F.transform(
+                 F.filter("_hits", lambda t: t["tier"] != "exclude"), lambda t: t["topic"])))
+             .drop("_hits"))
 
 
 def _judge_seeded(papers, criteria, text_col, mode, key):
@@ -291,8 +301,8 @@ def prompt_stage1(batches: DataFrame, criteria_text: DataFrame, run_date) -> Dat
                      "\n").alias("_lines"))
     tail = F.lit(STAGE1_PROMPT_TAIL.split("{prefix}")[0])
     tail2 = F.lit(STAGE1_PROMPT_TAIL.split("{prefix}")[1])
-    crit = criteria_text.select(F.col("text").alias("_crit"))
-    return (per.withColumn("_k", F.lit(1)).join(F.broadcast(crit.withColumn("_k", F.lit(1))), "_k")
+    crit = criteria_text.select("text").scalar()  # one document, attached as a scalar subquery
+    return (per.withColumn("_crit", crit)
             .select("batch_id", F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE1_PROMPT_PAPERS),
                                          F.col("_lines"), tail, month_prefix(F.lit(run_date)), tail2).alias("prompt")))
 
@@ -303,8 +313,8 @@ def prompt_stage2(batches: DataFrame, criteria_text: DataFrame) -> DataFrame:
                                    "published", "pdf_url", "abs_url").alias("r"))
     per = batches.groupBy("batch_id").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(rec)), lambda x: x["r"])).alias("_json"))
-    crit = criteria_text.select(F.col("text").alias("_crit"))
-    return (per.withColumn("_k", F.lit(1)).join(F.broadcast(crit.withColumn("_k", F.lit(1))), "_k")
+    crit = criteria_text.select("text").scalar()
+    return (per.withColumn("_crit", crit)
             .select("batch_id", F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE2_PROMPT_PAPERS),
                                          F.col("_json"), F.lit(STAGE2_PROMPT_TAIL)).alias("prompt")))
 
