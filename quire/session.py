@@ -26,15 +26,20 @@ DEFAULT_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "quire") -> SparkSession:
+              app_name: str = "quire", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the package defaults.
 
-    ``master`` and ``shuffle_partitions`` are for local runs and tests only; on
-    a cluster leave them ``None`` so the launcher's values stand.
+    ``master``, ``shuffle_partitions`` and ``driver_memory`` are for local runs
+    and tests only (in local mode every task runs inside the driver JVM, whose
+    default heap is 1 GB); on a cluster leave them ``None`` so the launcher's
+    values stand.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory",
+                                     driver_memory or os.environ.get("QUIRE_DRIVER_MEMORY", "12g"))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

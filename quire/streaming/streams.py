@@ -31,11 +31,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType,
-                 max_files: int = 1) -> DataFrame:
-    """A driver table as a file stream (explicit schema; glob keeps to one table)."""
+                 max_files: int | None = None) -> DataFrame:
+    """A driver table as a file stream (explicit schema; glob keeps to one table).
+
+    ``max_files`` caps files per micro-batch (bounded batches for a backlog);
+    by default one trigger takes everything that has landed.
+    """
     base = sf_dir.rstrip("/")
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("basePath", base).parquet(f"{base}/{name}.parque[t]"))
+    r = spark.readStream.schema(schema).option("basePath", base)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(f"{base}/{name}.parque[t]")
 
 
 def interactions_from_events(events: DataFrame) -> DataFrame:
