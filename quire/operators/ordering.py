@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -30,14 +32,23 @@ def _cols(xs) -> list[Column]:
 
 
 def ordered_positions(df: DataFrame, by: list[str], order: list, name: str = "pos",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row inside its ``by`` group."""
+                      num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+    """Add ``name`` = 1-based position of each row inside its ``by`` group.
+
+    The per-task counts come from a second, column-pruned pass over the
+    input (only the ``by``/``order`` columns are read), which is cheap when
+    the input is a table scan. When the input is an expensive plan, pass
+    ``materialize=True`` (or checkpoint the input first): the sorted slices
+    are then written once to the shared checkpoint dir and read by both.
+    """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _cols(by) + _cols(order)
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_li", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))))
+    if materialize:
+        tagged = cut_lineage(tagged)
     stats = tagged.groupBy("_pid", *by).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -17,6 +17,7 @@ from ..functions.urls import card_links
 from ..operators import catalog as C
 from ..operators import triage as TR
 from ..operators import views as V
+from ..session import cut_lineage
 from ..sources import fixtures as X
 
 RUN_DATE = "2024-02-01"
@@ -30,7 +31,10 @@ def flagship(spark: SparkSession, sf_dir: str, run_date: str = RUN_DATE) -> Data
     catalog = X.catalog(spark, sf_dir)
     incoming = judged.select("paper_id", "title", "authors", "abstract", "comment", "categories",
                              "published", "pdf_url", "abs_url", "relevance_tier", "relevance_summary")
-    merged = C.upsert_catalog(catalog, incoming, run_date)
+    # the new catalog version: production commits it through catalog_store;
+    # here it is checkpointed, and the views read it back instead of
+    # recomputing the whole triage for each of their passes
+    merged = cut_lineage(C.upsert_catalog(catalog, incoming, run_date))
     newest = V.latest_date(merged)  # one row
     latest = merged.join(F.broadcast(newest), "date_added", "left_semi")
     shown = V.sectioned_view(latest)
