@@ -32,14 +32,16 @@ def _cols(xs) -> list[Column]:
 
 
 def ordered_positions(df: DataFrame, by: list[str], order: list, name: str = "pos",
-                      num_partitions: int | None = None, materialize: bool = False) -> DataFrame:
+                      num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``name`` = 1-based position of each row inside its ``by`` group.
 
-    The per-task counts come from a second, column-pruned pass over the
-    input (only the ``by``/``order`` columns are read), which is cheap when
-    the input is a table scan. When the input is an expensive plan, pass
-    ``materialize=True`` (or checkpoint the input first): the sorted slices
-    are then written once to the shared checkpoint dir and read by both.
+    The per-task counts and the numbered rows must see the *same* range
+    partitioning. Two separate range exchanges would each sample their
+    input, and after an upstream shuffle the samples (hence the bounds) can
+    differ, so by default the sorted slices are written once (reliable
+    checkpoint into the shared checkpoint dir) and both branches read them.
+    ``materialize=False`` is only safe when the input is read in a fixed
+    order (a plain file scan) - it saves the write.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
