@@ -89,3 +89,11 @@ def snapshot_catalog(catalog: DataFrame, root: str, snap_date) -> DataFrame:
     row = snapshot_manifest_row(written, snap_date, path)
     row.write.mode("append").parquet(f"{root}/manifest")
     return row
+
+
+def snapshot_store(spark, catalog_root: str, root: str, snap_date):
+    """SNK-08 over a stored catalog: no committed catalog -> skip (None)."""
+    from .catalog_store import _exists, read_catalog
+    if not _exists(spark, f"{catalog_root}/_commits"):
+        return None
+    return snapshot_catalog(read_catalog(spark, catalog_root), root, snap_date)

@@ -66,15 +66,20 @@ def parse_entries(feeds: DataFrame, xml_col: str = "xml", keep=()) -> DataFrame:
 # ---------------------------------------------------------------------------
 # SRC-01 / SRC-02 RSS
 # ---------------------------------------------------------------------------
-def feed_item_ids(feeds: DataFrame, xml_col: str = "xml", key: str = "feed") -> DataFrame:
+def feed_item_ids(feeds: DataFrame, xml_col: str = "xml", key: str = "feed",
+                  dedupe: bool = False) -> DataFrame:
     """SRC-01: (feed, pos, paper_id) for every ``<item><link>`` with an id.
 
-    Not de-duplicated; order kept in ``pos``.
+    Not de-duplicated by default (as the feed reader it reproduces); with
+    ``dedupe`` an id is kept once per feed, at its first position.
     """
     parsed = feeds.select(key, F.from_xml(xml_col, RSS_DOC).alias("_r"))
     items = parsed.select(key, F.posexplode("_r.channel.item").alias("pos", "_i"))
-    return (items.select(key, "pos", extract_id(F.col("_i.link")).alias("paper_id"))
-                 .filter(F.col("paper_id").isNotNull()))
+    ids = (items.select(key, "pos", extract_id(F.col("_i.link")).alias("paper_id"))
+                .filter(F.col("paper_id").isNotNull()))
+    if dedupe:
+        ids = ids.groupBy(key, "paper_id").agg(F.min("pos").alias("pos")).select(key, "pos", "paper_id")
+    return ids
 
 
 def feed_announcement_date(feeds: DataFrame, xml_col: str = "xml", key: str = "feed") -> DataFrame:
@@ -208,6 +213,19 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnRenamed("arxiv_id", "paper_id")
 
 
+CANDIDATES_FILE = T.StructType([T.StructField("candidate_ids", T.ArrayType(T.StringType()))])
+
+
+def read_candidate_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate id files in either shape: ``{"candidate_ids": [...]}`` (what a
+    stage-1 run writes) or a plain JSON array of ids -> (file, pos, paper_id)."""
+    docs = read_feed_files(spark, path).withColumnRenamed("xml", "json")
+    as_obj = F.from_json("json", CANDIDATES_FILE)["candidate_ids"]
+    as_arr = F.from_json("json", "array<string>")
+    ids = F.coalesce(as_obj, as_arr, F.array().cast("array<string>"))
+    return docs.select(F.col("feed").alias("file"), F.posexplode(ids).alias("pos", "paper_id"))
+
+
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents as (path, xml) rows - the input of the string parsers."""
     return (spark.read.option("wholetext", "true").text(path)

@@ -50,3 +50,37 @@ def test_judgement_and_paper_writers(spark, sf, tmp):
     assert spark.read.parquet(f"{tmp}/filtered").filter("relevance_tier is null").count() == 0
     FS.write_papers(recs.limit(0), f"{tmp}/papers")       # an empty day still leaves a readable output
     assert spark.read.schema("paper_id string").json(f"{tmp}/papers").count() == 0
+
+
+def test_candidate_files_both_shapes(spark, tmp):
+    with open(f"{tmp}/a.json", "w") as f:
+        json.dump({"candidate_ids": ["2401.00001", "2401.00002"]}, f)
+    with open(f"{tmp}/b.json", "w") as f:
+        json.dump(["2401.00003"], f)
+    got = sorted(r.paper_id for r in S.read_candidate_ids(spark, tmp).collect())
+    assert got == ["2401.00001", "2401.00002", "2401.00003"]
+
+
+def test_rss_dedupe_option(spark):
+    rss = ("<rss><channel><item><link>http://arxiv.org/abs/2603.00001</link></item>"
+           "<item><link>http://arxiv.org/abs/2603.00002</link></item>"
+           "<item><link>http://arxiv.org/abs/2603.00001v2</link></item></channel></rss>")
+    df = spark.createDataFrame([("f", rss)], "feed string, xml string")
+    assert S.feed_item_ids(df).count() == 3
+    assert sorted((r.pos, r.paper_id) for r in S.feed_item_ids(df, dedupe=True).collect()) == [
+        (0, "2603.00001"), (1, "2603.00002")]
+
+
+def test_snapshot_store_skips_missing_catalog(spark, tmp):
+    assert FS.snapshot_store(spark, f"{tmp}/nothing", f"{tmp}/snap", "2024-01-01") is None
+
+
+def test_fallback_when_primary_is_down(spark):
+    from quire.operators import fetch as FE
+    ids = spark.createDataFrame([("1",), ("2",)], "paper_id string")
+    primary = spark.createDataFrame([], "paper_id string, title string")
+    secondary = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "paper_id string, title string")
+    got = sorted((r.paper_id, r.source) for r in FE.papers_with_fallback(ids, primary, secondary).collect())
+    assert got == [("1", "scrape"), ("2", "scrape")]
+    rep = FE.fetch_report(ids, FE.papers_with_fallback(ids, primary, secondary)).first()
+    assert (rep.n_ids, rep.n_primary, rep.n_fallback, rep.n_missing) == (2, 0, 2, 0)
