@@ -22,6 +22,10 @@ from ..functions.urls import (classify_urls, code_url_from_page, figure_candidat
 from ..schemas import MIN_IMAGE_BYTES
 from ..session import cut_lineage
 
+# Requested-URL lists up to this size are broadcast to the pages scan, so the
+# HTML is never shuffled; larger lists take a regular (AQE) shuffle join.
+MAX_BROADCAST_URLS = 2_000_000
+
 
 def page_facts(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """JN-09 + FN-16..19: parse each *distinct* requested page once.
@@ -35,8 +39,11 @@ def page_facts(pages: DataFrame, requests: DataFrame) -> DataFrame:
         F.max(F.col("kind") == "project").alias("_p"), F.max(F.col("kind") == "repo").alias("_r"),
         F.max(F.col("kind") == "figure").alias("_f"))
     # only (url, html) of the requested pages, then straight to the facts:
-    # the HTML column never reaches a shuffle after this join
-    hit = pages.select("url", "html").join(wanted, "url")
+    # the HTML column never reaches a shuffle after this join. The request
+    # list is counted first and broadcast when it is within the bound.
+    n_wanted = wanted.count()
+    side = F.broadcast(wanted) if n_wanted <= MAX_BROADCAST_URLS else wanted
+    hit = pages.select("url", "html").join(side, "url")
     facts = hit.select(
         "url",
         F.when(F.col("_p"), code_url_from_page("html")).alias("page_code"),
@@ -75,9 +82,9 @@ def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame,
     * thumbnail: the first acceptable image over the project pages in order,
       else the first acceptable figure of the paper's rendered HTML page.
 
-    Pages are read in two passes: every first-hop request (project, repo,
-    figure page) in one, and the few ``github.io`` pages found on repo pages
-    in a second.
+    Pages are read in two passes: the text's project and repo pages first;
+    then the ``github.io`` pages named by repo pages and, only for papers
+    still without an acceptable image, their rendered paper page.
 
     ``links`` (per-paper URL lists) and ``facts`` (per-page findings) feed
     several branches; with ``materialize`` they are written once to the shared
@@ -91,29 +98,37 @@ def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame,
         links = cut_lineage(links)
     proj = links.select("paper_id", F.posexplode("project").alias("ppos", "url"))
     repo = links.filter(F.col("_repo").isNotNull()).select("paper_id", F.col("_repo").alias("url"))
-    fig = links.select("paper_id", F.concat(F.lit("https://arxiv.org/html/"), F.col("paper_id"),
-                                            F.lit("v1")).alias("url"))
     requests = (proj.select("url", F.lit("project").alias("kind"))
-                .unionByName(repo.select("url", F.lit("repo").alias("kind")))
-                .unionByName(fig.select("url", F.lit("figure").alias("kind"))))
+                .unionByName(repo.select("url", F.lit("repo").alias("kind"))))
     facts = page_facts(pages, requests)
     if materialize:
         facts = cut_lineage(facts)
-    # second hop: project pages named by repo pages, appended after the text ones
+    good = image_ok(images).withColumnRenamed("url", "img")
+    # images of the text's project pages
+    visits1 = proj.join(facts.select("url", "page_code", "images"), "url", "left")
+    # second hop: (a) project pages named by repo pages, appended after the
+    # text ones; (b) the rendered paper page, only for papers whose project
+    # pages gave no acceptable image
     extra = (repo.join(facts.select("url", "repo_project"), "url")
              .filter(F.col("repo_project").isNotNull())
              .groupBy("paper_id").agg(F.first("repo_project").alias("url")))
     extra_n = links.select("paper_id", F.size("project").alias("ppos")).join(extra, "paper_id")
-    facts2 = page_facts(pages, extra.select("url", F.lit("project").alias("kind")))
-    visits = (proj.join(facts.select("url", "page_code", "images"), "url", "left")
-              .unionByName(extra_n.join(facts2.select("url", "page_code", "images"), "url", "left")))
+    cands1 = visits1.select("paper_id", "ppos", F.posexplode(F.coalesce("images", F.array().cast("array<string>")))
+                            .alias("ipos", "img"))
+    has_img1 = cands1.join(good, "img", "left_semi").select("paper_id").distinct()
+    fig = (links.select("paper_id").join(has_img1, "paper_id", "left_anti")
+           .select("paper_id", F.concat(F.lit("https://arxiv.org/html/"), F.col("paper_id"), F.lit("v1")).alias("url")))
+    facts2 = page_facts(pages, extra.select("url", F.lit("project").alias("kind"))
+                        .unionByName(fig.select("url", F.lit("figure").alias("kind"))))
+    if materialize:
+        facts2 = cut_lineage(facts2)
+    visits = visits1.unionByName(extra_n.join(facts2.select("url", "page_code", "images"), "url", "left"))
     page_code = (visits.filter(F.col("page_code").isNotNull())
                  .groupBy("paper_id").agg(F.min_by("page_code", "ppos").alias("_page_code")))
-    good = image_ok(images).withColumnRenamed("url", "img")
     cands = visits.select("paper_id", "ppos", F.posexplode(F.coalesce("images", F.array().cast("array<string>")))
                           .alias("ipos", "img"))
     first_img = _first_image(cands, good, F.struct("ppos", "ipos"), "_img")
-    figs = (fig.join(facts.select("url", "figures"), "url")
+    figs = (fig.join(facts2.select("url", "figures"), "url")
             .select("paper_id", F.posexplode(F.coalesce("figures", F.array().cast("array<string>")))
                     .alias("fpos", "img")))
     first_fig = _first_image(figs, good, F.col("fpos"), "_fig")

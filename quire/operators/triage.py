@@ -15,9 +15,10 @@ from ..functions.text import month_prefix
 from ..schemas import STAGE1_OUTPUT, STAGE2_OUTPUT, STAGE2_REQUIRED
 from .ordering import group_sizes, ordered_positions
 
-# Term tables up to this many rows ride along as a one-row broadcast array;
-# larger ones use the seeded substring join below.
-MAX_BROADCAST_TERMS = 5000
+# Term tables up to this many rows travel with the tasks as one constant and
+# every text is scanned once per term; larger ones use the seeded substring
+# join, whose cost follows the matches instead of terms x text length.
+MAX_BROADCAST_TERMS = 256
 
 # ---------------------------------------------------------------------------
 # The prompt texts sent to an external judge.
