@@ -25,6 +25,20 @@ EVENTS = T.StructType([
 ])
 
 
+def as_instant(ts) -> "F.Column":
+    """Event time for watermarks from a ``TIMESTAMP_NTZ`` column: the wall
+    clock is read as UTC, whatever the session time zone (the landed event
+    tables carry NTZ wall clocks)."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c.cast("timestamp_ntz")).cast("timestamp")
+
+
+def utc_date(instant) -> "F.Column":
+    """The UTC calendar date of an instant (independent of the session zone)."""
+    c = F.col(instant) if isinstance(instant, str) else instant
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz")))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint dir (never machine-local)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -48,7 +62,7 @@ def interactions_from_events(events: DataFrame) -> DataFrame:
     """The user-action log (works on batch and streaming frames alike)."""
     et = F.col("event_type")
     return (events.filter(et.isin("click", "view", "purchase"))
-            .select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
+            .select(F.col("event_id").alias("seq"), as_instant("ts").alias("ts"),
                     F.col("user_id").alias("doc_id"),
                     F.when(et == "click", "favourite").when(et == "view", "dismiss")
                      .when(et == "purchase", "note").alias("action"),
@@ -64,16 +78,16 @@ def stream_interactions(interactions: DataFrame, key: str = "doc_id") -> DataFra
 def stream_dedupe(source: DataFrame, key: str = "seq", delay: str = "1 day", ts: str = "ts") -> DataFrame:
     """SM-03: drop replayed rows (same key) that arrive within the watermark
     delay. The watermark column must be TIMESTAMP (NTZ is cast)."""
-    return (source.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return (source.withColumn(ts, as_instant(ts)).withWatermark(ts, delay)
             .dropDuplicatesWithinWatermark([key]))
 
 
 def stream_daily_counts(source: DataFrame, delay: str = "1 day", ts: str = "ts") -> DataFrame:
     """SM-04: rows per event-time day; in append mode a day is emitted once
     the watermark passes its end, in complete/update mode on every trigger."""
-    s = source.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    s = source.withColumn(ts, as_instant(ts)).withWatermark(ts, delay)
     return (s.groupBy(F.window(ts, "1 day")).agg(F.count(F.lit(1)).alias("n"))
-            .select(F.to_date(F.col("window.start")).alias("day"), "n"))
+            .select(utc_date(F.col("window.start")).alias("day"), "n"))
 
 
 def run_available(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:

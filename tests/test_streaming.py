@@ -38,3 +38,16 @@ def test_stream_ingest_rerun_processes_nothing(spark, sf, tmp):
     ST.stream_ingest(spark, f"{tmp}/landing/d1", f"{tmp}/cat", "2024-02-01", checkpoint=f"{tmp}/ck")
     assert CS.next_version(spark, f"{tmp}/cat") == v1                # no new commit
     assert CS.read_catalog(spark, f"{tmp}/cat").count() == recs.count()
+
+
+def test_streams_do_not_depend_on_session_time_zone(spark, sf):
+    import __spark_entry__ as E
+    base = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect()))
+            for n in ("stream_daily_counts", "stream_interactions")}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        for n, rows in base.items():
+            assert sorted(map(tuple, E.queries()[n](spark, sf).collect())) == rows, n
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
