@@ -41,11 +41,21 @@ def committed(spark: SparkSession, root: str) -> DataFrame:
     return log.groupBy("date_added").agg(F.max("v").alias("v"))
 
 
+def _written_versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions that have data directories, committed or not (a failed commit
+    leaves files behind that readers ignore but a new version must not reuse)."""
+    fs, pattern = _fs(spark, f"{root}/data/date_added=*/v=*")
+    found = fs.globStatus(pattern) or []
+    return [int(st.getPath().getName().split("=", 1)[1]) for st in found]
+
+
 def next_version(spark: SparkSession, root: str) -> int:
-    if not _exists(spark, f"{root}/_commits"):
-        return 1
-    row = spark.read.parquet(f"{root}/_commits").agg(F.max("v")).first()
-    return int(row[0] or 0) + 1
+    """One past every version present on storage (committed or orphaned)."""
+    latest = 0
+    if _exists(spark, f"{root}/_commits"):
+        row = spark.read.parquet(f"{root}/_commits").agg(F.max("v")).first()
+        latest = int(row[0] or 0)
+    return max([latest, *_written_versions(spark, root)]) + 1
 
 
 def read_catalog(spark: SparkSession, root: str) -> DataFrame:

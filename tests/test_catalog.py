@@ -76,3 +76,19 @@ def test_versioned_store_rewrites_touched_dates_only(spark, tmp):
     log = {(str(r.date_added), r.v) for r in spark.read.parquet(f"{root}/_commits").collect()}
     # commit 3 rewrote 2024-01-01 (old date of paper 1) and its run date only
     assert ("2024-01-02", 3) not in log and ("2024-01-01", 3) in log
+
+
+def test_failed_commit_is_invisible_and_not_reused(spark, tmp):
+    root = f"{tmp}/catalog"
+    first = spark.createDataFrame([("1", "a", 1)], "paper_id string, title string, pos int")
+    CS.upsert(spark, root, first, "2024-01-01")
+    # a crashed commit 2: data files written, no commit-log row
+    orphan = C.catalog_from_papers(spark.createDataFrame([("1", "BROKEN", "2024-01-01")],
+                                                         "paper_id string, title string, date_added string"))
+    orphan.withColumn("v", F.lit(2).cast("long")).write.mode("append").partitionBy("date_added", "v") \
+        .parquet(f"{root}/data")
+    assert {r.title for r in CS.read_catalog(spark, root).collect()} == {"a"}
+    assert CS.next_version(spark, root) == 3
+    CS.upsert(spark, root, spark.createDataFrame([("1", "b", 1)], "paper_id string, title string, pos int"),
+              "2024-01-02")
+    assert [(r.paper_id, r.title) for r in CS.read_catalog(spark, root).collect()] == [("1", "b")]
