@@ -66,3 +66,11 @@ def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
         return df.join(sizes, by)
     # one global count: a scalar subquery, no join
     return df.withColumn(name, sizes.scalar())
+
+
+def carry_header_forward(sections: DataFrame, key: str, pos: str, header: str, name: str = "current") -> DataFrame:
+    """WN-04: the latest non-null ``header`` at or before each row, per ``key``
+    (a document); rows before the first header get null. The window is per
+    document, whose number of sections is bounded by the document."""
+    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return sections.withColumn(name, F.last(header, ignorenulls=True).over(w))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.html import unescape_html
 from ..functions.text import (collapse_ws, extract_id, flip_author, parse_day_month_year,
                               pdf_link, primary_first, py_strip, strip_tags, xml_escape)
+from ..operators.ordering import carry_header_forward
 from ..schemas import ID_PATTERN, PAPER, SECTION_TIERS
 
 # Explicit schema of one Atom ``<entry>`` (namespaces ignored, attributes "_x").
@@ -108,9 +109,7 @@ def listing_ids_by_date(pages: DataFrame, html_col: str = "html", key: str = "pa
     header = F.regexp_extract("_s", r"^<h3[^>]*>([^<]+)</h3>", 1)
     secs = secs.select(key, "sec", "_s", parse_day_month_year(
         F.nullif(F.regexp_extract(header, WEEKDAY_DATE, 1), F.lit(""))).alias("_d"))
-    w = Window.partitionBy(key).orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    secs = secs.withColumn("announced", F.last("_d", ignorenulls=True).over(w)).filter(
-        F.col("announced").isNotNull())
+    secs = carry_header_forward(secs, key, "sec", "_d", "announced").filter(F.col("announced").isNotNull())
     body = F.regexp_replace("_s", r"^<h3[^>]*>[^<]+</h3>", "")
     ids = secs.select(key, "announced", "sec",
                       F.posexplode(F.regexp_extract_all(body, F.lit(r"arXiv:(\d{4}\.\d{4,5})"), 1))
