@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import (CARD_CODE_HOSTS, CODE_HOSTS, CODE_PATH_SKIP, FIGURE_SKIP_WORDS,
-                       GITHUB_NOISE, IMAGE_EXTENSIONS, IMAGE_KEYWORDS, MAX_FIGURES)
+from ..schemas import (CODE_HOSTS, CODE_PATH_SKIP, FIGURE_SKIP_WORDS, GITHUB_NOISE, IMAGE_EXTENSIONS,
+                       IMAGE_KEYWORDS, MAX_FIGURES)
 from .text import WS_CLASS, _c
 
 
@@ -231,5 +231,3 @@ def project_page_from_repo(html) -> Column:
     m = F.regexp_extract(F.coalesce(_c(html), F.lit("")), GITHUB_IO_HREF_RE, 1)
     return F.nullif(rstrip_chars(m, ".,;:)"), F.lit(""))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["CARD_CODE_HOSTS"]

@@ -17,7 +17,7 @@ from ..functions.html import unescape_html
 from ..functions.text import (collapse_ws, extract_id, flip_author, parse_day_month_year,
                               pdf_link, primary_first, py_strip, strip_tags, xml_escape)
 from ..operators.ordering import carry_header_forward
-from ..schemas import ID_PATTERN, PAPER, SECTION_TIERS
+from ..schemas import PAPER, SECTION_TIERS
 
 # Explicit schema of one Atom ``<entry>`` (namespaces ignored, attributes "_x").
 ATOM_ENTRY = ("struct<id:string,title:string,summary:string,published:string,updated:string,"
@@ -377,5 +377,3 @@ def render_criteria(criteria: DataFrame) -> DataFrame:
                                                    ).getField("b"), "\n\n").alias("text")) \
         .select(F.lit("criteria.md").alias("doc"), F.concat(F.lit("# Criteria\n\n"), F.col("text")).alias("text"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["ID_PATTERN"]
