@@ -313,7 +313,8 @@ def prompt_stage2(batches: DataFrame, criteria_text: DataFrame) -> DataFrame:
     rec = F.struct("pos", F.struct("paper_id", "title", "authors", "abstract", "comment", "categories",
                                    "published", "pdf_url", "abs_url").alias("r"))
     per = batches.groupBy("batch_id").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(rec)), lambda x: x["r"])).alias("_json"))
+        F.to_json(F.transform(F.array_sort(F.collect_list(rec)), lambda x: x["r"]),
+                  {"ignoreNullFields": "false"}).alias("_json"))
     crit = criteria_text.select("text").scalar()
     return (per.withColumn("_crit", crit)
             .select("batch_id", F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE2_PROMPT_PAPERS),

@@ -261,3 +261,21 @@ def q_parse_envelopes(spark, sf):
     env = TR.parse_envelopes(_raw_envelopes(spark, sf))
     cands = TR.envelope_candidates(env).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_ids"))
     return env.join(cands, "batch_id", "left").select("batch_id", "status", "n_ids")
+
+
+@register("prompt_stage2", views=("papers", "records", "criteria"), **STAGE2_CTES, crit=CRIT_TEXT_SQL,
+          b="""select r.paper_id, r.title, r.authors, r.abstract, r.comment, r.categories, r.published, r.pdf_url, r.abs_url,
+  row_number() over (order by r.paper_id) as pos, count(*) over () as n
+from records r join cand using (paper_id)""",
+          sql=f"""
+select batch_id, concat({sql_lit(TR.STAGE1_PROMPT_HEAD)}, (select text from crit), {sql_lit(TR.STAGE2_PROMPT_PAPERS)},
+  to_json(list({{'paper_id': paper_id, 'title': title, 'authors': authors, 'abstract': abstract, 'comment': comment,
+    'categories': categories, 'published': published, 'pdf_url': pdf_url, 'abs_url': abs_url}} order by pos)),
+  {sql_lit(TR.STAGE2_PROMPT_TAIL)}) as prompt
+from (select *, cast(floor((pos - 1) / ceil(n / greatest(1, ceil(n / 12.0)))) as bigint) as batch_id from b)
+group by batch_id""")
+def q_prompt_stage2_full(spark, sf):
+    recs = _records(spark, sf)
+    ids = TR.stage1_candidates(recs, X.criteria(spark))
+    batches = TR.balanced_batches(TR.select_candidates(recs, ids), 12, ["paper_id"])
+    return TR.prompt_stage2(batches, _criteria_text(spark))
