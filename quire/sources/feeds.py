@@ -21,9 +21,10 @@ from ..schemas import PAPER, SECTION_TIERS
 
 # Explicit schema of one Atom ``<entry>`` (namespaces ignored, attributes "_x").
 ATOM_ENTRY = ("struct<id:string,title:string,summary:string,published:string,updated:string,"
-              "author:array<struct<name:string>>,comment:string,primary_category:struct<_term:string>,"
+              "author:array<struct<name:string>>,comment:struct<_VALUE:string>,primary_category:struct<_term:string>,"
               "category:array<struct<_term:string>>,link:array<struct<_title:string,_href:string>>>")
 ATOM_FEED = f"entry array<{ATOM_ENTRY}>"
+
 RSS_DOC = "channel struct<pubDate:string,item:array<struct<link:string>>>"
 XML_OPTS = {"ignoreNamespace": "true"}
 
@@ -32,9 +33,13 @@ XML_OPTS = {"ignoreNamespace": "true"}
 # SRC-04 Atom entries
 # ---------------------------------------------------------------------------
 def entry_to_paper(e: Column) -> list[Column]:
-    """Columns of a PAPER record from a parsed Atom entry struct."""
+    """Columns of a PAPER record from a parsed Atom entry struct.
+
+    ``comment`` is read as an element struct: a missing element is a null
+    struct (-> null), a present but empty one has a null value (-> ``''``).
+    """
     pid = extract_id(e["id"])
-    comment = F.when(e["comment"].isNotNull(), collapse_ws(e["comment"]))
+    comment = F.when(e["comment"].isNotNull(), collapse_ws(F.coalesce(e["comment"]["_VALUE"], F.lit(""))))
     authors = F.filter(F.transform(F.coalesce(e["author"], F.array()), lambda a: F.trim(a["name"])),
                        lambda a: a.isNotNull() & (a != ""))
     cats = primary_first(e["primary_category"]["_term"],

@@ -84,3 +84,13 @@ def test_fallback_when_primary_is_down(spark):
     assert got == [("1", "scrape"), ("2", "scrape")]
     rep = FE.fetch_report(ids, FE.papers_with_fallback(ids, primary, secondary)).first()
     assert (rep.n_ids, rep.n_primary, rep.n_fallback, rep.n_missing) == (2, 0, 2, 0)
+
+
+def test_read_atom_files_empty_comment(spark, tmp):
+    feed = ('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">'
+            '<entry><id>2401.00001</id><title>A</title><arxiv:comment/></entry>'
+            '<entry><id>2401.00002</id><title>B</title></entry></feed>')
+    with open(f"{tmp}/f.xml", "w") as f:
+        f.write(feed)
+    got = sorted((r.paper_id, r.comment) for r in S.read_atom_files(spark, f"{tmp}/f.xml").collect())
+    assert got == [("2401.00001", ""), ("2401.00002", None)]

@@ -14,14 +14,17 @@ FEED = ('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org
         '<category term="cs.LG"/><category term="cs.CV"/><link title="pdf" href="p1"/></entry>'
         '<entry><id>http://arxiv.org/abs/hep-th/9901001</id><title>old</title></entry>'
         '<entry><id>2401.00002</id><title>t</title><author><name> </name></author>'
-        '<arxiv:comment>Code: x</arxiv:comment></entry></feed>')
+        '<arxiv:comment>Code: x</arxiv:comment></entry>'
+        '<entry><id>2401.00003</id><title>e</title><arxiv:comment></arxiv:comment></entry>'
+        '<entry><id>2401.00004</id><title>f</title><arxiv:comment/></entry></feed>')
 
 
 def test_atom_edge_rows(spark):
     df = spark.createDataFrame([(FEED,)], "xml string")
     rows = S.parse_entries(df).orderBy("feed_pos").collect()
-    assert [r.paper_id for r in rows] == ["2401.00001", "2401.00002"]       # old-style id dropped
-    a, b = rows
+    assert [r.paper_id for r in rows] == ["2401.00001", "2401.00002", "2401.00003", "2401.00004"]
+    a, b, c, d = rows                                                       # old-style id dropped
+    assert c.comment == "" and d.comment == ""                              # present but empty
     assert a.title == "A title x" and a.authors == ["Solo"] and a.categories == ["cs.CV", "cs.LG"]
     assert a.pdf_url == "p1" and a.comment is None and a.abs_url == "https://arxiv.org/abs/2401.00001"
     assert b.authors == [] and b.comment == "Code: x" and b.abstract == "" and b.pdf_url is None
