@@ -47,17 +47,29 @@ def daily_order() -> list[Column]:
     return [tier_rank("relevance_tier"), F.col("title").asc_nulls_first(), F.col("paper_id")]
 
 
-def daily_view(catalog: DataFrame, d=None) -> DataFrame:
+def _keep(df: DataFrame, columns, needed) -> DataFrame:
+    """Prune to ``columns`` (+ what the ordering needs) before rows are
+    numbered, so only those columns are sorted and materialised."""
+    if columns is None:
+        return df
+    cols = list(dict.fromkeys([*needed, *columns]))
+    return df.select(*cols)
+
+
+ORDER_COLS = ("date_added", "relevance_tier", "title", "paper_id")
+
+
+def daily_view(catalog: DataFrame, d=None, columns=None) -> DataFrame:
     """SO-01: papers of a date (all dates when ``d`` is None) with their display
-    position ``pos`` inside the date."""
+    position ``pos`` inside the date; ``columns`` limits the carried columns."""
     c = catalog if d is None else by_date(catalog, d)
-    return ordered_positions(c, ["date_added"], daily_order())
+    return ordered_positions(_keep(c, columns, ORDER_COLS), ["date_added"], daily_order())
 
 
-def favourites_view(catalog: DataFrame) -> DataFrame:
+def favourites_view(catalog: DataFrame, columns=None) -> DataFrame:
     """SO-02 + WN-06: favourites, newest date first then title, with a global
     ``pos`` and ``is_header`` on the first paper of each date group."""
-    f = favourites(catalog)
+    f = _keep(favourites(catalog), columns, ORDER_COLS)
     first = f.groupBy("date_added").agg(F.min(F.struct("title", "paper_id")).alias("_first"))
     f = (f.join(first, "date_added")
           .withColumn("is_header", F.struct("title", "paper_id") == F.col("_first")).drop("_first"))
@@ -70,11 +82,11 @@ def latest_date(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.max("date_added").alias("date_added")).filter(F.col("date_added").isNotNull())
 
 
-def latest_view(catalog: DataFrame) -> DataFrame:
+def latest_view(catalog: DataFrame, columns=None) -> DataFrame:
     """SO-03: the daily view of the newest date with papers."""
     newest = latest_date(catalog)
     c = catalog.join(F.broadcast(newest), "date_added", "left_semi")  # one-row side
-    return ordered_positions(c, ["date_added"], daily_order())
+    return ordered_positions(_keep(c, columns, ORDER_COLS), ["date_added"], daily_order())
 
 
 def section_of(fav: Column, tier: Column) -> Column:
@@ -84,11 +96,11 @@ def section_of(fav: Column, tier: Column) -> Column:
              .when(tier == "moderate", F.lit("moderate")))
 
 
-def sectioned_view(catalog: DataFrame, d=None) -> DataFrame:
+def sectioned_view(catalog: DataFrame, d=None, columns=None) -> DataFrame:
     """SO-04: shown papers with ``section`` and position inside the section."""
     c = catalog if d is None else by_date(catalog, d)
     c = c.withColumn("section", section_of(F.col("is_favourite"), F.col("relevance_tier")))
-    c = c.filter(F.col("section").isNotNull())
+    c = _keep(c.filter(F.col("section").isNotNull()), columns, (*ORDER_COLS, "section"))
     return ordered_positions(c, ["date_added", "section"], daily_order())
 
 

@@ -170,7 +170,7 @@ def q_by_id(spark, sf):
 select date_added, paper_id, cast(row_number() over (partition by date_added
   order by {TIER_RANK_SQL}, title, paper_id) as bigint) as pos from catalog""")
 def q_daily_view(spark, sf):
-    return V.daily_view(_catalog(spark, sf)).select("date_added", "paper_id", "pos")
+    return V.daily_view(_catalog(spark, sf), columns=["paper_id"]).select("date_added", "paper_id", "pos")
 
 
 @register("favourites_view", views=("catalog",), sql="""
@@ -179,14 +179,15 @@ select paper_id, date_added,
   row_number() over (partition by date_added order by title, paper_id) = 1 as is_header
 from catalog where is_favourite""")
 def q_favourites_view(spark, sf):
-    return V.favourites_view(_catalog(spark, sf)).select("paper_id", "date_added", "pos", "is_header")
+    return V.favourites_view(_catalog(spark, sf), columns=["paper_id"]).select(
+        "paper_id", "date_added", "pos", "is_header")
 
 
 @register("latest_view", views=("catalog",), sql=f"""
 select date_added, paper_id, cast(row_number() over (order by {TIER_RANK_SQL}, title, paper_id) as bigint) as pos
 from catalog where date_added = (select max(date_added) from catalog)""")
 def q_latest_view(spark, sf):
-    return V.latest_view(_catalog(spark, sf)).select("date_added", "paper_id", "pos")
+    return V.latest_view(_catalog(spark, sf), columns=["paper_id"]).select("date_added", "paper_id", "pos")
 
 
 @register("sectioned_view", views=("catalog",), sql=f"""
@@ -196,7 +197,8 @@ from (select *, case when is_favourite then 'favourites' when relevance_tier = '
       when relevance_tier = 'moderate' then 'moderate' end as section from catalog) s
 where section is not null""")
 def q_sectioned_view(spark, sf):
-    return V.sectioned_view(_catalog(spark, sf)).select("date_added", "paper_id", "section", "pos")
+    return V.sectioned_view(_catalog(spark, sf), columns=["paper_id"]).select(
+        "date_added", "paper_id", "section", "pos")
 
 
 @register("available_dates", views=("catalog",), sql="""

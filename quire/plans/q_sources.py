@@ -16,14 +16,17 @@ from .text_sql import collapse_sql, escape_sql
 COLLAPSED = f"""paper_id, {collapse_sql('title')} as title, {collapse_sql('abstract')} as abstract"""
 
 
-def _numbered(spark, sf, size=50):
-    """Fixture records numbered by id, in request batches of ``size``."""
-    r = ordered_positions(X.paper_records(spark, sf), [], ["paper_id"], "pos")
+def _numbered(spark, sf, size=50, cols=("paper_id", "doc_id", "title", "relevance_tier")):
+    """Fixture records (narrow) numbered by id, in request batches of ``size``."""
+    r = ordered_positions(X.paper_records(spark, sf).select(*cols), [], ["paper_id"], "pos")
     return r.withColumn("batch_id", F.floor((F.col("pos") - 1) / size).cast("long"))
 
 
 def _atom_papers(spark, sf, keep=None):
-    b = _numbered(spark, sf)
+    # request batches of at most 50 ids cut by document id (ids are unique),
+    # entries in id order - no global numbering of the wide records needed
+    b = (X.paper_records(spark, sf).withColumn("pos", F.col("doc_id"))
+         .withColumn("batch_id", F.floor(F.col("doc_id") / 50).cast("long")))
     if keep is not None:
         b = b.filter(keep)
     return S.parse_entries(S.render_atom_feeds(b), keep=("batch_id",))

@@ -8,14 +8,31 @@ each view lives in :mod:`quire.plans.oracle`.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("documents", "pages", "labels", "events", "conversations", "benchmark")
 
 
+# Text-heavy driver tables and their row key (the column later joins use).
+# Their per-row work (regexes over whole texts and pages) must run in many
+# tasks; the narrow tables are only joined or aggregated.
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id"}
+SPREAD = os.environ.get("QUIRE_SPREAD", "1") == "1"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. When the scan yields fewer tasks than the session can
+    run at once (small files, one row group), it is hash-spread by its key
+    so per-row work is parallel; large inputs already have the tasks and are
+    read as they are."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if SPREAD and name in TABLE_KEYS and df.rdd.getNumPartitions() < want:
+        df = df.repartition(want, TABLE_KEYS[name])
+    return df
 
 
 def paper_id_of(doc_id: Column) -> Column:
@@ -31,6 +48,7 @@ def paper_id_of(doc_id: Column) -> Column:
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One paper per document (PAPER-like columns + doc_id, date_added, tier)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # narrow lookup sides: the planner broadcasts them by their estimated size
     p = table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url"))
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = (d.join(p, d.doc_id == p.page_id, "left")
