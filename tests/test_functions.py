@@ -103,3 +103,14 @@ def test_unescape_html(spark):
     vals = ["a &amp; b", "&eacute;t&#233; &lt;x&gt;", "plain", None]
     assert _one(spark, __import__("quire.functions.html", fromlist=["x"]).unescape_html("v"), vals) == [
         html.unescape(v) if v else v for v in vals]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["&", "amp;", "lt;", "gt;", "quot;", "#39;", "apos;", "eacute;",
+                                          "#233;", "#x41;", "copy", "a", " ", ";", "<"]), max_size=12),
+                min_size=1, max_size=6))
+def test_unescape_matches_python(spark, parts):
+    import html
+    from quire.functions.html import unescape_html
+    vals = ["".join(p) for p in parts]
+    assert _one(spark, unescape_html("v"), vals) == [html.unescape(v) for v in vals]
