@@ -96,12 +96,15 @@ def section_of(fav: Column, tier: Column) -> Column:
              .when(tier == "moderate", F.lit("moderate")))
 
 
-def sectioned_view(catalog: DataFrame, d=None, columns=None) -> DataFrame:
-    """SO-04: shown papers with ``section`` and position inside the section."""
+def sectioned_view(catalog: DataFrame, d=None, columns=None, materialize: bool = True) -> DataFrame:
+    """SO-04: shown papers with ``section`` and position inside the section.
+
+    ``materialize=False`` is for inputs read in a fixed order (a stored or
+    checkpointed catalog); see :func:`ordered_positions`."""
     c = catalog if d is None else by_date(catalog, d)
     c = c.withColumn("section", section_of(F.col("is_favourite"), F.col("relevance_tier")))
     c = _keep(c.filter(F.col("section").isNotNull()), columns, (*ORDER_COLS, "section"))
-    return ordered_positions(c, ["date_added", "section"], daily_order())
+    return ordered_positions(c, ["date_added", "section"], daily_order(), materialize=materialize)
 
 
 # -- counts -----------------------------------------------------------------

@@ -37,7 +37,7 @@ def flagship(spark: SparkSession, sf_dir: str, run_date: str = RUN_DATE) -> Data
     merged = cut_lineage(C.upsert_catalog(catalog, incoming, run_date))
     newest = V.latest_date(merged)  # one row
     latest = merged.join(F.broadcast(newest), "date_added", "left_semi")
-    shown = V.sectioned_view(latest)
+    shown = V.sectioned_view(latest, materialize=False)  # input is the checkpointed version
     links = card_links(F.col("project_url"), F.col("code_url"), F.col("abstract"), F.col("comment"))
     return shown.select(
         "date_added", "section", "pos", "paper_id", "title", "relevance_tier", "relevance_summary",
