@@ -52,3 +52,12 @@ def test_semi_join_and_no_single_partition(spark, sf, tmp):
     for i, ln in enumerate(lines):
         if "SinglePartition" in ln:
             assert "partial_collect_list(struct(term" in lines[i + 1], lines[i + 1]
+
+
+def test_enrichment_plan_has_no_single_partition(spark, sf):
+    from quire.operators import enrich as EN
+    df = EN.enrich_links(X.papers(spark, sf), X.page_html(spark, sf), X.images(spark, sf))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
