@@ -192,9 +192,19 @@ PAPER_JSON = "array<struct<arxiv_id:string,title:string,authors:array<string>,ab
              "abs_url:string,relevance_tier:string,relevance_summary:string>>"
 
 
-def parse_ingest_payload(bodies: DataFrame, body_col: str = "body", key: str = "request") -> DataFrame:
+def parse_ingest_payload(bodies: DataFrame, body_col: str = "body", key: str = "request",
+                         date_col: str | None = None, run_date=None) -> DataFrame:
     """SRC-09: one row per paper of a JSON-array body; a body that is not a
-    JSON array yields one row with ``error = 'Expected a JSON array'``."""
+    JSON array yields one row with ``error = 'Expected a JSON array'``.
+
+    With ``run_date``, a ``date_added`` column is added: the request's own
+    date (``date_col``) when it has one, else the run date.
+    """
+    if run_date is not None:
+        req_date = F.col(date_col).cast("date") if date_col else F.lit(None).cast("date")
+        bodies = bodies.withColumn("date_added", F.coalesce(req_date, F.lit(run_date).cast("date")))
+        out = parse_ingest_payload(bodies.drop(*([date_col] if date_col else [])), body_col, key)
+        return out.join(bodies.select(key, "date_added"), key, "left")
     b = F.col(body_col)
     is_array = F.json_array_length(b).isNotNull()
     parsed = bodies.select(key, is_array.alias("_ok"), F.from_json(b, PAPER_JSON).alias("_a"))

@@ -72,3 +72,11 @@ def test_criteria_document(spark):
     assert rows == [("high", "360 Imaging", "360 cameras"), ("high", "360 Imaging", "panoramic"),
                     ("high", "360 Imaging", "fisheye"), ("low", None, "Occupancy prediction"),
                     ("exclude", None, "Medical imaging")]
+
+
+def test_ingest_payload_date_default(spark):
+    bodies = spark.createDataFrame([(1, '[{"arxiv_id": "1"}]', "2024-03-01"), (2, '[{"arxiv_id": "2"}]', None)],
+                                   "request int, body string, date string")
+    rows = sorted((r.paper_id, str(r.date_added)) for r in
+                  S.parse_ingest_payload(bodies, date_col="date", run_date="2024-03-05").collect())
+    assert rows == [("1", "2024-03-01"), ("2", "2024-03-05")]
