@@ -49,8 +49,31 @@ def q_stream_ingest(spark, sf):
     return catalog_store.read_catalog(spark, f"{root}/catalog").select("paper_id", "title", "date_added")
 
 
-@register("flagship")
+def _flagship_sql():
+    from .q_enrich import _card_text_sql
+    from .q_triage import STAGE2_CTES
+    ab_code, ab_proj = _card_text_sql("abstract")
+    cm_code, cm_proj = _card_text_sql("comment")
+    ctes = dict(STAGE2_CTES)
+    ctes["merged"] = """select c.paper_id, c.title, c.abstract, c.comment, c.date_added, c.is_favourite,
+  case when j.paper_id is not null then j.relevance_tier else c.relevance_tier end as relevance_tier,
+  j.relevance_summary as relevance_summary
+from catalog c left join (select * from judged where relevance_tier is not null) j using (paper_id)"""
+    ctes["shown"] = """select *, case when is_favourite then 'favourites' when relevance_tier = 'high' then 'high'
+  when relevance_tier = 'moderate' then 'moderate' end as section
+from merged where date_added = (select max(date_added) from merged)"""
+    body = f"""
+select date_added, section, cast(row_number() over (partition by date_added, section
+    order by case relevance_tier when 'high' then 0 when 'moderate' then 1 else 2 end, title, paper_id) as bigint) as pos,
+  paper_id, title, relevance_tier, relevance_summary, is_favourite,
+  array_to_string(list_transform(list_filter(cand, lambda s, i: list_position(list_transform(cand, lambda t: t.url), s.url) = i),
+                                 lambda x: concat(x.label, ':', x.url)), ' ') as links
+from (select *, list_concat({ab_code}, {ab_proj}, {cm_code}, {cm_proj}) as cand from shown where section is not null)"""
+    return dict(views=("papers", "criteria", "catalog"), sql=body, **ctes)
+
+
+@register("flagship", **_flagship_sql())
 def q_flagship(spark, sf):
-    """The end-to-end plan of ``entry`` (rows-only check; its pieces have oracles)."""
+    """The end-to-end plan of ``entry``."""
     from .flagship import flagship
     return flagship(spark, sf)
