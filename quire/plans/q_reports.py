@@ -8,6 +8,7 @@ from ..operators import reports as R
 from ..operators import triage as TR
 from ..sources import fixtures as X
 from .registry import register
+from .text_sql import is_code_sql, text_urls_sql
 
 
 def _judgements(spark, sf):
@@ -166,25 +167,18 @@ def q_run_dates(spark, sf):
     return R.run_dates(req, F.lit("2024-03-01").cast("date"), "2024-03-02")
 
 
+_CODE_LIST = f"list_filter({text_urls_sql('comment', 'abstract')}, lambda u: {is_code_sql('u')})"
+
+
 @register("quality_signals", views=("papers",), sql=f"""
-select p.paper_id, len(list_filter({{code}}, lambda x: true)) > 0 as has_code,
+select p.paper_id, len({_CODE_LIST}) > 0 as has_code,
   regexp_matches(concat_ws(' ', coalesce(comment, ''), coalesce(abstract, '')), '{R.PROMISES_CODE}') as promises_code,
   nullif(regexp_extract(concat_ws(' ', coalesce(comment, ''), coalesce(abstract, '')), '\\b({'|'.join(R.VENUES)})\\b', 1), '') as venue,
   exists (select 1 from (select distinct unnest(authors) as a from papers where doc_id % 50 = 0) k
           where list_contains(p.authors, k.a)) as known_author
-from papers p""".replace("{code}", "__CODE__"))
+from papers p""")
 def q_quality_signals(spark, sf):
+    """CP-12; the known authors are those of every 50th paper (a fixture rule)."""
     p = X.papers(spark, sf)
     known = p.filter(F.col("doc_id") % 50 == 0).select(F.explode("authors").alias("author"))
     return R.quality_signals(p, known)
-
-
-def _fix_quality_sql():
-    from .registry import ORACLE
-    from .text_sql import is_code_sql, text_urls_sql
-    code = f"list_filter({text_urls_sql('comment', 'abstract')}, lambda u: {is_code_sql('u')})"
-    ORACLE["quality_signals"] = ORACLE["quality_signals"].replace(
-        "len(list_filter(__CODE__, lambda x: true))", f"len({code})")
-
-
-_fix_quality_sql()

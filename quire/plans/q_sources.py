@@ -34,9 +34,8 @@ def _atom_papers(spark, sf, keep=None):
 
 @register("parse_entries", views=("records",), sql=f"""
 select {COLLAPSED}, case when comment is null then null else {collapse_sql('comment')} end as comment,
-  array_to_string(authors, '|') as authors_joined, array_to_string(list_distinct_ordered(categories), '|') as categories_joined,
-  published, pdf_url, abs_url from records""".replace(
-    "list_distinct_ordered(categories)", "categories"))
+  array_to_string(authors, '|') as authors_joined, array_to_string(categories, '|') as categories_joined,
+  published, pdf_url, abs_url from records""")
 def q_parse_entries(spark, sf):
     p = _atom_papers(spark, sf)
     return p.select("paper_id", "title", "abstract", "comment",
