@@ -35,18 +35,24 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     spark = get_spark(f"local[{cpus}]", cpus)
     spark.conf.set("spark.sql.shuffle.partitions", str(cpus))
-    times = {}
+    times, failed = {}, {}
     for name in names:
         run = []
-        for i in range(reps + 1):
-            t0 = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:
-                run.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(run), 3)
+        try:
+            for i in range(reps + 1):
+                t0 = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                if i:
+                    run.append(time.perf_counter() - t0)
+            times[name] = round(statistics.median(run), 3)
+        except Exception as e:  # noqa: BLE001 - report the failure, keep measuring the rest
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "sum_median_query_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus, "reps": reps}))
+    out = {"metric": "sum_median_query_sec", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": sf, "cpus": cpus, "reps": reps}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
