@@ -43,6 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         if master.startswith("local"):
             builder = builder.config("spark.driver.memory",
                                      driver_memory or os.environ.get("QUIRE_DRIVER_MEMORY", "12g"))
+            # JVM log warnings (e.g. GC) to stderr, so stdout stays clean for results
+            builder = builder.config("spark.driver.extraJavaOptions", "-Xlog:all=warning:stderr")
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
