@@ -1,6 +1,6 @@
 """Imports the operators, which register their queries."""
 
-from . import chat_format, exact_dedup, license_scan  # noqa: F401
+from . import bpe, chat_format, exact_dedup, license_scan, packing, token_files  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
