@@ -26,6 +26,7 @@ from .tokens import Encoder, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PAIRS = 1_000_000  # neighbours whose verdict a worker remembers
+_ONE = (1,)
 
 
 class Vocabulary:
@@ -34,10 +35,11 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.decimal = {rank: str(rank) for rank in ranks.values()}
         self.longest = max(map(len, ranks))
         ends: dict[bytes, set[int]] = {}
         for token in ranks:
-            ends.setdefault(token[-2:], set()).add(len(token))
+            ends.setdefault(token[-2:], {1}).add(len(token))
         #: lengths of the tokens that end in two given bytes, longest first
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
@@ -72,25 +74,21 @@ class PrefixEncoder:
         self.last = [0]  # length of the last token of each prefix
         self._fill(len(data))
 
-    def _length(self, i: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        ranks, pairs = v.ranks, v.pairs
-        for n in (*v.ends.get(data[i - 2:i], ()), 1) if i > 1 else (1,):
-            j = i - n
-            if j < 0:
-                continue
-            token = data[j:i]
-            if token in ranks:
-                left = data[j - last[j]:j]
-                if (ok := pairs.get((left, token))) is None:
-                    ok = v.neighbours(left, token)
-                if ok:
-                    return n
-        raise ValueError("the vocabulary lacks a byte")
-
     def _fill(self, upto: int) -> None:
-        for i in range(len(self.last), upto + 1):
-            self.last.append(self._length(i))
+        """Stores the last token of each prefix up to ``upto`` bytes."""
+        data, last, v = self.data, self.last, self.vocabulary
+        ranks, pairs, ends = v.ranks, v.pairs, v.ends
+        for i in range(len(last), upto + 1):
+            for n in ends.get(data[i - 2:i], _ONE) if i > 1 else _ONE:
+                j = i - n
+                if j >= 0 and (token := data[j:i]) in ranks:
+                    left = data[j - last[j]:j]
+                    ok = pairs.get((left, token))
+                    if ok or ok is None and v.neighbours(left, token):
+                        last.append(n)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def append(self, more: bytes) -> None:
         """Adds bytes at the end; nothing stored changes."""
@@ -110,9 +108,8 @@ class PrefixEncoder:
             if agreed >= self.vocabulary.longest:
                 self.last += tail[k:]
                 break
-            n = self._length(len(self.last))
-            agreed = agreed + 1 if n == tail[k] else 0
-            self.last.append(n)
+            self._fill(len(self.last))
+            agreed = agreed + 1 if self.last[-1] == tail[k] else 0
             again += 1
         return again
 
@@ -156,10 +153,10 @@ def text_encoder(path: str, pattern: str) -> Encoder:
                 matches[match] = known
         return known
 
-    def encode(ps: list[str]) -> list[bytes]:
-        return [np.array([x for m in split.findall(p) for x in ids(m)], "<u4").tobytes() for p in ps]
+    def encode(ps: list[str]) -> list[np.ndarray]:
+        return [np.array([x for m in split.findall(p) for x in ids(m)], np.uint32) for p in ps]
 
-    return Encoder(encode, True)
+    return Encoder(encode)
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN,
@@ -170,7 +167,10 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str = public_tokeniz
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(vocabulary, pattern)
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(encoder.encode(texts), pa.binary())], names=["id", "ids"])
+            flat, at = encoder.encode(texts)
+            raw, at = flat.astype("<u4").tobytes(), at.tolist()
+            ids = pa.array([raw[4 * a:4 * b] for a, b in zip(at, at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
 
     one = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return one.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
@@ -197,11 +197,12 @@ def decode_texts(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") ->
 
 def _digests(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = load_vocabulary(vocabulary).decimal.__getitem__
         for batch in batches:
             rows = []
             for ids in batch.column("ids"):
                 numbers, data = decode_ids(vocabulary, ids.as_py())
-                rows.append((len(numbers), hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
+                rows.append((len(numbers), hashlib.sha256(",".join(map(decimal, numbers)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
             n, ids, data = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_or_empty
 from .registry import register
-from .tokens import library_encoder, slices
+from .tokens import library_encoder, slices, with_end
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -126,11 +126,10 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     partition's number times 2**32 plus its place there.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         from pyspark import TaskContext
 
-        encoder, packer = library_encoder(vocabulary, False), SumOfSquares(window, max_open)
-        end, at = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 32
+        encoder, packer = library_encoder(vocabulary, fold=True), SumOfSquares(window, max_open)
+        at = TaskContext.get().partitionId() << 32
 
         def rows(closed: list[list]) -> pa.RecordBatch:
             nonlocal at
@@ -149,8 +148,10 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         for batch, texts in slices(batches, "text"):
             closed = []
-            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                closed += packer.add(key, ids + end)
+            flat, place = with_end(*encoder.encode(texts), end_id)
+            raw, place = flat.astype("<u4").tobytes(), place.tolist()
+            for key, a, b in zip(batch.column("doc_id").to_pylist(), place, place[1:]):
+                closed += packer.add(key, raw[4 * a:4 * b])
             yield rows(closed)
         yield rows(packer.finish())
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, scratch_path, text_or_empty
 from .registry import register
-from .tokens import library_encoder, slices
+from .tokens import library_encoder, slices, with_end
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -44,18 +44,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
         import numpy as np
         from pyspark import TaskContext
 
-        encoder, at, part = library_encoder(vocabulary, True), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, before, part = library_encoder(vocabulary), 0, TaskContext.get().partitionId()
         for batch, texts in slices(batches, "text"):
-            ids = [x + end for x in encoder.encode(texts)]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(n)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
+            flat, at = with_end(*encoder.encode(texts), end_id)
+            n = np.diff(at)
+            tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), tokens],
+                [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), tokens],
                 names=["doc_id", "part", "local_start", "n_tokens", "tokens"])
-            at += int(ends[-1])
+            before += int(at[-1])
 
     one = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     (one.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

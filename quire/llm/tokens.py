@@ -1,117 +1,168 @@
 """Whole-text tokenization with public vocabularies inside Spark tasks.
 
-Both pre-tokenizers used here never join characters across a space that a
-non-space follows, so a text may be cut before each such space and its pieces
-encoded one by one. Pieces repeat far more than texts do: each worker keeps
-the ids of recent pieces in a bounded cache and asks the library only for new
-ones. Ids travel as little-endian unsigned 32-bit integers.
+The pre-tokenizers used here split between runs of letters, digits and signs, around
+line ends and before a space that such a run follows. A slice of texts is cut at these
+places with numpy, and equal pieces are found by sorting. Pieces repeat far more
+than texts do: each worker keeps the ids of recent pieces in a bounded cache and asks the
+library only for new ones. Where a character is not surely of a kind named
+above, nothing is cut and the library sees the longer piece.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 
-CACHE_PIECES = 250_000   # per generation, two generations are kept
-CACHED_LENGTH = 64       # longer pieces are encoded each time
-SLICE_BYTES = 1 << 20    # texts encoded at once
-_CUT = re.compile(r" (?=\S)")
-
-
-def pieces(text: str) -> list[str]:
-    """``text`` cut at each space that a non-space follows; all but the first piece lack that space."""
-    parts = text.split(" ")
-    if "" in parts or not all(map(_starts_well, parts[1:])):
-        return _CUT.split(text)
-    return parts
-
+from . import rolling
 
-def _starts_well(part: str) -> bool:
-    return not part[0].isspace()
-
-
-class PieceCache:
-    """Ids of pieces as bytes. The older half goes when the newer one is full."""
+CACHE_PIECES = 300_000   # per generation, two generations are kept
+CACHED_LENGTH = 64       # longer pieces are encoded each time
+SLICE_BYTES = 4 << 20    # texts encoded at once
+SHORT = 16               # pieces of up to so many bytes are told apart by two 8-byte words
+
+_LETTER, _SIGN, _DIGIT, _LINE, _SPACE = 1, 2, 3, 4, 5
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _SIGN  # no apostrophe
+_KINDS[48:58], _KINDS[10], _KINDS[32] = _DIGIT, _LINE, _SPACE
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def piece_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in UTF-8 bytes; ``texts``: where texts begin."""
+    kind = _KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)  # Latin letters of two bytes, but for two signs among them
+    kind[lead] = kind[lead + 1] = np.where((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7), _LETTER, 0)
+    run = (kind != 0) & (kind <= _DIGIT)
+    line = kind == _LINE
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (run[:-1] & run[1:] & (kind[:-1] != kind[1:])) | (run[:-1] & line[1:])
+    cut[2:-1] |= run[:-2] & line[1:-1] & run[2:]  # behind a single line end; more of them depend on what follows
+    cut[:-2] |= (kind[:-1] == _SPACE) & run[1:]
+    cut[texts] = True
+    return np.flatnonzero(cut[:-1])
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the Latin capitals of two bytes."""
+    data = data.copy()
+    data[(data >= 65) & (data <= 90)] += 32
+    low = np.flatnonzero(data == 0xC3) + 1
+    some = low[(data[low] >= 0x80) & (data[low] <= 0x9E) & (data[low] != 0x97)]
+    data[some] += 32
+    return data
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
-        self.encode, self.limit = encode, limit
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def ids(self, lists: list[list[str]]) -> list[bytes]:
-        """The concatenated ids of each list of pieces."""
-        need = set().union(*lists).difference(self.new)
-        if len(self.new) + len(need) > self.limit and self.new:
+class Encoder:
+    """Encodes whole texts by pieces. ``encode``: ids of each of some texts, as the tokenizer gives them.
+
+    ``specials``: strings whose texts are encoded as a whole. ``fold``: the tokenizer
+    folds case, so pieces are looked up in lower case.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], specials: list[str] = (), fold: bool = False, limit: int = CACHE_PIECES):
+        self.ask, self.specials, self.fold, self.limit = encode, specials, fold, limit
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's begin (and the end)."""
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.specials)]
+        if odd:
+            whole = dict(zip(odd, self.ask([texts[i] for i in odd])))
+            flat, at = self.encode(["" if i in whole else t for i, t in enumerate(texts)])
+            parts = [whole.get(i, flat[at[i]:at[i + 1]]) for i in range(len(texts))]
+            return np.concatenate(parts).astype(np.uint32), np.cumsum([0, *map(len, parts)])
+        raw = [t.encode() for t in texts]
+        borders = np.cumsum([0, *map(len, raw)])
+        if not borders[-1]:
+            return np.zeros(0, np.uint32), borders
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts = piece_starts(data, borders[:-1][np.diff(borders) > 0])
+        if self.fold:
+            data = fold_case(data)
+        found, which = distinct(data, starts)
+        ids = self._ids(found)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, place = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        flat = table[np.arange(ends[-1]) + np.repeat(place[which] - (ends - n), n)]
+        before = np.concatenate((np.zeros(1, np.int64), ends))
+        return flat, before[np.searchsorted(starts, borders)]
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        if len(self.new) + len(pieces) > self.limit:
             self.old, self.new = self.new, {}
-            need = set().union(*lists)
-        extra: dict[str, bytes] = {}
+        out = [self.new.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(out) if x is None]
         ask = []
-        for p in need:
-            if (known := self.old.get(p)) is not None:
-                self.new[p] = known
+        for i in missing:
+            if (known := self.old.get(pieces[i])) is None:
+                ask.append(i)
             else:
-                ask.append(p)
-        for p, ids in zip(ask, self.encode(ask)):
-            (self.new if len(p) <= CACHED_LENGTH else extra)[p] = ids
-        if extra:
-            get = {**extra}
-            return [b"".join([self.new[p] if p in self.new else get[p] for p in ps]) for ps in lists]
-        get = self.new.__getitem__
-        return [b"".join(map(get, ps)) for ps in lists]
-
-
-class Encoder:
-    """Encodes whole texts by pieces. ``spaced``: whether the space before a piece is part of its tokens."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, limit: int = CACHE_PIECES):
-        self.rest = PieceCache((lambda ps: encode([" " + p for p in ps])) if spaced else encode, limit)
-        self.first = PieceCache(encode, limit // 10) if spaced else None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        if self.first is None:
-            return self.rest.ids(cut)
-        heads = self.first.ids([ps[:1] for ps in cut])
-        return [a + b for a, b in zip(heads, self.rest.ids([ps[1:] for ps in cut]))]
+                out[i] = self.new[pieces[i]] = known
+        for i, ids in zip(ask, self.ask([pieces[i].decode() for i in ask])):
+            out[i] = ids.astype("<u4").tobytes()
+            if len(pieces[i]) <= CACHED_LENGTH:
+                self.new[pieces[i]] = out[i]
+        return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different pieces, and for each piece which of them it is. Long pieces may come more than once."""
+    ends = np.append(starts[1:], len(data))
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(SHORT, np.uint8)))
+    words = np.ndarray((len(data) + SHORT - 7,), "<u8", padded, strides=(1,))
+    low = words[starts] & _MASKS[np.minimum(size, 8)]
+    high = words[starts + 8 * (size > 8)] & _MASKS[np.clip(size - 8, 0, 8)]
+    key = rolling.mix(low ^ rolling.mix(high + size.astype(np.uint64)))
+    short = size <= SHORT
+    _, first, which = np.unique(key[short], return_index=True, return_inverse=True)
+    at = np.flatnonzero(short)
+    same = at[first][which]
+    if not ((low[at] == low[same]) & (high[at] == high[same]) & (size[at] == size[same])).all():  # two pieces of one key
+        first, which = np.arange(len(at)), np.arange(len(at))
+    long = np.flatnonzero(~short)
+    chosen = np.concatenate((at[first], long))
+    out = np.empty(len(starts), np.int64)
+    out[at], out[long] = which, len(first) + np.arange(len(long))
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())], out
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool) -> Encoder:
+def library_encoder(path: str, fold: bool = False) -> Encoder:
     """Of the tokenizers library; strings of special tokens in a text are encoded as the library does by itself."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
 
-    def encode(ps: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(ps, add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    # A special token inside a text is cut out before the splits above hold
-    specials = [t.content for t in tok.get_added_tokens_decoder().values()]
+    return Encoder(encode, [t.content for t in tok.get_added_tokens_decoder().values()], fold)
 
-    class Whole(Encoder):
-        def encode(self, texts: list[str]) -> list[bytes]:
-            out = super().encode([t if not any(s in t for s in specials) else "" for t in texts])
-            for i, t in enumerate(texts):
-                if any(s in t for s in specials):
-                    out[i] = encode([t])[0]
-            return out
 
-    return Whole(encode, spaced)
+def with_end(flat: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Puts ``end_id`` after each text's ids."""
+    return np.insert(flat, at[1:], end_id).astype(np.uint32), at + np.arange(len(at))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with about SLICE_BYTES of text each, and their texts (null: empty)."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= SLICE_BYTES or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-                start, size = i + 1, 0
+        start, size, texts = 0, 0, []
+        column = batch.column(text)
+        for i in range(batch.num_rows):
+            texts.append(column[i].as_py() or "")
+            size += len(texts[-1])
+            if size >= SLICE_BYTES or i == batch.num_rows - 1:
+                yield batch.slice(start, i + 1 - start), texts
+                start, size, texts = i + 1, 0, []
