@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "documents", "scratch_path", "table", "text_or_empty"]
+__all__ = ["cut_lineage", "documents", "scratch_path", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +28,12 @@ def text_or_empty(col: str | Column) -> Column:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again. For loops: unlike a
+    checkpoint, a table that was read carries no constraints of earlier rounds into the planning of the next."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
