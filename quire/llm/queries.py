@@ -1,6 +1,6 @@
 """Imports the operators, which register their queries."""
 
-from . import bpe, chat_format, exact_dedup, license_scan, near_dedup, packing, quality, suffix_dedup, token_files  # noqa: F401
+from . import bpe, chat_format, exact_dedup, grid_join, license_scan, near_dedup, packing, quality, suffix_dedup, token_files  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
