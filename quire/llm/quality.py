@@ -26,7 +26,7 @@ from .registry import register
 BITS = 17               # buckets of words and n-grams
 GRAMS = (3, 4)          # bytes of an n-gram
 DIMENSIONS = 16
-EPOCHS = 5
+STEPS = 10_000          # texts shown to the descent, with repeats
 RATE = 4.0
 SAMPLE_ROWS = 2_000     # labelled rows that are used for training, at most
 SLICE_BYTES = 1 << 20
@@ -111,7 +111,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -50, 50)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = STEPS, rate: float = RATE, seed: int = 0) -> Model:
     """Trains on (buckets, shares) per text. Without rows of both labels: every score is the share of label 1 (half without rows)."""
     ones = sum(labels)
     if not 0 < ones < len(labels):
@@ -120,9 +120,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: in
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BITS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
+    done = 0
+    while done < steps:
+        for i in rng.permutation(len(rows))[:steps - done]:
             buckets, shares = rows[i]
             now = rate * (1 - done / steps)
             done += 1
