@@ -78,17 +78,22 @@ def upsert_catalog(catalog: DataFrame, incoming: DataFrame, run_date, pos: str =
       column missing from the batch becomes null); ``date_added`` and all user
       state (flags, note, thumbnail, code/project URL) are kept;
     * new: inserted with ``date_added = run_date`` and empty state;
-    * duplicate ids inside the batch: the row with the largest ``pos`` wins.
+    * duplicate ids inside the batch: the row with the largest ``pos`` wins
+      (without ``pos`` the largest row, column by column);
+    * rows without an id are left out.
 
     Implemented as one full outer join on the key (Parquet has no MERGE).
     The stored form (:mod:`quire.sinks.catalog_store`) feeds it only the
     partitions the batch touches, so the catalog is not reshuffled whole.
     """
     run_date = F.lit(run_date).cast("date") if not isinstance(run_date, Column) else run_date.cast("date")
+    incoming = incoming.filter(F.col("paper_id").isNotNull())
     if pos in incoming.columns:
         inc = last_in_batch(incoming, "paper_id", pos).drop(pos)
     else:
-        inc = incoming.dropDuplicates(["paper_id"])
+        rest = [c for c in incoming.columns if c != "paper_id"]
+        inc = incoming.groupBy("paper_id").agg(F.max(F.struct(*rest)).alias("_r")).select("paper_id", "_r.*") if rest \
+            else incoming.distinct()
     inc = inc.select("paper_id", *[
         (F.col(c).cast(CATALOG[c].dataType) if c in inc.columns else _typed_null(c)).alias(c)
         for c in CONTENT_COLUMNS]).withColumn("_new", F.lit(True))

@@ -22,11 +22,6 @@ from ..functions.urls import (classify_urls, code_url_from_page, figure_candidat
 from ..schemas import MIN_IMAGE_BYTES
 from ..session import cut_lineage
 
-# Requested-URL lists up to this size are broadcast to the pages scan, so the
-# HTML is never shuffled; larger lists take a regular (AQE) shuffle join.
-MAX_BROADCAST_URLS = 2_000_000
-
-
 def page_facts(pages: DataFrame, requests: DataFrame) -> DataFrame:
     """JN-09 + FN-16..19: parse each *distinct* requested page once.
 
@@ -39,17 +34,18 @@ def page_facts(pages: DataFrame, requests: DataFrame) -> DataFrame:
         F.max(F.col("kind") == "project").alias("_p"), F.max(F.col("kind") == "repo").alias("_r"),
         F.max(F.col("kind") == "figure").alias("_f"))
     # only (url, html) of the requested pages, then straight to the facts:
-    # the HTML column never reaches a shuffle after this join. The request
-    # list is counted first and broadcast when it is within the bound.
-    n_wanted = wanted.count()
-    side = F.broadcast(wanted) if n_wanted <= MAX_BROADCAST_URLS else wanted
-    hit = pages.select("url", "html").join(side, "url")
+    # the HTML column never reaches a shuffle after this join. The planner
+    # broadcasts the request list by its size in bytes or else shuffles.
+    hit = pages.select("url", "html").join(wanted, "url")
     facts = hit.select(
-        "url",
+        "url", F.xxhash64("html").alias("_h"),
         F.when(F.col("_p"), code_url_from_page("html")).alias("page_code"),
         F.when(F.col("_r"), project_page_from_repo("html")).alias("repo_project"),
         F.when(F.col("_p"), image_candidates("html", F.col("url"))).alias("images"),
         F.when(F.col("_f"), figure_candidates("html", F.col("url"))).alias("figures"))
+    # one page per URL: of several fetches always the same one
+    names = [c for c in facts.columns if c not in ("url", "_h")]
+    facts = facts.groupBy("url").agg(F.max_by(F.struct(*names), "_h").alias("_f")).select("url", "_f.*")
     return (wanted.select("url").join(facts.withColumn("fetched", F.lit(True)), "url", "left")
             .withColumn("fetched", F.coalesce("fetched", F.lit(False))))
 

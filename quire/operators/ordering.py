@@ -54,16 +54,23 @@ def ordered_positions(df: DataFrame, by: list[str], order: list, name: str = "po
     stats = tagged.groupBy("_pid", *by).agg(F.min("_li").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (tagged.join(stats.drop("_n"), ["_pid", *by])
+    return (_join_null_safe(tagged, stats.drop("_n"), ["_pid", *by])
             .withColumn(name, (F.col("_before") + F.col("_li") - F.col("_first") + 1).cast("long"))
             .drop("_pid", "_li", "_first", "_before"))
 
 
+def _join_null_safe(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys; a null key is a group of its own. The keys of ``df`` stay."""
+    side = side.select(*(F.col(k).alias(f"_key_{k}") if k in keys else F.col(k) for k in side.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(side, on).drop(*(f"_key_{k}" for k in keys))
+
+
 def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
     """Rows per group as a (partial) aggregate, joined back on the keys."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
     if by:
-        return df.join(sizes, by)
+        return _join_null_safe(df, sizes, by)
     # one global count: a scalar subquery, no join
     return df.withColumn(name, sizes.scalar())
 

@@ -126,14 +126,17 @@ def judge_by_terms(papers: DataFrame, criteria: DataFrame, text_col: str = "titl
     Adds ``relevance_tier`` (null = not selected) and ``relevance_summary``
     (matched topics). Matching is case-insensitive substring containment.
 
+    Null and empty terms match nothing; a null text matches nothing either.
+
     Size check: at most ``MAX_BROADCAST_TERMS + 1`` term rows are read once.
     Within the bound the terms travel with the tasks as one constant (what a
-    broadcast would ship); beyond it the exact seeded join is used.
+    broadcast would ship); beyond it an exact seeded join gives the same rows.
     """
+    criteria = criteria.filter(F.length("term") > 0)
     terms = criteria.select(F.lower("term").alias("term"), "tier", "topic").limit(MAX_BROADCAST_TERMS + 1).collect()
     if len(terms) <= MAX_BROADCAST_TERMS:
         return _judge_broadcast(papers, [t.asDict() for t in terms], text_col, mode)
-    return _judge_seeded(papers, criteria, text_col, mode, key)
+    return _judge_seeded(papers, criteria, text_col, mode)
 
 
 TERM_ARRAY = "array<struct<term:string,tier:string,topic:string>>"
@@ -155,29 +158,30 @@ def _judge_broadcast(papers, terms, text_col, mode):
              .drop("_hits"))
 
 
-def _judge_seeded(papers, criteria, text_col, mode, key):
+def _judge_seeded(papers, criteria, text_col, mode):
     """Exact substring matching for large term tables.
 
     Every occurrence of a term starts with its first ``m`` characters (``m`` =
-    the shortest term length), so texts are exploded into (key, seed, window)
-    rows and equi-joined with the terms on the seed; AQE splits hot seeds.
+    the shortest term length), so distinct texts are exploded into (text,
+    seed, window) rows and equi-joined with the terms on the seed; AQE splits
+    hot seeds. Matches are attached by text, so repeated or null ids are no matter.
     """
-    terms = criteria.select(F.lower("term").alias("term"), "tier", "topic").filter(F.length("term") > 0)
+    terms = criteria.select(F.lower("term").alias("term"), "tier", "topic")
     lens = terms.agg(F.min(F.length("term")).alias("m"), F.max(F.length("term")).alias("w")).first()
     m, w = int(lens["m"]), int(lens["w"])
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    grams = (papers.select(key, low.alias("_t"))
-             .select(key, "_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t") - m + 1, F.lit(0))))
+    grams = (papers.select(low.alias("_t")).distinct()
+             .select("_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t") - m + 1, F.lit(0))))
                      .alias("_p"))
-             .select(key, F.substring("_t", F.col("_p"), m).alias("_seed"),
+             .select("_t", F.substring("_t", F.col("_p"), m).alias("_seed"),
                      F.substring("_t", F.col("_p"), w).alias("_win")))
     hits = (grams.join(terms.withColumn("_seed", F.substring("term", 1, m)), "_seed")
                  .filter(F.col("_win").startswith(F.col("term")))
-                 .select(key, "tier", "topic").distinct())
-    per = hits.groupBy(key).agg(
+                 .select("_t", "tier", "topic").distinct())
+    per = hits.groupBy("_t").agg(
         F.collect_set("tier").alias("_tiers"),
         F.array_sort(F.collect_set(F.when(F.col("tier") != "exclude", F.col("topic")))).alias("_topics"))
-    j = papers.join(per, key, "left")
+    j = papers.withColumn("_t", low).join(per, "_t", "left").drop("_t")
     tiers = F.coalesce(F.col("_tiers"), F.array().cast("array<string>"))
     return (j.withColumn("relevance_tier", _tier_from(tiers, mode))
              .withColumn("relevance_summary", _summary(F.coalesce(F.col("_topics"), F.array().cast("array<string>"))))
@@ -199,8 +203,10 @@ def unknown_candidates(ids: DataFrame, papers: DataFrame) -> DataFrame:
 
 def judged_to_papers(judged: DataFrame, papers: DataFrame) -> DataFrame:
     """JN-11: take only id / tier / summary from a judge and join the content
-    back, so a judge can never alter paper content."""
-    verdict = judged.select("paper_id", "relevance_tier", "relevance_summary")
+    back, so a judge can never alter paper content. Of several verdicts on
+    one id the first in (tier, summary) order counts, so copies of an id never multiply."""
+    verdict = (judged.groupBy("paper_id").agg(F.min(F.struct("relevance_tier", "relevance_summary")).alias("_v"))
+               .select("paper_id", "_v.*"))
     return papers.drop("relevance_tier", "relevance_summary").join(verdict, "paper_id")
 
 
@@ -241,16 +247,27 @@ JUDGE_OUT = T.StructType([
 
 
 def judge(batches: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
-          strict: bool = False) -> DataFrame:
+          strict: bool = False, by: list[str] | None = None) -> DataFrame:
     """CP-01 + CP-06: run ``scorer`` once per batch inside the executors.
 
+    ``by`` names the columns that :func:`balanced_batches` numbered apart: a
+    batch is then one value of these and of ``batch_id``.
+
     ``scorer(pdf) -> pdf(paper_id, relevance_tier, relevance_summary)``
     receives one batch (at most the batch cap rows). A batch whose scorer
     raises yields one ``status='failed'`` row with the error, unless
-    ``strict`` (then the job fails). Tiers outside {high, moderate} are
+    ``strict`` (then the job fails); a batch without a pick yields one ``ok`` row without an id. Tiers outside {high, moderate} are
     rejected downstream by :func:`valid_judgements`.
     """
+    by = by or []
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = scored(pdf)
+        for i, c in enumerate(by):
+            out.insert(i, c, [pdf[c].iloc[0]] * len(out))
+        return out
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         bid = int(pdf["batch_id"].iloc[0])
         try:
             out = scorer(pdf.drop(columns=["batch_id"]))
@@ -260,26 +277,32 @@ def judge(batches: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame],
                 "relevance_tier": out.get("relevance_tier", pd.Series([None] * len(out))).astype("string"),
                 "relevance_summary": out.get("relevance_summary", pd.Series([None] * len(out))).astype("string"),
                 "status": "ok", "error": None})
+            if not len(out):
+                out = pd.DataFrame([{"batch_id": bid, "paper_id": None, "relevance_tier": None,
+                                     "relevance_summary": None, "status": "ok", "error": None}])
             return out
         except Exception as e:  # noqa: BLE001 - isolate the batch
             if strict:
                 raise
             return pd.DataFrame([{"batch_id": bid, "paper_id": None, "relevance_tier": None,
                                   "relevance_summary": None, "status": "failed",
-                                  "error": f"{type(e).__name__}: {e}"[:500]}])
-    return batches.groupBy("batch_id").applyInPandas(run, JUDGE_OUT)
+                                  "error": f"{type(e).__name__}: {e}"}])
+    schema = T.StructType([batches.schema[c] for c in by] + JUDGE_OUT.fields)
+    return batches.groupBy(*by, "batch_id").applyInPandas(run, schema)
 
 
-def batch_report(judged: DataFrame) -> DataFrame:
+def batch_report(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """AG-08: per batch ``ok`` + number of papers, or ``FAILED`` + error."""
-    return judged.groupBy("batch_id").agg(
+    return judged.groupBy(*(by or []), "batch_id").agg(
         F.when(F.max(F.col("status") == "failed"), F.lit("FAILED")).otherwise(F.lit("ok")).alias("status"),
         F.count("paper_id").alias("n_papers"),
         F.max("error").alias("error"))
 
 
 def valid_judgements(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """FL-08: (valid, rejected) - id present and tier in {high, moderate}."""
+    """FL-08: (valid, rejected) - id present and tier in {high, moderate}.
+    The status row of a batch without a pick is neither."""
+    judged = judged.filter(~(F.col("paper_id").isNull() & (F.col("status") == "ok"))) if "status" in judged.columns else judged
     ok = F.col("paper_id").isNotNull() & F.col("relevance_tier").isin("high", "moderate")
     return judged.filter(ok), judged.filter(~ok | ok.isNull())
 
@@ -294,30 +317,32 @@ def tier_report(filtered: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Prompts (PR-06/07) and envelopes (SRC-08)
 # ---------------------------------------------------------------------------
-def prompt_stage1(batches: DataFrame, criteria_text: DataFrame, run_date) -> DataFrame:
-    """PR-06: one prompt per batch - criteria, then the batch's title lines in order."""
-    lines = batches.select("batch_id", "pos", title_line("paper_id", "title", "published").alias("line"))
-    per = lines.groupBy("batch_id").agg(
+def prompt_stage1(batches: DataFrame, criteria_text: DataFrame, run_date, by: list[str] | None = None) -> DataFrame:
+    """PR-06: one prompt per batch (of each value of ``by``) - criteria, then the batch's title lines in order."""
+    keys = [*(by or []), "batch_id"]
+    lines = batches.select(*keys, "pos", title_line("paper_id", "title", "published").alias("line"))
+    per = lines.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]),
                      "\n").alias("_lines"))
     tail = F.lit(STAGE1_PROMPT_TAIL.split("{prefix}")[0])
     tail2 = F.lit(STAGE1_PROMPT_TAIL.split("{prefix}")[1])
     crit = criteria_text.select("text").scalar()  # one document, attached as a scalar subquery
     return (per.withColumn("_crit", crit)
-            .select("batch_id", F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE1_PROMPT_PAPERS),
+            .select(*keys, F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE1_PROMPT_PAPERS),
                                          F.col("_lines"), tail, month_prefix(F.lit(run_date)), tail2).alias("prompt")))
 
 
-def prompt_stage2(batches: DataFrame, criteria_text: DataFrame) -> DataFrame:
-    """PR-07: criteria first, then the batch's full records as a JSON array."""
+def prompt_stage2(batches: DataFrame, criteria_text: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """PR-07: criteria first, then the full records of the batch (of each value of ``by``) as a JSON array."""
+    keys = [*(by or []), "batch_id"]
     rec = F.struct("pos", F.struct("paper_id", "title", "authors", "abstract", "comment", "categories",
                                    "published", "pdf_url", "abs_url").alias("r"))
-    per = batches.groupBy("batch_id").agg(
+    per = batches.groupBy(*keys).agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(rec)), lambda x: x["r"]),
                   {"ignoreNullFields": "false"}).alias("_json"))
     crit = criteria_text.select("text").scalar()
     return (per.withColumn("_crit", crit)
-            .select("batch_id", F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE2_PROMPT_PAPERS),
+            .select(*keys, F.concat(F.lit(STAGE1_PROMPT_HEAD), F.col("_crit"), F.lit(STAGE2_PROMPT_PAPERS),
                                          F.col("_json"), F.lit(STAGE2_PROMPT_TAIL)).alias("prompt")))
 
 

@@ -6,8 +6,8 @@ prefixed with the CTEs of the views it reads (dependencies included).
 
 from __future__ import annotations
 
-PAPER_ID_SQL = ("concat('24', lpad(cast(1 + {d} % 12 as varchar), 2, '0'), '.', "
-                "lpad(cast({d} as varchar), 5, '0'))")
+PAPER_ID_SQL = ("concat(lpad(cast(24 + {d} // 100000 as varchar), 2, '0'), lpad(cast(1 + {d} % 12 as varchar), 2, '0'), '.', "
+                "lpad(cast({d} % 100000 as varchar), 5, '0'))")
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "papers": ((), f"""

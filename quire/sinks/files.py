@@ -87,7 +87,8 @@ def snapshot_catalog(catalog: DataFrame, root: str, snap_date) -> DataFrame:
     catalog.write.mode("overwrite").parquet(path)
     written = catalog.sparkSession.read.parquet(path)
     row = snapshot_manifest_row(written, snap_date, path)
-    row.write.mode("append").parquet(f"{root}/manifest")
+    # one manifest folder per date, so a repeated run replaces its row
+    row.write.mode("overwrite").parquet(f"{root}/manifest/snapshot={snap_date}")
     return row
 
 

@@ -91,7 +91,8 @@ def feed_item_ids(feeds: DataFrame, xml_col: str = "xml", key: str = "feed",
 def feed_announcement_date(feeds: DataFrame, xml_col: str = "xml", key: str = "feed") -> DataFrame:
     """SRC-02: (feed, announced) from the channel ``pubDate`` (local date as
     written; null if unparseable - the caller falls back to the run date)."""
-    pub = F.regexp_extract(F.col(xml_col), r"(?s)<channel>.*?<pubDate>([^<]*)</pubDate>", 1)
+    channel = F.regexp_replace(F.col(xml_col), r"(?s)<item\b.*?</item>", "")
+    pub = F.regexp_extract(channel, r"(?s)<channel>.*?<pubDate>([^<]*)</pubDate>", 1)
     return feeds.select(key, parse_day_month_year(pub).alias("announced"))
 
 
@@ -123,7 +124,7 @@ def listing_ids_by_date(pages: DataFrame, html_col: str = "html", key: str = "pa
         ids = ids.filter(F.col("announced").isin([F.lit(d).cast("date") for d in dates]))
     first = ids.groupBy(key, "announced", "paper_id").agg(F.min(F.struct("sec", "k")).alias("_p"))
     return first.select(key, "announced", "paper_id",
-                        (F.col("_p.sec") * F.lit(1 << 20) + F.col("_p.k")).alias("pos"))
+                        (F.col("_p.sec").cast("long") * F.lit(1 << 32) + F.col("_p.k")).alias("pos"))
 
 
 # ---------------------------------------------------------------------------
@@ -344,7 +345,7 @@ def render_abs_page(p) -> Column:
     authors = F.array_join(F.transform(p["authors"], lambda a: F.concat(
         F.lit('<meta name="citation_author" content="'), xml_escape(a), F.lit('" />\n'))), "")
     cats = p["categories"]
-    rest = F.array_join(F.transform(F.slice(cats, 2, 100), lambda c: F.concat(F.lit("Other ("), c, F.lit(")"))), "; ")
+    rest = F.array_join(F.transform(F.slice(cats, F.lit(2), F.size(cats)), lambda c: F.concat(F.lit("Other ("), c, F.lit(")"))), "; ")
     return F.concat(
         F.lit('<html><head><meta name="citation_title" content="'), xml_escape(p["title"]), F.lit('" />\n'),
         authors, F.lit('<meta name="citation_date" content="'), p["published"], F.lit('" />\n'),

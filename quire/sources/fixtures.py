@@ -36,12 +36,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def paper_id_of(doc_id: Column) -> Column:
-    """Synthetic paper id: ``24MM.NNNNN`` with MM = 1 + doc_id % 12."""
+    """Synthetic paper id ``YYMM.NNNNN``: MM = 1 + doc_id % 12, NNNNN the last
+    five digits of doc_id, YY = 24 and one more for each 100,000 (unique up to 7.6 million documents)."""
     return F.concat(
-        F.lit("24"),
+        F.lpad((F.lit(24) + F.floor(doc_id / 100_000)).cast("string"), 2, "0"),
         F.lpad((F.lit(1) + doc_id % 12).cast("string"), 2, "0"),
         F.lit("."),
-        F.lpad(doc_id.cast("string"), 5, "0"),
+        F.lpad((doc_id % 100_000).cast("string"), 5, "0"),
     )
 
 
