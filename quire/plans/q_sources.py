@@ -110,8 +110,8 @@ def q_parse_abs(spark, sf):
 
 
 def _bodies(spark, sf):
-    b = _numbered(spark, sf)
-    rec = F.struct(F.col("paper_id").alias("arxiv_id"), "title", "relevance_tier")
+    b = _numbered(spark, sf, cols=("paper_id", "doc_id", "title", "abstract", "comment", "relevance_tier"))
+    rec = F.struct(F.col("paper_id").alias("arxiv_id"), "title", "abstract", "comment", "relevance_tier")
     per = b.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", rec.alias("r")))).alias("_l"))
     body = F.when(F.col("batch_id") % 7 == 3, F.lit('{"papers": []}')).otherwise(
         F.to_json(F.transform("_l", lambda x: x["r"])))
@@ -122,13 +122,16 @@ def _bodies(spark, sf):
 select request, case when request % 7 = 3 then null else pos end as pos,
   case when request % 7 = 3 then null else paper_id end as paper_id,
   case when request % 7 = 3 then null else title end as title,
+  case when request % 7 = 3 then null else abstract end as abstract,
+  case when request % 7 = 3 then null else comment end as comment,
   case when request % 7 = 3 then null else relevance_tier end as relevance_tier,
   case when request % 7 = 3 then 'Expected a JSON array' end as error
-from (select paper_id, title, relevance_tier, cast(floor((rn - 1) / 50) as bigint) as request, cast((rn - 1) % 50 as int) as pos
+from (select paper_id, title, abstract, comment, relevance_tier, cast(floor((rn - 1) / 50) as bigint) as request, cast((rn - 1) % 50 as int) as pos
       from (select *, row_number() over (order by paper_id) as rn from papers))
 where request % 7 <> 3 or pos = 0""")
 def q_ingest_payload(spark, sf):
-    return S.parse_ingest_payload(_bodies(spark, sf))
+    return S.parse_ingest_payload(_bodies(spark, sf)).select("request", "pos", "paper_id", "title", "abstract", "comment",
+                                                             "relevance_tier", "error")
 
 
 def _fetch_inputs(spark, sf):

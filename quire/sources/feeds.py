@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.html import unescape_html
 from ..functions.text import (collapse_ws, extract_id, flip_author, parse_day_month_year,
-                              pdf_link, primary_first, py_strip, strip_tags, xml_escape)
+                              pdf_link, primary_first, py_strip, strip_tags, valid_date, xml_escape)
 from ..operators.ordering import carry_header_forward
 from ..schemas import PAPER, SECTION_TIERS
 
@@ -195,28 +195,29 @@ PAPER_JSON = "array<struct<arxiv_id:string,title:string,authors:array<string>,ab
 
 def parse_ingest_payload(bodies: DataFrame, body_col: str = "body", key: str = "request",
                          date_col: str | None = None, run_date=None) -> DataFrame:
-    """SRC-09: one row per paper of a JSON-array body; a body that is not a
-    JSON array yields one row with ``error = 'Expected a JSON array'``.
+    """SRC-09: one row per paper of a JSON-array body with all its fields; a
+    body that is not a JSON array yields one row with ``error = 'Expected a JSON array'``.
 
     With ``run_date``, a ``date_added`` column is added: the request's own
-    date (``date_col``) when it has one, else the run date.
+    date (``date_col``) when it has one, else the run date. A request whose
+    date is given but impossible yields one row with ``error = 'Invalid date'``.
     """
-    if run_date is not None:
-        req_date = F.col(date_col).cast("date") if date_col else F.lit(None).cast("date")
-        bodies = bodies.withColumn("date_added", F.coalesce(req_date, F.lit(run_date).cast("date")))
-        out = parse_ingest_payload(bodies.drop(*([date_col] if date_col else [])), body_col, key)
-        return out.join(bodies.select(key, "date_added"), key, "left")
     b = F.col(body_col)
-    is_array = F.json_array_length(b).isNotNull()
-    parsed = bodies.select(key, is_array.alias("_ok"), F.from_json(b, PAPER_JSON).alias("_a"))
-    good = (parsed.filter("_ok").select(key, F.posexplode("_a").alias("pos", "p"))
-            .select(key, "pos", F.col("p.arxiv_id").alias("paper_id"), "p.title", "p.relevance_tier",
-                    F.lit(None).cast("string").alias("error")))
-    bad = parsed.filter(~F.col("_ok")).select(
-        key, F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("paper_id"),
-        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("relevance_tier"),
-        F.lit("Expected a JSON array").alias("error"))
-    return good.unionByName(bad)
+    error = F.when(F.json_array_length(b).isNull(), F.lit("Expected a JSON array"))
+    dates = []
+    if run_date is not None:
+        given = F.nullif(F.col(date_col).cast("string"), F.lit("")) if date_col else F.lit(None).cast("string")
+        own = valid_date(given)
+        error = F.coalesce(error, F.when(given.isNotNull() & own.isNull(), F.lit("Invalid date")))
+        dates = [F.coalesce(own, F.lit(run_date).cast("date")).alias("date_added")]
+    parsed = bodies.select(key, *dates, error.alias("error"), F.from_json(b, PAPER_JSON).alias("_a"))
+    # a rejected request keeps one row without a paper
+    one = F.when(F.col("error").isNull(), F.col("_a")).otherwise(F.array(F.lit(None).cast(PAPER_JSON[6:-1])))
+    rows = parsed.withColumn("_a", one).select(key, *[d for d in parsed.columns if d == "date_added"], "error", F.posexplode("_a").alias("pos", "p"))
+    return rows.select(key, *[d for d in rows.columns if d == "date_added"],
+                       F.when(F.col("error").isNull(), F.col("pos")).alias("pos"), F.col("p.arxiv_id").alias("paper_id"),
+                       *[f"p.{c}" for c in ("title", "authors", "abstract", "comment", "categories", "published", "updated", "pdf_url",
+                                            "abs_url", "relevance_tier", "relevance_summary")], "error")
 
 
 PAPER_FILE = T.StructType([T.StructField("arxiv_id", T.StringType())] + PAPER.fields[1:])

@@ -80,3 +80,9 @@ def test_ingest_payload_date_default(spark):
     rows = sorted((r.paper_id, str(r.date_added)) for r in
                   S.parse_ingest_payload(bodies, date_col="date", run_date="2024-03-05").collect())
     assert rows == [("1", "2024-03-01"), ("2", "2024-03-05")]
+    bad = spark.createDataFrame([(3, '[{"arxiv_id": "3", "abstract": "a", "authors": ["x"]}]', "2026-02-30"),
+                                 (4, '[{"arxiv_id": "4", "abstract": "a", "authors": ["x"]}]', "2026-02-03")],
+                                "request int, body string, date string")
+    got = S.parse_ingest_payload(bad, date_col="date", run_date="2024-03-05")
+    assert sorted((r.request, r.paper_id, r.abstract, r.error) for r in got.collect()) == [
+        (3, None, None, "Invalid date"), (4, "4", "a", None)]
