@@ -38,7 +38,7 @@ from .registry import register
 
 LENGTH = 400        # bytes of the shortest string that counts as repeated
 SPLIT_GROUP = 256   # classes of one gram that are split by context
-MAX_GROUP = 2048    # classes that one suffix array holds at most
+MAX_GROUP = 16384   # classes that one suffix array holds at most
 
 
 # ---- one suffix array -------------------------------------------------------
@@ -63,6 +63,12 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
+def _suffix_array(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """Their order, and the common prefix of each with the one before it (0 for the first)."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    return order, [0, *(common(strings[a], strings[b]) for a, b in zip(order, order[1:]))]
+
+
 def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = 1) -> Iterator[tuple[int, list[int], list[int]]]:
     """(depth, members, left extensions) of each common-prefix interval of at least ``least`` bytes.
 
@@ -71,12 +77,8 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = 1) ->
     member shares with another one. An interval whose members all have the same byte before
     them is no maximal repeat: then every extension is at least 1.
     """
-    order = sorted(range(len(rights)), key=rights.__getitem__)
-    lcp = [0] + [common(rights[a], rights[b]) for a, b in zip(order, order[1:])]
-    by_left = sorted(range(len(lefts)), key=lefts.__getitem__)
-    rank = [0] * len(lefts)
-    for k, i in enumerate(by_left):
-        rank[i] = k
+    order, lcp = _suffix_array(rights)
+    rank = {i: k for k, i in enumerate(_suffix_array(lefts)[0])}
     for depth, first, last in intervals(lcp):
         if depth >= least:
             members = sorted(order[first:last + 1], key=rank.__getitem__)
@@ -85,16 +87,38 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = 1) ->
 
 
 def extents(lefts: list[bytes], rights: list[bytes], length: int, gram: int) -> list[tuple[int, int]]:
-    """Per occurrence how far the bytes around its anchor are repeated, to the left and right; (0, 0) if not at all."""
+    """Per occurrence how far the bytes around its anchor are repeated, to the left and right; (0, 0) if not at all.
+
+    Intervals come deepest first, so the first one that suffices gives an
+    occurrence its right end; it is open until its left end is as far as any other occurrence allows.
+    """
     out = [(0, 0)] * len(lefts)
-    if len(lefts) == 2:
-        found = iter([(common(*rights), [0, 1], [common(*lefts)] * 2)])
-    else:
-        found = maximal_repeats(lefts, rights, gram)
-    for depth, members, extensions in found:
-        for i, e in zip(members, extensions):
+    if len(lefts) <= 16:
+        pair = len(lefts) == 2
+        found = [(common(*rights), [0, 1], [common(*lefts)] * 2)] if pair else maximal_repeats(lefts, rights, gram)
+        for depth, members, extensions in found:
+            for i, e in zip(members, extensions):
+                if e + depth >= length:
+                    out[i] = max(out[i][0], e), max(out[i][1], depth)
+        return out
+    order, lcp = _suffix_array(rights)
+    by_left, shared = _suffix_array(lefts)
+    rank = np.empty(len(lefts), np.int64)
+    rank[by_left] = np.arange(len(lefts))
+    farthest = [max(a, b) for a, b in zip(shared, [*shared[1:], 0])]  # by left rank
+    deepest = [max(a, b) for a, b in zip(lcp, [*lcp[1:], 0])]         # by place in the suffix array
+    ranks = rank[order]
+    still = np.array([farthest[k] + d >= length for k, d in zip(ranks.tolist(), deepest)])
+    for depth, first, last in intervals(lcp):
+        if depth < gram or not (places := np.flatnonzero(still[first:last + 1])).size:
+            continue
+        inside = np.sort(ranks[first:last + 1])
+        for place, k in zip((places + first).tolist(), np.searchsorted(inside, ranks[places + first]).tolist()):
+            i = order[place]
+            e = max(common(lefts[i], lefts[by_left[inside[j]]]) for j in (k - 1, k + 1) if 0 <= j < len(inside))
             if e + depth >= length:
                 out[i] = max(out[i][0], e), max(out[i][1], depth)
+                still[place] = out[i][0] < farthest[inside[k]]
     return out
 
 
