@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -323,6 +324,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .withColumnRenamed("id", id_col))
 
 
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **sizes) -> DataFrame:
+    """``docs`` with the kept text of :func:`remove_repeats` in ``text_col``, other columns unchanged.
+    A character of which only some bytes are left goes; a null text stays null."""
+    spans = repeated_spans(docs, id_col, text_col, length, **sizes).select(F.col("id").alias("__id__"), F.col("h").alias("__h__"), F.col("spans").alias("__spans__"))
+    named = docs.withColumn("__own__", F.xxhash64(text_or_empty(text_col)))
+    met = named.join(spans, named[id_col].eqNullSafe(spans["__id__"]) & (named["__own__"] == spans["__h__"]), "left")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, gone in zip(texts, spans):
+            if gone is not None and len(gone):
+                data = text.encode()
+                edges = [0, *(x for run in merged(list(gone), len(data)) for x in run), len(data)]
+                text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return met.select(*(cut(F.col(c), F.col("__spans__")).alias(c) if c == text_col else named[c] for c in docs.columns))
+
+
 @register("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(documents(spark, sf_dir))
