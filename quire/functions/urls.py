@@ -146,7 +146,7 @@ def resolve_url(base, ref) -> Column:
     bquery = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
     origin = F.concat(scheme, F.lit("://"), authority)
     rpath = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    rtail = F.substring(ref, F.length(rpath) + 1, 1 << 30)
+    rtail = F.substring(ref, F.length(rpath) + 1, F.length(ref))
     merged = F.when((authority != "") & (bpath == ""), F.concat(F.lit("/"), rpath)).otherwise(
         F.concat(F.regexp_replace(bpath, r"[^/]*$", ""), rpath))
     return (F.when(ref.rlike(_SCHEME), ref)

@@ -10,18 +10,14 @@ from pyspark.sql import types as T
 # Paper ID: four digits, a dot, four or five digits; first match; no version.
 ID_PATTERN = r"(\d{4}\.\d{4,5})"
 # Relevance tiers and their display order: high=0, moderate=1, anything else=2.
-TIER_ORDER = {"high": 0, "moderate": 1}
 # Batch caps: stage-1 title scan, stage-2 abstract filter, metadata request size.
 STAGE1_BATCH_CAP = 200
 STAGE2_BATCH_CAP = 12
 FETCH_BATCH_SIZE = 50
 # Characters stripped from the right end of a URL found in free text.
-URL_STRIP = ".,;:)"
 # The same for code links found in page HTML (adds both quote characters).
-PAGE_URL_STRIP = ".,;:)'\""
 # Code hosts used by enrichment; the paper card also accepts bitbucket.org.
 CODE_HOSTS = ("github.com", "gitlab.com", "huggingface.co")
-CARD_CODE_HOSTS = ("github.com", "gitlab.com", "bitbucket.org", "huggingface.co")
 # GitHub pages that are never a repository (matched after "https://").
 GITHUB_NOISE = (
     "github.com/features", "github.com/nerfies", "github.com/settings",
@@ -68,10 +64,6 @@ PAPER = T.StructType([
     T.StructField("abs_url", T.StringType()),
 ])
 
-JUDGED = T.StructType(PAPER.fields + [
-    T.StructField("relevance_tier", T.StringType()),
-    T.StructField("relevance_summary", T.StringType()),
-])
 
 # Catalog row: content columns + sticky user state. date_added is the
 # partition column of the stored table.
@@ -126,10 +118,3 @@ STAGE2_OUTPUT = T.StructType([
 STAGE2_REQUIRED = ("arxiv_id", "title", "authors", "abstract", "published",
                    "pdf_url", "abs_url", "relevance_tier", "relevance_summary")
 
-INTERACTION = T.StructType([
-    T.StructField("seq", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("paper_id", T.StringType()),
-    T.StructField("action", T.StringType()),
-    T.StructField("note", T.StringType()),
-])

@@ -268,8 +268,8 @@ def criteria_rows(docs: DataFrame, text_col: str = "text", key: str = "doc") ->
     ``- a, b`` lists terms. Sections without a known tier keep tier null.
     """
     lines = docs.select(key, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "_l"))
-    sec = F.when(F.col("_l").startswith("## "), F.trim(F.substring("_l", 4, 1 << 20)))
-    top = F.when(F.col("_l").startswith("### "), F.trim(F.substring("_l", 5, 1 << 20)))
+    sec = F.when(F.col("_l").startswith("## "), F.trim(F.substring("_l", F.lit(4), F.length("_l"))))
+    top = F.when(F.col("_l").startswith("### "), F.trim(F.substring("_l", F.lit(5), F.length("_l"))))
     lines = lines.withColumn("_sec", sec).withColumn("_top", F.when(sec.isNotNull(), F.lit("")).otherwise(top))
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = (lines.withColumn("section", F.last("_sec", ignorenulls=True).over(w))
@@ -279,7 +279,7 @@ def criteria_rows(docs: DataFrame, text_col: str = "text", key: str = "doc") ->
         tier = F.when(F.col("section").startswith(name), F.lit(t)).otherwise(tier)
     items = lines.filter(F.col("_l").startswith("- ")).select(
         key, "line_no", "section", "topic", tier.alias("tier"),
-        F.explode(F.split(F.substring("_l", 3, 1 << 20), ",")).alias("term"))
+        F.explode(F.split(F.substring("_l", F.lit(3), F.length("_l")), ",")).alias("term"))
     return items.withColumn("term", F.trim("term")).filter(F.col("term") != "")
 
 

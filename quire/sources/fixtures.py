@@ -173,7 +173,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
         "comment", F.lit("moderate").alias("relevance_tier"),
         (F.col("doc_id") + 1000000).alias("pos"))
     c = p.filter(F.col("doc_id") % 10 == 0).select(
-        F.concat(F.lit("9"), F.substring("paper_id", 2, 1 << 20)).alias("paper_id"), "doc_id",
+        F.concat(F.lit("9"), F.substring("paper_id", F.lit(2), F.length("paper_id"))).alias("paper_id"), "doc_id",
         "title", "comment", F.lit("high").alias("relevance_tier"),
         (F.col("doc_id") + 2000000).alias("pos"))
     return a.unionByName(b).unionByName(c)

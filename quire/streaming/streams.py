@@ -91,17 +91,27 @@ def stream_daily_counts(source: DataFrame, delay: str = "1 day", ts: str = "ts")
 
 
 def run_available(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming frame over all available input into a memory table and
-    return that table (the batch view of one cron run)."""
+    """Run a streaming frame over all available input into Parquet files in
+    the shared folder and return them (the batch view of one cron run): with
+    ``complete`` the last state, else the rows of all micro-batches."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(table)
+    path = f"{scratch_dir(spark, 'out-' + name)}/{uuid.uuid4().hex[:8]}"
+    epochs: list[int] = []
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        epochs.append(epoch)
+
+    q = (df.writeStream.outputMode(mode).foreachBatch(keep)
          .option("checkpointLocation", checkpoint or scratch_dir(spark, "ckpt-" + name))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return spark.table(table)
+    wanted = epochs[-1:] if mode == "complete" else epochs
+    if not wanted:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(f"{path}/epoch={e}" for e in wanted))
 
 
 def stream_ingest(spark: SparkSession, feed_dir: str, catalog_root: str, run_date,
@@ -111,12 +121,13 @@ def stream_ingest(spark: SparkSession, feed_dir: str, catalog_root: str, run_dat
     trigger, exactly once per file thanks to the checkpoint. The upsert is
     idempotent, so a replayed batch after a failure changes nothing."""
     src = (spark.readStream.schema(PAPER_FILE).option("multiLine", str(multiline).lower()).json(feed_dir)
+           .select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_file"))
            .withColumnRenamed("arxiv_id", "paper_id"))
 
     def merge(batch: DataFrame, _epoch: int) -> None:
         if not batch.isEmpty():
-            # arrival order inside the micro-batch decides in-batch duplicates
-            batch = batch.withColumn("pos", F.monotonically_increasing_id())
+            # arrival order decides in-batch duplicates: file time, path, then place in the file
+            batch = batch.withColumn("pos", F.struct("_file", F.monotonically_increasing_id().alias("row"))).drop("_file")
             catalog_store.upsert(batch.sparkSession, catalog_root, batch, run_date)
 
     q = (src.writeStream.foreachBatch(merge)
