@@ -5,7 +5,7 @@
 2. *Inverted lists* of retained values propose pairs. Only the rarest values of a
    sketch are listed: two classes that reach the similarity share so many
    retained values that one of these is among the rarest of both (``_needed``). Sets that fit the
-   sketch as a whole are listed by the exact bound.
+   sketch as a whole are listed by the exact bound. Lists of frequent values are split by the values that follow them.
 3. Pairs pass the *union-sketch estimate*: among the least values of both sketches together,
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
@@ -35,6 +35,7 @@ WORDS = 5          # of a shingle
 SIMILARITY = 80    # percent
 SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
+HOT = 64           # classes of a value whose list is split by what follows
 MARGIN = 6         # standard deviations that the number of shared values may fall short
 ROUNDS = 6         # of leaders, at most
 SLICE_BYTES = 1 << 20
@@ -99,26 +100,34 @@ def _needed(m: Column) -> Column:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node) for the rarest retained values of each class, of values that two classes have.
+    """(value, node, n) for the rarest retained values of each class, of values that two classes have.
 
     Sets of up to SKETCH shingles are held whole and listed apart (values below 0), by
-    the exact bound. A set that may also meet a larger one is listed both ways.
+    the exact bound. A set that may also meet a larger one is listed both ways. Of sets beyond SKETCH the
+    list of a frequent value is split by the retained value that follows it, and again by the one after that where this
+    is not enough: neighbours in the order of the hash are shared as independently as single values are.
     """
     n = F.col("n")
-    whole = classes.filter(n <= SKETCH).select("node", n.alias("m"), F.ceil(n * SIMILARITY / 100).alias("need"),
-                                               F.transform("sketch", lambda v: -v - 1).alias("values"))
+    after = lambda k: F.transform("sketch", lambda v, i: F.get("sketch", (i + k) % F.size("sketch")))
+    held = classes.withColumn("held", F.arrays_zip(F.col("sketch").alias("value"), after(1).alias("next"), after(2).alias("next2")))
+    whole = held.filter(n <= SKETCH).select("node", "n", n.alias("m"), F.ceil(n * SIMILARITY / 100).alias("need"),
+                                            F.explode("held").alias("v")).withColumn("value", -F.col("v.value") - 1)
     m = F.least(n, F.lit(LISTED))
-    parts = classes.filter(100 * n >= SIMILARITY * SKETCH).select("node", m.alias("m"), _needed(m).alias("need"),
-                                                                  F.slice("sketch", 1, LISTED).alias("values"))
-    rows = whole.unionByName(parts).select("node", "m", "need", F.explode("values").alias("value"))
-    often = rows.groupBy("value").count().filter("count > 1")
-    met = rows.join(often, "value")
+    parts = held.filter(100 * n >= SIMILARITY * SKETCH).select("node", "n", m.alias("m"), _needed(m).alias("need"),
+                                                               F.explode(F.slice("held", 1, LISTED)).alias("v")).withColumn("value", F.col("v.value"))
+    rows = whole.unionByName(parts).select("node", "n", "m", "need", "value", F.col("v.next").alias("next"), F.col("v.next2").alias("next2"))
+    met = rows.join(rows.groupBy("value").count().filter("count > 1"), "value")
     # rarest first; values of one class only, which are not in `met`, come before all
     mode = Window.partitionBy("node", F.col("value") < 0)
     order = mode.orderBy("count", "value")
     place = F.col("m") - F.count(F.lit(1)).over(mode) + F.row_number().over(order)
-    return (met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1)
-            .select("value", "node"))
+    kept = written(met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1), "postings")
+    often = (F.col("count") > HOT) & (F.col("value") >= 0)
+    hot = kept.filter(often).withColumn("pair", F.xxhash64("value", "next"))
+    sizes = hot.groupBy("pair").agg(F.count(F.lit(1)).alias("size"))
+    split = hot.join(sizes, "pair").select(
+        F.when(F.col("size") <= HOT, F.col("pair")).otherwise(F.xxhash64("pair", "next2")).alias("value"), "node", "n")
+    return kept.filter(~often).select("value", "node", "n").unionByName(split).distinct()
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
@@ -181,6 +190,7 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
     lists = written(lists.join(shared, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
     texts = written(_texts(rows, wanted, kind, words), "texts")
+    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
     n_lists = lists.count()
     tested = spark.createDataFrame([], "a long, b long")
     roots = lists.select("node", F.col("node").alias("root")).distinct()
@@ -195,12 +205,12 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
         last = step == ROUNDS or step > 1 and (open_pairs <= 2 * n_lists or open_pairs > 0.7 * before)
         before = open_pairs
         if last:
-            other = now.select("value", F.col("node").alias("node2"), F.col("root").alias("root2"))
-            pairs = now.join(other, "value").filter("node < node2 and root <> root2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+            other = now.select("value", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+            pairs = now.join(other, "value").filter(F.expr("node < node2 and root <> root2") & alike("n", "n2")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
         else:
-            rank = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("h"), "node", "root")
+            rank = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("h"), "node", "root", "n")
             leaders = now.groupBy("value").agg(F.min(rank).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-            pairs = now.join(leaders, "value").filter(F.col("lead.root") != F.col("root")).select(
+            pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
                 F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = _links(pairs, classes, texts, words)
@@ -214,7 +224,7 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
         if last:
             break
         tested = tested.union(pairs)
-        now = written(lists.join(roots, "node").select("value", "node", "root"), "lists")
+        now = written(lists.join(roots, "node").select("value", "node", "n", "root"), "lists")
     return roots
 
 

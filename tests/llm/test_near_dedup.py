@@ -66,8 +66,9 @@ def test_leaders_and_pair_rounds_agree(spark, monkeypatch):
     texts = cases()[:80]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = [least for _, least in brute_force(texts, 2)]
-    for rounds in (0, 1):
+    for rounds, hot in ((0, 64), (1, 4)):
         monkeypatch.setattr(N, "ROUNDS", rounds)
+        monkeypatch.setattr(N, "HOT", hot)
         got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
         assert [got[i] for i in range(len(texts))] == want
 
