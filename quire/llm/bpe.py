@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import public_tokenizers
@@ -25,7 +25,7 @@ from .registry import register
 from .tokens import Encoder, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PAIRS = 1_000_000  # neighbours whose verdict a worker remembers
+PAIRS = 400_000  # neighbours whose verdict a worker remembers
 _ONE = (1,)
 
 
@@ -140,18 +140,11 @@ def text_encoder(path: str, pattern: str) -> Encoder:
     import regex
 
     vocabulary, split = load_vocabulary(path), regex.compile(pattern)
-    matches: dict[str, list[int]] = {}
 
     def ids(match: str) -> list[int]:
-        if (known := matches.get(match)) is None:
-            data = match.encode()
-            one = vocabulary.ranks.get(data)
-            known = [one] if one is not None else PrefixEncoder(vocabulary, data).ids()
-            if len(match) <= 32:
-                if len(matches) >= 200_000:
-                    matches.clear()
-                matches[match] = known
-        return known
+        data = match.encode()
+        one = vocabulary.ranks.get(data)
+        return [one] if one is not None else PrefixEncoder(vocabulary, data).ids()
 
     def encode(ps: list[str]) -> list[np.ndarray]:
         return [np.array([x for m in split.findall(p) for x in ids(m)], np.uint32) for p in ps]
@@ -160,9 +153,10 @@ def text_encoder(path: str, pattern: str) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text",
+                 finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = "ids binary") -> DataFrame:
     """``id_col`` and ids (little-endian unsigned 32-bit integers) of each row's whole text.
-    A null text counts as empty and has no ids. Rows are encoded one by one, so repeated
+    ``finish`` turns each batch (id, ids) into one of id and ``schema`` in the same task. A null text counts as empty and has no ids. Rows are encoded one by one, so repeated
     rows and null ids stay; other columns are not read; an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(vocabulary, pattern)
@@ -170,10 +164,11 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str = public_tokeniz
             flat, at = encoder.encode(texts)
             raw, at = flat.astype("<u4").tobytes(), at.tolist()
             ids = pa.array([raw[4 * a:4 * b] for a, b in zip(at, at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
+            made = pa.RecordBatch.from_arrays([batch.column("id"), ids], names=["id", "ids"])
+            yield finish(made) if finish else made
 
     one = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return one.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
+    return one.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, {schema}").withColumnRenamed("id", id_col)
 
 
 def decode_ids(vocabulary: str, ids: bytes) -> tuple[list[int], bytes]:
@@ -195,22 +190,19 @@ def decode_texts(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") ->
     return one.mapInArrow(run, f"id {encoded.schema[id_col].dataType.simpleString()}, data binary").withColumnRenamed("id", id_col)
 
 
-def _digests(vocabulary: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = load_vocabulary(vocabulary).decimal.__getitem__
-        for batch in batches:
-            rows = []
-            for ids in batch.column("ids"):
-                numbers, data = decode_ids(vocabulary, ids.as_py())
-                rows.append((len(numbers), hashlib.sha256(",".join(map(decimal, numbers)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
-            n, ids, data = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _digests(vocabulary: str) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        decimal, rows = load_vocabulary(vocabulary).decimal.__getitem__, []
+        for ids in batch.column("ids"):
+            numbers, data = decode_ids(vocabulary, ids.as_py())
+            rows.append((len(numbers), hashlib.sha256(",".join(map(decimal, numbers)).encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
+        n, ids, data = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())],
+                                          names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return run
 
 
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    return encode_texts(documents(spark, sf_dir), path).mapInArrow(
-        _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_texts(documents(spark, sf_dir), path, finish=_digests(path), schema="n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ from . import rolling
 
 CACHE_PIECES = 300_000   # per generation, two generations are kept
 CACHED_LENGTH = 64       # longer pieces are encoded each time
-SLICE_BYTES = 4 << 20    # texts encoded at once
+SLICE_BYTES = 2 << 20    # texts encoded at once
 SHORT = 16               # pieces of up to so many bytes are told apart by two 8-byte words
 
 _LETTER, _SIGN, _DIGIT, _LINE, _SPACE = 1, 2, 3, 4, 5
