@@ -117,7 +117,8 @@ def _blocks(units: DataFrame, axes: np.ndarray, width: float, block: int) -> Dat
             yield made(len(rows))
 
     placed = units.mapInArrow(cells, "node long, x binary, cell binary")
-    return (placed.repartitionByRange("cell", "node").sortWithinPartitions("cell", "node").select("node", "x")
+    parts = max(1, -(-units.count() // block))  # about a block each, so that blocks are not cut small
+    return (placed.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node").select("node", "x")
             .mapInArrow(cut, "part int, place int, nodes binary, x binary, box array<double>"))
 
 
