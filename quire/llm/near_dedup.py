@@ -5,7 +5,7 @@
 2. *Inverted lists* of retained values propose pairs. Only the rarest values of a
    sketch are listed: two classes that reach the similarity share so many
    retained values that one of these is among the rarest of both (``_needed``). Sets that fit the
-   sketch as a whole are listed by the exact bound. Lists of frequent values are split by the values that follow them.
+   sketch as a whole are listed by the exact bound. Frequent values are listed in pairs, of which two such classes share one as well.
 3. Pairs pass the *union-sketch estimate*: among the least values of both sketches together,
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
@@ -35,7 +35,7 @@ WORDS = 5          # of a shingle
 SIMILARITY = 80    # percent
 SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
-HOT = 64           # classes of a value whose list is split by what follows
+HOT = 64           # classes of a value beyond which it is listed in pairs
 MARGIN = 6         # standard deviations that the number of shared values may fall short
 ROUNDS = 6         # of leaders, at most
 SLICE_BYTES = 1 << 20
@@ -103,31 +103,30 @@ def _postings(classes: DataFrame) -> DataFrame:
     """(value, node, n) for the rarest retained values of each class, of values that two classes have.
 
     Sets of up to SKETCH shingles are held whole and listed apart (values below 0), by
-    the exact bound. A set that may also meet a larger one is listed both ways. Of sets beyond SKETCH the
-    list of a frequent value is split by the retained value that follows it, and again by the one after that where this
-    is not enough: neighbours in the order of the hash are shared as independently as single values are.
+    the exact bound. A set that may also meet a larger one is listed both ways. Of sets beyond SKETCH a value of more than
+    HOT classes is listed in pairs with each more frequent value of a prefix one longer: two classes that share
+    ``need`` values share two within it, and where the rarer of these is frequent, so is the other.
     """
     n = F.col("n")
-    after = lambda k: F.transform("sketch", lambda v, i: F.get("sketch", (i + k) % F.size("sketch")))
-    held = classes.withColumn("held", F.arrays_zip(F.col("sketch").alias("value"), after(1).alias("next"), after(2).alias("next2")))
-    whole = held.filter(n <= SKETCH).select("node", "n", n.alias("m"), F.ceil(n * SIMILARITY / 100).alias("need"),
-                                            F.explode("held").alias("v")).withColumn("value", -F.col("v.value") - 1)
+    whole = classes.filter(n <= SKETCH).select("node", "n", n.alias("m"), F.ceil(n * SIMILARITY / 100).alias("need"),
+                                               F.explode("sketch").alias("v")).withColumn("value", -F.col("v") - 1)
     m = F.least(n, F.lit(LISTED))
-    parts = held.filter(100 * n >= SIMILARITY * SKETCH).select("node", "n", m.alias("m"), _needed(m).alias("need"),
-                                                               F.explode(F.slice("held", 1, LISTED)).alias("v")).withColumn("value", F.col("v.value"))
-    rows = whole.unionByName(parts).select("node", "n", "m", "need", "value", F.col("v.next").alias("next"), F.col("v.next2").alias("next2"))
+    parts = classes.filter(100 * n >= SIMILARITY * SKETCH).select("node", "n", m.alias("m"), _needed(m).alias("need"),
+                                                                  F.explode(F.slice("sketch", 1, LISTED)).alias("v")).withColumn("value", F.col("v"))
+    rows = whole.unionByName(parts).drop("v")
     met = rows.join(rows.groupBy("value").count().filter("count > 1"), "value")
     # rarest first; values of one class only, which are not in `met`, come before all
     mode = Window.partitionBy("node", F.col("value") < 0)
     order = mode.orderBy("count", "value")
     place = F.col("m") - F.count(F.lit(1)).over(mode) + F.row_number().over(order)
-    kept = written(met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1), "postings")
-    often = (F.col("count") > HOT) & (F.col("value") >= 0)
-    hot = kept.filter(often).withColumn("pair", F.xxhash64("value", "next"))
-    sizes = hot.groupBy("pair").agg(F.count(F.lit(1)).alias("size"))
-    split = hot.join(sizes, "pair").select(
-        F.when(F.col("size") <= HOT, F.col("pair")).otherwise(F.xxhash64("pair", "next2")).alias("value"), "node", "n")
-    return kept.filter(~often).select("value", "node", "n").unionByName(split).distinct()
+    prefix = F.col("m") - F.col("need") + 1
+    often = (F.col("count") > HOT) & (F.col("value") >= 0) & (F.col("need") > 1)
+    after = F.collect_list("value").over(order.rowsBetween(1, Window.unboundedFollowing))
+    after = F.when(often, F.slice(after, F.lit(1), F.greatest(F.lit(0), prefix + 1 - F.col("place")).cast("int")))
+    kept = written(met.withColumn("place", place).withColumn("after", after).filter(F.col("place") <= prefix)
+                   .select("value", "node", "n", "after"), "postings")
+    split = kept.filter("after is not null").select(F.explode(F.transform("after", lambda v: F.xxhash64("value", v))).alias("value"), "node", "n")
+    return kept.filter("after is null").select("value", "node", "n").unionByName(split)
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
@@ -185,7 +184,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
     spark = classes.sparkSession
-    lists = written(_postings(classes), "lists")
+    lists = _postings(classes)
     shared = lists.groupBy("value").count().filter("count > 1").select("value")
     lists = written(lists.join(shared, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")

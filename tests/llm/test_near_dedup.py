@@ -98,3 +98,28 @@ def test_components_of_a_path_and_a_star(spark):
     assert set(roots) == set(range(61)) | set(range(100, 160))
     assert len({roots[i] for i in range(61)}) == 1 and len({roots[i] for i in range(100, 160)}) == 1
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_frequent_values_without_common_neighbours_are_listed(spark):
+    # 12 of the 24 least values are shared, each followed by one of the class alone
+    alone = lambda c, i: 1000 * i + 1 + c
+    sketch = lambda c: [v for i in range(12) for v in (1000 * i, alone(c, i))] + [alone(c, i) for i in range(20, 44)]
+    n = N.HOT + 8
+    classes = spark.createDataFrame([(c, 60, sketch(c)) for c in range(n)], "node long, n long, sketch array<bigint>")
+    sizes = [r["count"] for r in N._postings(classes).groupBy("value").count().collect()]
+    assert max(sizes) == n
+
+
+def test_links_do_not_depend_on_the_bound_of_frequent_values(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(70)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for i in rnd.sample(range(70), rnd.randint(1, 4)):
+            w[i] = f"x{rnd.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(N, "HOT", 1)
+    got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
+    assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
