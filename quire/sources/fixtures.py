@@ -35,15 +35,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+LEADS = 90 * 88  # values of doc_id / 100,000 that paper ids have room for
+
+
+def _lead(doc_id: Column) -> Column:
+    """doc_id / 100,000, or an error where ids would repeat."""
+    k = F.floor(doc_id / 100_000)
+    return F.when(k >= LEADS, F.raise_error(F.lit(f"paper ids have room for {LEADS * 100_000} documents"))).otherwise(k)
+
+
+def _id(yy: Column, mm: Column, number: Column) -> Column:
+    return F.concat(F.lpad(yy.cast("string"), 2, "0"), F.lpad(mm.cast("string"), 2, "0"), F.lit("."),
+                    F.lpad(number.cast("string"), 5, "0"))
+
+
 def paper_id_of(doc_id: Column) -> Column:
-    """Synthetic paper id ``YYMM.NNNNN``: MM = 1 + doc_id % 12, NNNNN the last
-    five digits of doc_id, YY = 24 and one more for each 100,000 (unique up to 7.6 million documents)."""
-    return F.concat(
-        F.lpad((F.lit(24) + F.floor(doc_id / 100_000)).cast("string"), 2, "0"),
-        F.lpad((F.lit(1) + doc_id % 12).cast("string"), 2, "0"),
-        F.lit("."),
-        F.lpad((doc_id % 100_000).cast("string"), 5, "0"),
-    )
+    """Synthetic paper id ``YYMM.NNNNN``: NNNNN the last five digits of doc_id, YY = 24 and one more
+    for each 100,000, around within 00 to 89, MM = 1 + doc_id % 12 the first time around and one of 13 to 99
+    for each further time (unique up to 792 million documents, an error beyond)."""
+    k = _lead(doc_id)
+    return _id((F.lit(24) + k) % 90, F.when(k < 90, F.lit(1) + doc_id % 12).otherwise(F.lit(12) + F.floor(k / 90)),
+               doc_id % 100_000)
+
+
+def new_paper_id_of(doc_id: Column) -> Column:
+    """Id of the new papers of ``incoming``, for multiples of 10: YY from 90 to 99, which no paper has.
+    Beyond 3 million MM from 13 and the last digit, 0 in doc_id, tell the rest."""
+    k = _lead(doc_id)
+    rest = F.floor(k / 10) - 3
+    first = rest < 0
+    return _id(F.lit(90) + (F.lit(24) + k) % 10, F.when(first, F.lit(1) + doc_id % 12).otherwise(F.lit(13) + rest % 87),
+               doc_id % 100_000 + F.when(first, F.lit(0)).otherwise(F.floor(rest / 87)))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +195,7 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
         "comment", F.lit("moderate").alias("relevance_tier"),
         (F.col("doc_id") + 1000000).alias("pos"))
     c = p.filter(F.col("doc_id") % 10 == 0).select(
-        F.concat(F.lit("9"), F.substring("paper_id", F.lit(2), F.length("paper_id"))).alias("paper_id"), "doc_id",
+        new_paper_id_of(F.col("doc_id")).alias("paper_id"), "doc_id",
         "title", "comment", F.lit("high").alias("relevance_tier"),
         (F.col("doc_id") + 2000000).alias("pos"))
     return a.unionByName(b).unionByName(c)

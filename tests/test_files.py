@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -94,3 +95,20 @@ def test_read_atom_files_empty_comment(spark, tmp):
         f.write(feed)
     got = sorted((r.paper_id, r.comment) for r in S.read_atom_files(spark, f"{tmp}/f.xml").collect())
     assert got == [("2401.00001", ""), ("2401.00002", None)]
+
+
+def test_paper_ids_never_repeat(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+    doc = F.col("doc_id")
+    docs = spark.range(0, 7920).select(F.explode(F.array(*[F.col("id") * 100_000 + i for i in (0, 10, 99_990)])).alias("doc_id"))
+    ids = docs.select(X.paper_id_of(doc).alias("paper_id"), "doc_id", F.lit("t").alias("title"), F.lit("c").alias("comment"))
+    monkeypatch.setattr(X, "papers", lambda spark, sf_dir: ids)
+    new = X.incoming(spark, "").filter("pos = doc_id + 2000000").select("paper_id")
+    both = ids.select("paper_id").union(new)
+    assert both.count() == both.distinct().count() == 2 * 3 * 7920
+    assert both.filter(~F.col("paper_id").rlike(r"^\d{4}\.\d{5}$")).count() == 0
+    some = spark.createDataFrame([(7_600_000,), (7_900_000,), (None,)], "doc_id long").select(X.paper_id_of(doc).alias("p")).collect()
+    assert len({r.p for r in some}) == 3 and some[2].p is None
+    for of in (X.paper_id_of, X.new_paper_id_of):
+        with pytest.raises(PySparkException, match="792000000"):
+            spark.createDataFrame([(792_000_000,)], "doc_id long").select(of(doc)).collect()
