@@ -86,7 +86,7 @@ select cast(floor(datediff('day', date '2024-01-01', cast(date_added as date)) /
   cast(row_number() over (partition by date_added order by paper_id) as bigint) as pos_in_date from papers""")
 def q_listing(spark, sf):
     ids = S.listing_ids_by_date(_listing(spark, sf), "html", "page")
-    ids = ids.withColumn("part", F.col("page") % 1000).withColumn("page", F.floor(F.col("page") / 1000))
+    ids = ids.withColumn("part", F.col("page.part")).withColumn("page", F.col("page.page"))
     # position inside the date = entries on earlier parts + position on this page
     w = Window.partitionBy("page", "announced", "part").orderBy("pos")
     return ids.select("page", "announced", "paper_id",

@@ -363,11 +363,11 @@ def render_listing(batched: DataFrame, key: str = "page") -> DataFrame:
     """(page, html): listing pages with one ``<h3>`` date header per date.
 
     A date section holds at most ``LISTING_MAX_ENTRIES`` entries; a bigger
-    day continues on the next page (``page`` becomes ``page * 1000 + part``),
+    day continues on the next page (``page`` becomes a struct of ``page`` and ``part``),
     so a page never grows with the size of a day.
     """
     b = batched.withColumn("_part", F.floor((F.col("pos") - 1) / LISTING_MAX_ENTRIES).cast("long"))
-    b = b.withColumn(key, F.col(key) * 1000 + F.col("_part"))
+    b = b.withColumn(key, F.struct(F.col(key), F.col("_part").alias("part")))
     per_date = b.groupBy(key, "announced").agg(
         F.array_sort(F.collect_list(F.struct("pos", "paper_id"))).alias("_l"))
     sec = F.concat(F.lit("<h3>"), F.date_format("announced", "EEE, d MMM yyyy"), F.lit(" (showing "),

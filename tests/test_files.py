@@ -112,3 +112,11 @@ def test_paper_ids_never_repeat(spark, monkeypatch):
     for of in (X.paper_id_of, X.new_paper_id_of):
         with pytest.raises(PySparkException, match="792000000"):
             spark.createDataFrame([(792_000_000,)], "doc_id long").select(of(doc)).collect()
+
+
+def test_listing_of_a_date_with_over_1000_parts(spark, monkeypatch):
+    docs = spark.range(1005).select(F.format_string("2401.%05d", "id").alias("paper_id"), F.lit("2024-01-01").alias("date_added"))
+    monkeypatch.setattr(X, "paper_records", lambda spark, sf_dir: docs)
+    monkeypatch.setattr(S, "LISTING_MAX_ENTRIES", 1)
+    got = sorted((r.paper_id, r.page, r.pos_in_date) for r in E.queries()["listing_ids_by_date"](spark, "").collect())
+    assert got == [(f"2401.{i:05d}", 0, i + 1) for i in range(1005)]
