@@ -3,7 +3,7 @@ hook, candidate selection, prompts, judge envelopes and their reports."""
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,10 +15,8 @@ from ..functions.text import month_prefix
 from ..schemas import STAGE1_OUTPUT, STAGE2_OUTPUT, STAGE2_REQUIRED
 from .ordering import group_sizes, ordered_positions
 
-# Term tables up to this many rows travel with the tasks as one constant and
-# every text is scanned once per term; larger ones use the seeded substring
-# join, whose cost follows the matches instead of terms x text length.
-MAX_BROADCAST_TERMS = 256
+# Bytes of term text in one automaton; larger term tables are dealt to several.
+AUTOMATON_BYTES = 1 << 20
 
 # ---------------------------------------------------------------------------
 # The prompt texts sent to an external judge.
@@ -128,64 +126,54 @@ def judge_by_terms(papers: DataFrame, criteria: DataFrame, text_col: str = "titl
 
     Null and empty terms match nothing; a null text matches nothing either.
 
-    Size check: at most ``MAX_BROADCAST_TERMS + 1`` term rows are read once.
-    Within the bound the terms travel with the tasks as one constant (what a
-    broadcast would ship); beyond it an exact seeded join gives the same rows.
+    One method for any number of terms: they are dealt by a hash to blocks of
+    about ``AUTOMATON_BYTES`` of text, and a task finds all terms of a block in one pass
+    over each text with an Aho-Corasick automaton, which workers build once. Texts stay
+    where they are: no shuffle and no copy of them, however many terms there are.
     """
-    criteria = criteria.filter(F.length("term") > 0)
-    terms = criteria.select(F.lower("term").alias("term"), "tier", "topic").limit(MAX_BROADCAST_TERMS + 1).collect()
-    if len(terms) <= MAX_BROADCAST_TERMS:
-        return _judge_broadcast(papers, [t.asDict() for t in terms], text_col, mode)
-    return _judge_seeded(papers, criteria, text_col, mode)
-
-
-TERM_ARRAY = "array<struct<term:string,tier:string,topic:string>>"
-
-
-def _judge_broadcast(papers, terms, text_col, mode):
-    # The bounded term list as one folded literal: every task matches its
-    # rows locally - no join, no shuffle of the papers. The text is zipped
-    # in (not captured by the lambda) so predicate pushdown sees every
-    # column the result depends on.
-    arr = F.from_json(F.lit(json.dumps(terms)), TERM_ARRAY)
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    pairs = F.arrays_zip(arr.alias("t"), F.array_repeat(low, F.size(arr)).alias("x"))
-    hits = F.transform(F.filter(pairs, lambda p: p["x"].contains(p["t"]["term"])), lambda p: p["t"])
-    return (papers.withColumn("_hits", hits)
+    terms = criteria.filter(F.length("term") > 0).select(F.lower("term").alias("term"), "tier", "topic").distinct()
+    size = terms.agg(F.sum(F.octet_length("term") + F.lit(16))).first()[0] or 0
+    blocks = -(-size // AUTOMATON_BYTES)
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    dealt = (terms.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect() for k in range(blocks))
+    hits = [_found(rows)(text) for rows in dealt if rows]
+    found = F.array_distinct(F.flatten(F.array(*hits))) if hits else F.array().cast(HITS)
+    return (papers.withColumn("_hits", found)
              .withColumn("relevance_tier", _tier_from(F.transform("_hits", lambda t: t["tier"]), mode))
              .withColumn("relevance_summary", _summary(F.transform(
                  F.filter("_hits", lambda t: t["tier"] != "exclude"), lambda t: t["topic"])))
              .drop("_hits"))
 
 
-def _judge_seeded(papers, criteria, text_col, mode):
-    """Exact substring matching for large term tables.
+HITS = "array<struct<tier:string,topic:string>>"
+_AUTOMATA: dict = {}  # of this worker, by block
 
-    Every occurrence of a term starts with its first ``m`` characters (``m`` =
-    the shortest term length), so distinct texts are exploded into (text,
-    seed, window) rows and equi-joined with the terms on the seed; AQE splits
-    hot seeds. Matches are attached by text, so repeated or null ids are no matter.
-    """
-    terms = criteria.select(F.lower("term").alias("term"), "tier", "topic")
-    lens = terms.agg(F.min(F.length("term")).alias("m"), F.max(F.length("term")).alias("w")).first()
-    m, w = int(lens["m"]), int(lens["w"])
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    grams = (papers.select(low.alias("_t")).distinct()
-             .select("_t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t") - m + 1, F.lit(0))))
-                     .alias("_p"))
-             .select("_t", F.substring("_t", F.col("_p"), m).alias("_seed"),
-                     F.substring("_t", F.col("_p"), w).alias("_win")))
-    hits = (grams.join(terms.withColumn("_seed", F.substring("term", 1, m)), "_seed")
-                 .filter(F.col("_win").startswith(F.col("term")))
-                 .select("_t", "tier", "topic").distinct())
-    per = hits.groupBy("_t").agg(
-        F.collect_set("tier").alias("_tiers"),
-        F.array_sort(F.collect_set(F.when(F.col("tier") != "exclude", F.col("topic")))).alias("_topics"))
-    j = papers.withColumn("_t", low).join(per, "_t", "left").drop("_t")
-    tiers = F.coalesce(F.col("_tiers"), F.array().cast("array<string>"))
-    return (j.withColumn("relevance_tier", _tier_from(tiers, mode))
-             .withColumn("relevance_summary", _summary(F.coalesce(F.col("_topics"), F.array().cast("array<string>"))))
-             .drop("_tiers", "_topics"))
+
+def _found(rows: list) -> Callable[[Column], Column]:
+    """The distinct (tier, topic) of the terms that occur in a text. Marked
+    non-deterministic so that a filter on the result does not search the texts again."""
+    verdicts = sorted({(r["tier"] or "", r["topic"] or "", r["tier"] is None, r["topic"] is None) for r in rows})
+    number = {v: i for i, v in enumerate(verdicts)}
+    block: dict[str, list[int]] = {}
+    for r in rows:
+        block.setdefault(r["term"], []).append(number[(r["tier"] or "", r["topic"] or "", r["tier"] is None, r["topic"] is None)])
+    names = [{"tier": None if no_tier else tier, "topic": None if no_topic else topic} for tier, topic, no_tier, no_topic in verdicts]
+    key = uuid.uuid4().hex
+
+    def search(texts: pd.Series) -> pd.Series:
+        if key not in _AUTOMATA:
+            import ahocorasick
+            made = ahocorasick.Automaton()
+            for term, at in block.items():
+                made.add_word(term, tuple(at))
+            made.make_automaton()
+            while len(_AUTOMATA) >= 8:
+                _AUTOMATA.pop(next(iter(_AUTOMATA)))
+            _AUTOMATA[key] = made
+        find = _AUTOMATA[key].iter
+        return pd.Series([[names[i] for i in sorted({i for at in {at for _, at in find(t)} for i in at})] for t in texts])
+
+    return F.pandas_udf(search, HITS).asNondeterministic()
 
 
 # ---------------------------------------------------------------------------
@@ -220,15 +208,15 @@ def stage1_candidates(papers: DataFrame, criteria: DataFrame, run_date=None) ->
 
 
 def stage2_filter(papers: DataFrame, ids: DataFrame, criteria: DataFrame) -> DataFrame:
-    """CP-04: strict abstract pass over the candidates -> judged papers."""
-    cand = select_candidates(papers, ids)
-    judged = judge_by_terms(cand.select("paper_id", "abstract"), criteria, "abstract", "strict")
-    judged = judged.filter(F.col("relevance_tier").isNotNull())
-    return judged_to_papers(judged, cand)
+    """CP-04: strict abstract pass over the candidates -> judged papers. Every row has the verdict on its own abstract."""
+    judged = judge_by_terms(select_candidates(papers, ids), criteria, "abstract", "strict")
+    return judged.filter(F.col("relevance_tier").isNotNull())
 
 
 def triage(papers: DataFrame, criteria: DataFrame, run_date=None) -> DataFrame:
-    """CP-05: stage 1 -> stage 2, one lazy plan (upsert is the caller's sink)."""
+    """CP-05: stage 1 -> stage 2 (upsert is the caller's sink). The term table
+    is read while the plan is built; titles are scanned once, and
+    so are the candidates' records: the term judge adds its verdict to the row it read."""
     ids = stage1_candidates(papers, criteria, run_date)
     return stage2_filter(papers, ids, criteria)
 

@@ -57,6 +57,38 @@ def q_judge_by_terms(spark, sf):
     return j.filter(F.col("relevance_tier").isNotNull()).select("paper_id", "relevance_tier", "relevance_summary")
 
 
+TERM_COUNTS = (1, 256, 257, 5000)
+WORDS_SQL = """select w, row_number() over (order by md5(w), w) as k
+from (select distinct unnest(regexp_extract_all(text, '[a-z]{4,8}')) as w from documents)"""
+
+
+def _word_criteria(spark, sf):
+    """(k, tier, topic, term): words of the documents in an arbitrary fixed order, as many as the largest count needs."""
+    words = X.table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{4,8})"), 1)).alias("term")).distinct()
+    first = words.select(F.md5("term").alias("h"), "term").orderBy("h", "term").limit(max(TERM_COUNTS))
+    numbered = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("h", "term"))).alias("l")).select(F.posexplode("l").alias("k", "s"))
+    k = F.col("k") + 1
+    tier = F.when(k % 500 == 3, "exclude").when(k % 10 < 4, "high").when(k % 10 < 8, "moderate").otherwise("low")
+    return numbered.select(k.alias("k"), tier.alias("tier"), F.concat(F.lit("t"), (k % 7).cast("string")).alias("topic"), F.col("s.term").alias("term"))
+
+
+@register("judge_by_terms_counts", views=("papers",), words=WORDS_SQL,
+          terms="""select n as n_terms, case when k % 500 = 3 then 'exclude' when k % 10 < 4 then 'high' when k % 10 < 8 then 'moderate' else 'low' end as tier,
+  concat('t', cast(k % 7 as varchar)) as topic, w as term from words, (values (1), (256), (257), (5000)) c(n) where k <= n""",
+          hits="""select p.paper_id, c.n_terms, c.tier, c.topic from papers p join terms c on contains(lower(p.abstract), c.term)""",
+          sql="select * from (" + STRICT_SQL.replace("select paper_id,", "select n_terms, paper_id,").replace("group by paper_id", "group by n_terms, paper_id")
+              + ") where relevance_tier is not null")
+def q_judge_by_terms_counts(spark, sf):
+    """The term judge with 1, 256, 257 and 5,000 terms: one method whatever their number."""
+    criteria = _word_criteria(spark, sf)
+    papers, out = X.papers(spark, sf).select("paper_id", "abstract"), None
+    for n in TERM_COUNTS:
+        j = TR.judge_by_terms(papers, criteria.filter(F.col("k") <= n), "abstract", "strict").filter(F.col("relevance_tier").isNotNull())
+        j = j.select(F.lit(n).alias("n_terms"), "paper_id", "relevance_tier", "relevance_summary")
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
 @register("stage1_candidates", views=("papers", "criteria"), hits=HITS_SQL.format(src="papers", col="title"),
           sql=GENEROUS_SQL)
 def q_stage1(spark, sf):

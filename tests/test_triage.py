@@ -1,6 +1,7 @@
 """Batching, the term judge, the scorer hook and candidate selection."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import ordering as O
@@ -36,7 +37,7 @@ def test_ordered_positions_hot_key(spark):
     assert sorted(map(tuple, got.select("g", "k", "pos").collect())) == sorted(map(tuple, exp.collect()))
 
 
-def test_judge_modes_and_seeded_path(spark):
+def test_judge_modes(spark):
     papers = spark.createDataFrame([("1", "A Panorama of NeRF"), ("2", "medical panorama"), ("3", "point clouds"),
                                     ("4", "nothing")], "paper_id string, title string")
     strict = {r.paper_id: (r.relevance_tier, r.relevance_summary)
@@ -45,14 +46,34 @@ def test_judge_modes_and_seeded_path(spark):
     gen = {r.paper_id for r in TR.judge_by_terms(papers, _crit(spark), "title", "generous")
            .filter("relevance_tier is not null").collect()}
     assert gen == {"1", "2", "3"}
-    old = TR.MAX_BROADCAST_TERMS
-    try:
-        TR.MAX_BROADCAST_TERMS = 0
-        seeded = {r.paper_id: (r.relevance_tier, r.relevance_summary)
-                  for r in TR.judge_by_terms(papers, _crit(spark), "title", "strict").collect()}
-    finally:
-        TR.MAX_BROADCAST_TERMS = old
-    assert seeded == strict
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_term_blocks_give_the_same_rows(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(TR, "AUTOMATON_BYTES", block_bytes)
+    words = ["ab", "abc", "bca", "é", "中文", "a b", "c", "aaaa", "aa"]
+    criteria = [(("high", "moderate", "low", "exclude")[i % 4] if i != 5 else None, None if i == 2 else f"t{i % 3}", w) for i, w in enumerate(words)]
+    texts = ["abca", "AAAAB c", "É 中文", "", None, "xyz", "a b", "aaab" * 3000, "bca" + "x" * 100_000 + "aaaa"]
+    papers = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "paper_id string, title string")
+    crit = spark.createDataFrame([*criteria, criteria[0], ("high", "t", ""), ("high", "t", None)], "tier string, topic string, term string")
+    for mode in ("strict", "generous"):
+        got = {r.paper_id: (r.relevance_tier, r.relevance_summary) for r in TR.judge_by_terms(papers, crit, "title", mode).collect()}
+        for i, t in enumerate(texts):
+            hits = [(tier, topic) for tier, topic, w in criteria if w in (t or "").lower()]
+            tiers = {h[0] for h in hits}
+            strict = None if "exclude" in tiers else "high" if "high" in tiers else "moderate" if "moderate" in tiers else None
+            want = strict if mode == "strict" else "candidate" if tiers & {"high", "moderate", "low"} else None
+            topics = sorted({h[1] for h in hits if h[1] and h[0] not in ("exclude", None)})
+            assert got[str(i)] == (want, ", ".join(topics) or None)
+
+
+def test_terms_move_no_text(spark):
+    """However many terms there are, the plan has no exchange and reads the texts once."""
+    papers = spark.createDataFrame([("1", "x")], "paper_id string, title string")
+    crit = spark.range(3000).select(F.lit("high").alias("tier"), F.lit("t").alias("topic"), F.concat(F.lit("term"), F.col("id").cast("string")).alias("term"))
+    judged = TR.judge_by_terms(papers, crit, "title").filter("relevance_tier is not null")
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1 and judged.count() == 0
 
 
 def test_scorer_failure_is_isolated(spark):
