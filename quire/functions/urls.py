@@ -98,20 +98,18 @@ def card_links(project_url, code_url, abstract, comment) -> Column:
         F.array(F.struct(F.lit("project").alias("label"), _c(project_url).alias("url")),
                 F.struct(F.lit("code").alias("label"), _c(code_url).alias("url"))),
         lambda s: s["url"].isNotNull() & (s["url"] != ""))
-    parts = []
+    seen, links = F.transform(stored, lambda s: s["url"]), stored
     for text in (_c(abstract), _c(comment)):
         t = F.coalesce(text, F.lit(""))
         code = F.transform(F.regexp_extract_all(t, F.lit(CARD_CODE_RE), 0),
                            lambda u: rstrip_chars(u, ".,;:)"))
         proj = F.when(F.lower(t).contains("project"),
                       F.filter(extract_urls(t), lambda u: ~is_self_link(u))).otherwise(_empty())
-        parts += [lab("code", code), lab("project", proj)]
-    cand = F.concat(*parts)
-    stored_urls = F.transform(stored, lambda s: s["url"])
-    cand_urls = F.transform(cand, lambda s: s["url"])
-    fresh = F.filter(cand, lambda s, i: ~F.array_contains(stored_urls, s["url"])
-                     & (F.array_position(cand_urls, s["url"]) == i + 1))
-    return F.concat(stored, fresh)
+        for label, urls in (("code", code), ("project", proj)):
+            # set operations hash: the cost follows the number of URLs, and first places stay
+            links = F.concat(links, lab(label, F.array_except(urls, seen)))
+            seen = F.array_union(seen, urls)
+    return links
 
 
 # ---------------------------------------------------------------------------

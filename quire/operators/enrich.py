@@ -13,7 +13,10 @@ narrow (key, url) rows cross the shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import thumb_path
@@ -22,32 +25,66 @@ from ..functions.urls import (classify_urls, code_url_from_page, figure_candidat
 from ..schemas import MIN_IMAGE_BYTES
 from ..session import cut_lineage
 
-def page_facts(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """JN-09 + FN-16..19: parse each *distinct* requested page once.
+BLOOM_BITS = 1 << 23  # at most, of the filter over requested URLs (1 MB)
+
 
-    ``requests(url, kind)`` with kind in {project, repo, figure}. A page is
-    scanned only for the facts its kinds need (CASE WHEN skips the other
-    regexes). Returns (url, fetched, page_code, repo_project, images[],
-    figures[]); a requested URL without a page gets ``fetched = false``.
+def url_filter(requests: DataFrame, bits: int = BLOOM_BITS) -> Callable[[Column, str], Column]:
+    """A Bloom filter over the requested (url, kind), as a test on a page's URL and a kind.
+
+    Spark sets the bits; at most ``bits`` / 64 words reach the driver, however many URLs are
+    requested, and few ones are folded to a shorter filter. It never
+    denies a requested page. When it is full it admits pages that nobody asked for; the join that follows drops them.
+    """
+    def places(url, kind) -> list[Column]:
+        h = F.xxhash64(url, kind)
+        return [h, F.shiftrightunsigned(h, 32)]
+
+    asked = requests.filter(F.col("url").isNotNull())
+    place = asked.select(F.explode(F.array(*[h.bitwiseAND(F.lit(bits - 1)) for h in places("url", "kind")])).alias("p"))
+    one = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    words = [0] * (bits // 64)
+    for w, v in place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("v")).collect():
+        words[w] = v & (1 << 64) - 1
+    ones = sum(map(int.bit_count, words))
+    while len(words) > 16 and len(words) * 64 > 16 * ones:
+        words = [x | y for x, y in zip(words[:len(words) // 2], words[len(words) // 2:])]
+    mask = F.lit(len(words) * 64 - 1)
+    held = F.from_json(F.lit(json.dumps([w - (1 << 64) if w >> 63 else w for w in words])), "array<bigint>")
+
+    def may_hold(url: Column, kind: str) -> Column:
+        tests = [F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+                 for p in (h.bitwiseAND(mask) for h in places(url, F.lit(kind)))]
+        return tests[0] & tests[1]
+    return may_hold
+
+
+def page_facts(pages: DataFrame, requests: DataFrame, fetched_at: str | None = None, bits: int = BLOOM_BITS) -> DataFrame:
+    """JN-09 + FN-16..19: parse each requested page where it is read.
+
+    ``requests(url, kind)`` with kind in {project, repo, figure}. The scan of
+    ``pages`` keeps the pages that a Bloom filter of the requests admits and turns them
+    into facts at once, only those that the kinds need (CASE WHEN skips the other
+    regexes). Only (url, facts) cross a shuffle, never HTML, however many URLs are requested. Returns
+    (url, fetched, page_code, repo_project, images[], figures[]); a requested
+    URL without a page gets ``fetched = false``. Of several fetches of a URL the latest by ``fetched_at``
+    counts; without such a column, or at the same time, the one with the largest hash.
     """
-    wanted = requests.groupBy("url").agg(
-        F.max(F.col("kind") == "project").alias("_p"), F.max(F.col("kind") == "repo").alias("_r"),
-        F.max(F.col("kind") == "figure").alias("_f"))
-    # only (url, html) of the requested pages, then straight to the facts:
-    # the HTML column never reaches a shuffle after this join. The planner
-    # broadcasts the request list by its size in bytes or else shuffles.
-    hit = pages.select("url", "html").join(wanted, "url")
-    facts = hit.select(
-        "url", F.xxhash64("html").alias("_h"),
-        F.when(F.col("_p"), code_url_from_page("html")).alias("page_code"),
-        F.when(F.col("_r"), project_page_from_repo("html")).alias("repo_project"),
-        F.when(F.col("_p"), image_candidates("html", F.col("url"))).alias("images"),
-        F.when(F.col("_f"), figure_candidates("html", F.col("url"))).alias("figures"))
-    # one page per URL: of several fetches always the same one
-    names = [c for c in facts.columns if c not in ("url", "_h")]
-    facts = facts.groupBy("url").agg(F.max_by(F.struct(*names), "_h").alias("_f")).select("url", "_f.*")
-    return (wanted.select("url").join(facts.withColumn("fetched", F.lit(True)), "url", "left")
-            .withColumn("fetched", F.coalesce("fetched", F.lit(False))))
+    requests = requests.filter(F.col("url").isNotNull())
+    wanted = requests.groupBy("url").agg(*[F.max(F.col("kind") == k).alias(f"_{k}") for k in ("project", "repo", "figure")])
+    admits = url_filter(requests, bits)
+    url = F.col("url")
+    project, repo, figure = (admits(url, k) for k in ("project", "repo", "figure"))
+    facts = pages.filter(project | repo | figure).select(
+        "url", F.struct(F.col(fetched_at) if fetched_at else F.lit(0), F.xxhash64("html")).alias("_at"),
+        F.when(project, code_url_from_page("html")).alias("page_code"),
+        F.when(repo, project_page_from_repo("html")).alias("repo_project"),
+        F.when(project, image_candidates("html", url)).alias("images"),
+        F.when(figure, figure_candidates("html", url)).alias("figures"))
+    names = ["page_code", "repo_project", "images", "figures"]
+    facts = facts.groupBy("url").agg(F.max_by(F.struct(*names), "_at").alias("_f")).select("url", "_f.*")
+    kinds = {"page_code": "_project", "repo_project": "_repo", "images": "_project", "figures": "_figure"}
+    return (wanted.join(facts.withColumn("fetched", F.lit(True)), "url", "left")
+            .select("url", *[F.when(F.col(kinds[c]), F.col(c)).alias(c) for c in names], F.coalesce("fetched", F.lit(False)).alias("fetched")))
 
 
 def image_ok(images: DataFrame) -> DataFrame:

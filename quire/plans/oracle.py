@@ -66,7 +66,15 @@ select p.paper_id, p.doc_id, p.title, p.authors, p.abstract, p.comment, p.catego
   f.last_note as favourite_note, cast(null as varchar) as thumbnail,
   cast(null as varchar) as code_url, cast(null as varchar) as project_url
 from papers p left join folded f on f.doc_id = p.doc_id"""),
-    "images": (("page_html",), None),
+    "web_pages": (("papers", "page_html"), """
+select url, html from page_html
+union all select concat('https://github.com/org', cast(doc_id % 7 as varchar), '/repo', cast(doc_id as varchar)),
+  concat('<a href="https://lab', cast(doc_id as varchar), '.github.io/proj/">site</a>') from documents where doc_id % 6 = 1
+union all select concat('https://lab', cast(doc_id as varchar), '.github.io/proj/'),
+  concat('<img src="https://lab', cast(doc_id as varchar), '.github.io/proj/pic.png">') from documents where doc_id % 12 = 1
+union all select concat('https://arxiv.org/html/', paper_id, 'v1'),
+  concat('<img src="https://arxiv.org/icon.png"><img src="https://arxiv.org/html/', paper_id, 'v1/x1.png"><img src="https://arxiv.org/html/x2', cast(doc_id as varchar), '.png">') from papers where doc_id % 5 = 2"""),
+    "images": (("web_pages",), None),
 }
 
 
@@ -96,7 +104,8 @@ def with_views(views, body: str, **ctes: str) -> str:
 
 def _view_sql(name: str) -> str:
     if name == "images":
-        from .text_sql import image_candidates_sql
-        return (f"select distinct img as url, cast((length(img) * 131) % 1000 as bigint) as n_bytes "
-                f"from (select unnest({image_candidates_sql('html')}) as img from page_html)")
+        from .text_sql import figure_candidates_sql, image_candidates_sql
+        return (f"select distinct img as url, cast((length(img) * 131) % 1000 as bigint) as n_bytes from ("
+                f"select unnest({image_candidates_sql('html')}) as img from web_pages where not starts_with(url, 'https://arxiv.org/html/') "
+                f"union all select unnest({figure_candidates_sql('html')}) from web_pages where starts_with(url, 'https://arxiv.org/html/'))")
     return VIEWS[name][1]

@@ -169,6 +169,23 @@ def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.select("page_id", "url", html.alias("html"))
 
 
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(url, html): ``page_html`` and, for some papers, the page of the repository their comment names, the
+    ``github.io`` page that it names, and the rendered paper page."""
+    d, doc = papers(spark, sf_dir).select("paper_id", "doc_id"), F.col("doc_id")
+    s = doc.cast("string")
+    site = F.concat(F.lit("https://lab"), s, F.lit(".github.io/proj/"))
+    repo = d.filter(doc % 6 == 1).select(
+        F.concat(F.lit("https://github.com/org"), (doc % 7).cast("string"), F.lit("/repo"), s).alias("url"),
+        F.concat(F.lit('<a href="'), site, F.lit('">site</a>')).alias("html"))
+    named = d.filter(doc % 12 == 1).select(site.alias("url"), F.concat(F.lit('<img src="'), site, F.lit('pic.png">')).alias("html"))
+    rendered = d.filter(doc % 5 == 2).select(
+        F.concat(F.lit("https://arxiv.org/html/"), "paper_id", F.lit("v1")).alias("url"),
+        F.concat(F.lit('<img src="https://arxiv.org/icon.png"><img src="https://arxiv.org/html/'), "paper_id", F.lit('v1/x1.png"><img src="https://arxiv.org/html/x2'), s,
+                 F.lit('.png">')).alias("html"))
+    return page_html(spark, sf_dir).select("url", "html").unionByName(repo).unionByName(named).unionByName(rendered)
+
+
 CRITERIA_ROWS = [
     ("high", "t-ering", "ering"),
     ("high", "t-ththe", "ththe"),
@@ -213,9 +230,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched-image metadata (url, n_bytes) for every candidate image of the
-    project pages; sizes follow a fixed rule so some fall under the minimum."""
-    from ..functions.urls import image_candidates
+    pages; sizes follow a fixed rule so some fall under the minimum."""
+    from ..functions.urls import figure_candidates, image_candidates
 
-    ph = page_html(spark, sf_dir)
-    urls = ph.select(F.explode(image_candidates("html", F.col("url"))).alias("url")).distinct()
+    pages, url = web_pages(spark, sf_dir), F.col("url")
+    found = F.when(url.startswith("https://arxiv.org/html/"), figure_candidates("html", url)).otherwise(image_candidates("html", url))
+    urls = pages.select(F.explode(found).alias("url")).distinct()
     return urls.select("url", ((F.length("url") * 131) % 1000).cast("long").alias("n_bytes"))

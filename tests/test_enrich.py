@@ -1,5 +1,9 @@
 """Enrichment walk on literal pages: every hop and fallback."""
 
+import time
+
+from pyspark.sql import functions as F
+
 from quire.operators import enrich as EN
 
 
@@ -37,3 +41,62 @@ def test_enrichment_walk(spark):
             "2401.00003": ("https://p3.org/", None, "thumbs/2401.00003.png", "https://arxiv.org/html/x1.png"),
             "2401.00004": ("https://missing.org/x", None, None, None),
         }
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame(rows, "url string, kind string")
+
+
+def test_html_is_never_shuffled(spark):
+    """No exchange holds HTML even when nothing may be broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(2000).select(F.concat(F.lit("https://p.org/"), F.col("id").cast("string")).alias("url"),
+                                         F.concat(F.lit("<img src='a.png'>"), F.col("id").cast("string")).alias("html"))
+        requests = pages.select("url", F.lit("project").alias("kind")).unionByName(_requests(spark, [("https://gone.org", "project"), (None, "repo")]))
+        facts = EN.page_facts(pages, requests)
+        rows = facts.collect()
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(rows) == 2001 and sum(r.fetched for r in rows) == 2000
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and not any("html" in line for line in exchanges)
+    assert "BroadcastExchange" not in plan
+
+
+def test_filter_admits_every_request_and_few_others(spark):
+    urls = spark.range(5000).select(F.concat(F.lit("https://x.org/"), F.col("id").cast("string")).alias("url"), F.lit("repo").alias("kind"))
+    test = EN.url_filter(urls)
+    assert urls.filter(~test(F.col("url"), "repo")).count() == 0
+    assert urls.filter(test(F.col("url"), "figure")).count() < 200
+    full = EN.url_filter(urls, bits=1024)  # full: admits what nobody asked for, facts stay right
+    assert urls.filter(~full(F.col("url"), "repo")).count() == 0
+    pages = urls.select("url", F.lit('<a href="https://a.github.io/b">x</a>').alias("html"))
+    got = EN.page_facts(pages, urls.limit(3).unionByName(_requests(spark, [("https://x.org/4999", "project")])), bits=1024).collect()
+    assert sorted((r.repo_project, r.page_code) for r in got if r.repo_project) == [("https://a.github.io/b", None)] * 3
+    assert [r.images for r in got if not r.repo_project] == [[]]
+
+
+def test_latest_fetch_counts(spark):
+    pages = spark.createDataFrame([("u", '<img src="old.png">', 1), ("u", '<img src="new.png">', 2)], "url string, html string, t int")
+    got = EN.page_facts(pages, _requests(spark, [("u", "project")]), fetched_at="t").first()
+    assert len(got.images) == 1 and "new.png" in got.images[0]
+    assert EN.page_facts(pages, _requests(spark, [])).collect() == []
+
+
+def test_card_links_take_linear_time(spark):
+    from quire.functions.urls import card_links
+
+    def seconds(n):
+        text = "project " + " ".join(f"https://github.com/a/r{i % (n // 2)}" for i in range(n))
+        df = spark.createDataFrame([(None, "https://github.com/a/r3", text, text)] * 4, "p string, c string, a string, b string")
+        start = time.perf_counter()
+        sizes = [r[0] for r in df.select(F.size(card_links("p", "c", "a", "b"))).collect()]
+        assert sizes == [n // 2] * 4
+        return time.perf_counter() - start
+
+    seconds(500)
+    small, large = min(seconds(2000) for _ in range(2)), seconds(16_000)
+    assert large < 24 * small + 2
