@@ -74,8 +74,9 @@ def papers_markdown(papers: DataFrame, category: str, order=("paper_id",)) -> Da
 
 
 def write_markdown(blocks: DataFrame, path: str) -> None:
-    """Write SNK-05 blocks as one text directory per run date (blocks sorted)."""
-    (blocks.repartition("run_date").sortWithinPartitions("run_date", "pos")
+    """Write SNK-05 blocks as one text directory per run date. A date of any size is written by as many tasks as it needs;
+    its files, by name, hold the blocks in order."""
+    (blocks.repartitionByRange("run_date", "pos").sortWithinPartitions("run_date", "pos")
         .select("run_date", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_date").text(path))
 
@@ -90,11 +91,3 @@ def snapshot_catalog(catalog: DataFrame, root: str, snap_date) -> DataFrame:
     # one manifest folder per date, so a repeated run replaces its row
     row.write.mode("overwrite").parquet(f"{root}/manifest/snapshot={snap_date}")
     return row
-
-
-def snapshot_store(spark, catalog_root: str, root: str, snap_date):
-    """SNK-08 over a stored catalog: no committed catalog -> skip (None)."""
-    from .catalog_store import _exists, read_catalog
-    if not _exists(spark, f"{catalog_root}/_commits"):
-        return None
-    return snapshot_catalog(read_catalog(spark, catalog_root), root, snap_date)

@@ -172,7 +172,8 @@ def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, html): ``page_html`` and, for some papers, the page of the repository their comment names, the
     ``github.io`` page that it names, and the rendered paper page."""
-    d, doc = papers(spark, sf_dir).select("paper_id", "doc_id"), F.col("doc_id")
+    doc = F.col("doc_id")
+    d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select(doc, paper_id_of(doc).alias("paper_id"))
     s = doc.cast("string")
     site = F.concat(F.lit("https://lab"), s, F.lit(".github.io/proj/"))
     repo = d.filter(doc % 6 == 1).select(

@@ -70,8 +70,9 @@ def interactions_from_events(events: DataFrame) -> DataFrame:
 
 
 def stream_interactions(interactions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """SM-02: toggle parity and last note as a streaming aggregation
-    (``update``/``complete`` mode); equals the batch fold (AG-12/13)."""
+    """SM-02: toggle parity and last note as keyed state; equals the batch fold
+    (AG-12/13). In ``update`` mode a micro-batch puts out the keys that it
+    changed, with their totals since the start."""
     return fold_interactions(interactions, key=key)
 
 
@@ -90,49 +91,61 @@ def stream_daily_counts(source: DataFrame, delay: str = "1 day", ts: str = "ts")
             .select(utc_date(F.col("window.start")).alias("day"), "n"))
 
 
-def run_available(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming frame over all available input into Parquet files in
-    the shared folder and return them (the batch view of one cron run): with
-    ``complete`` the last state, else the rows of all micro-batches."""
+def run_available(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None,
+                  key: str | None = None) -> DataFrame:
+    """Run a streaming frame over all available input into Parquet files beside its checkpoint and return the
+    result of all runs on that checkpoint, so a run without new input returns the same rows:
+
+    * ``append``: the rows of all micro-batches;
+    * ``complete``: those of the last one;
+    * ``update``: of each ``key`` the latest row. A micro-batch writes only the keys it changed.
+
+    A replayed micro-batch replaces its own files."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark, 'out-' + name)}/{uuid.uuid4().hex[:8]}"
-    epochs: list[int] = []
+    checkpoint = checkpoint or scratch_dir(spark, "ckpt-" + name)
+    path = f"{checkpoint.rstrip('/')}-out"
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        epochs.append(epoch)
 
-    q = (df.writeStream.outputMode(mode).foreachBatch(keep)
-         .option("checkpointLocation", checkpoint or scratch_dir(spark, "ckpt-" + name))
-         .trigger(availableNow=True).start())
+    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    wanted = epochs[-1:] if mode == "complete" else epochs
-    if not wanted:
+    if not catalog_store._exists(spark, path):
         return spark.createDataFrame([], df.schema)
-    return spark.read.schema(df.schema).parquet(*(f"{path}/epoch={e}" for e in wanted))
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("epoch", T.LongType())])).parquet(path)
+    if mode == "complete":
+        return rows.filter(F.col("epoch") == rows.select(F.max("epoch")).first()[0]).drop("epoch")
+    if mode == "update":
+        others = [c for c in df.columns if c != key]
+        return (rows.groupBy(key).agg(F.max_by(F.struct(*others), "epoch").alias("_r"))
+                .select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns]))
+    return rows.drop("epoch")
 
 
 def stream_ingest(spark: SparkSession, feed_dir: str, catalog_root: str, run_date,
                   checkpoint: str | None = None, multiline: bool = False) -> None:
     """SM-01: landed JSON paper files (JSON lines, or arrays with
     ``multiline``) -> catalog upsert, one micro-batch per
-    trigger, exactly once per file thanks to the checkpoint. The upsert is
-    idempotent, so a replayed batch after a failure changes nothing."""
+    trigger. Rows without an id or title are set aside by the store. The
+    commit carries (checkpoint, epoch), so a batch that is delivered again after a failure is not merged again."""
+    checkpoint = checkpoint or scratch_dir(spark, "ckpt-ingest")
     src = (spark.readStream.schema(PAPER_FILE).option("multiLine", str(multiline).lower()).json(feed_dir)
            .select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start").alias("_file"))
            .withColumnRenamed("arxiv_id", "paper_id"))
+    merge = merge_batch(catalog_root, run_date, checkpoint)
+    q = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
 
-    def merge(batch: DataFrame, _epoch: int) -> None:
+
+def merge_batch(catalog_root: str, run_date, stream: str):
+    """The function that merges micro-batch ``epoch`` of ``stream`` into the catalog, once however often it is called."""
+    def merge(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
             # arrival order decides in-batch duplicates: file time, path, then place in the file
             batch = batch.withColumn("pos", F.struct("_file", F.monotonically_increasing_id().alias("row"))).drop("_file")
-            catalog_store.upsert(batch.sparkSession, catalog_root, batch, run_date)
-
-    q = (src.writeStream.foreachBatch(merge)
-         .option("checkpointLocation", checkpoint or scratch_dir(spark, "ckpt-ingest"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+            catalog_store.upsert(batch.sparkSession, catalog_root, batch, run_date, stream, epoch)
+    return merge

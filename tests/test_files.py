@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from quire.sinks import catalog_store as CS
 from quire.sinks import files as FS
 from quire.sources import feeds as S
 from quire.sources import fixtures as X
@@ -73,7 +74,8 @@ def test_rss_dedupe_option(spark):
 
 
 def test_snapshot_store_skips_missing_catalog(spark, tmp):
-    assert FS.snapshot_store(spark, f"{tmp}/nothing", f"{tmp}/snap", "2024-01-01") is None
+    assert CS.snapshot(spark, f"{tmp}/nothing", "2024-01-01") is None
+    assert CS.read_catalog(spark, f"{tmp}/nothing").count() == 0 and CS.head(spark, f"{tmp}/nothing") == 0
 
 
 def test_fallback_when_primary_is_down(spark):
