@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..schemas import CATALOG, CONTENT_COLUMNS, STATE_COLUMNS
 
@@ -75,7 +75,7 @@ def upsert_catalog(catalog: DataFrame, incoming: DataFrame, run_date, pos: str =
     """JN-05: merge a judged batch into the catalog on ``paper_id``.
 
     * matched: the content columns are replaced by the incoming values (a
-      column missing from the batch becomes null); ``date_added`` and all user
+      column missing from the batch becomes null, a missing list empty); ``date_added`` and all user
       state (flags, note, thumbnail, code/project URL) are kept;
     * new: inserted with ``date_added = run_date`` and empty state;
     * duplicate ids inside the batch: the row with the largest ``pos`` wins
@@ -94,9 +94,13 @@ def upsert_catalog(catalog: DataFrame, incoming: DataFrame, run_date, pos: str =
         rest = [c for c in incoming.columns if c != "paper_id"]
         inc = incoming.groupBy("paper_id").agg(F.max(F.struct(*rest)).alias("_r")).select("paper_id", "_r.*") if rest \
             else incoming.distinct()
-    inc = inc.select("paper_id", *[
-        (F.col(c).cast(CATALOG[c].dataType) if c in inc.columns else _typed_null(c)).alias(c)
-        for c in CONTENT_COLUMNS]).withColumn("_new", F.lit(True))
+    def content(c: str) -> Column:
+        value = F.col(c).cast(CATALOG[c].dataType) if c in inc.columns else _typed_null(c)
+        if isinstance(CATALOG[c].dataType, T.ArrayType):
+            value = F.coalesce(value, F.array().cast(CATALOG[c].dataType))
+        return value.alias(c)
+
+    inc = inc.select("paper_id", *map(content, CONTENT_COLUMNS)).withColumn("_new", F.lit(True))
     cat = catalog.select("paper_id", *CONTENT_COLUMNS, *STATE_COLUMNS)
     j = cat.alias("c").join(inc.alias("i"), "paper_id", "full_outer")
     matched_or_new = F.col("i._new").isNotNull()
@@ -199,6 +203,3 @@ def add_missing_columns(df: DataFrame, schema=CATALOG) -> DataFrame:
             cols.append(_typed_null(f.name))
     return df.select(*cols)
 
-
-def order_window(*keys, pos="pos"):
-    return Window.partitionBy(*keys).orderBy(pos)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import short_model_name, tier_letter
 from ..functions.urls import classify_urls
 from ..schemas import CACHE_MIN_BYTES, SNAPSHOT_MIN_BYTES, SNAPSHOT_RETENTION_DAYS
+from .ordering import ordered_positions
 
 # ---------------------------------------------------------------------------
 # Quality signals named by the criteria document.
@@ -68,32 +69,45 @@ def agreement_matrix(judgements: DataFrame, models: list[str], failed: list[str]
                      pos: str | None = None) -> DataFrame:
     """AG-07: one row per picked id, one column per model: the tier's first
     letter upper-cased, ``''`` if not picked, ``ERR`` for a failed model; a
-    duplicate pick uses the first (smallest ``pos``)."""
+    duplicate pick uses the first (smallest ``pos``).
+
+    A model failed if it is in ``failed`` or, where the rows carry a ``status``
+    (:func:`~quire.operators.triage.judge`), if all its rows say ``failed``: that is known only while the job runs."""
     ok_models = [m for m in models if m not in failed]
-    j = judgements.filter(F.col("model").isin(ok_models))
+    rows = judgements.filter(F.col("model").isin(ok_models))
+    j = rows.filter(F.col("paper_id").isNotNull())
     val = F.coalesce(F.col("relevance_tier"), F.lit("?"))
     agg = F.min_by(val, pos) if pos else F.min(val)
     piv = j.groupBy("paper_id").pivot("model", ok_models).agg(agg)
+    if "status" in judgements.columns:
+        down = rows.groupBy("model").agg(F.min(F.col("status") == "failed").alias("down")).filter("down")
+        # one array, no longer than ``models``
+        piv = piv.withColumn("_down", down.agg(F.collect_set("model").alias("m")).scalar())
     cols = [F.col("paper_id")]
     for m in models:
         if m in failed:
             cols.append(F.lit("ERR").alias(m))
         else:
-            cols.append(F.when(F.col(m).isNull(), F.lit("")).otherwise(tier_letter(F.col(m))).alias(m))
+            cell = F.when(F.col(m).isNull(), F.lit("")).otherwise(tier_letter(F.col(m)))
+            cols.append((F.when(F.array_contains("_down", m), F.lit("ERR")).otherwise(cell) if "status" in judgements.columns else cell).alias(m))
     return piv.select(*cols)
 
 
 def sorted_picks(picks: DataFrame) -> DataFrame:
-    """SO-05: picks ordered by id."""
-    return picks.orderBy("paper_id")
+    """SO-05: picks ordered by id, with their position ``pos``."""
+    return ordered_positions(picks, [], ["paper_id"], "pos").orderBy("pos")
 
 
 def compare_models(papers: DataFrame, runs: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """CP-09: run each model's triage over the same papers; the union carries a
-    ``model`` column (one lazy plan per model, one shuffle for the pivot)."""
+    ``model`` column (one lazy plan per model, one shuffle for the pivot). Where a run returns the
+    ``status`` of its rows, the status rows of its batches travel with its picks, so that
+    :func:`agreement_matrix` sees a model that failed while it ran."""
     out = None
     for name, run in runs.items():
-        r = run(papers).select("paper_id", "relevance_tier").withColumn("model", F.lit(name))
+        r = run(papers)
+        status = F.col("status") if "status" in r.columns else F.lit("ok")
+        r = r.select("paper_id", "relevance_tier", status.alias("status")).withColumn("model", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -115,8 +129,9 @@ def not_yet_ingested(requested: DataFrame, manifest: DataFrame, force: bool = Fa
 
 
 def snapshot_manifest_row(catalog: DataFrame, snap_date, path: str) -> DataFrame:
-    """SNK-08: the manifest row of a snapshot (rows, bytes, size warning)."""
-    bytes_col = F.sum(F.length(F.coalesce("abstract", F.lit(""))) + F.length(F.coalesce("title", F.lit(""))))
+    """SNK-08: the manifest row of a snapshot that is a copy (rows, bytes of its two texts in UTF-8, size warning); of a stored
+    catalog :func:`quire.sinks.catalog_store.snapshot` gives the bytes as written."""
+    bytes_col = F.sum(F.octet_length(F.coalesce("abstract", F.lit(""))) + F.octet_length(F.coalesce("title", F.lit(""))))
     return catalog.agg(F.count(F.lit(1)).alias("n_rows"), bytes_col.cast("long").alias("n_bytes")).select(
         F.lit(snap_date).cast("date").alias("snapshot_date"), F.lit(path).alias("path"), "n_rows", "n_bytes",
         (F.col("n_bytes") < SNAPSHOT_MIN_BYTES).alias("warn_small"))

@@ -288,10 +288,13 @@ def batch_report(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def valid_judgements(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """FL-08: (valid, rejected) - id present and tier in {high, moderate}.
+    """FL-08: (valid, rejected) - id present, tier in {high, moderate} and, in
+    stage-2 output (:func:`envelope_papers`), no required field missing.
     The status row of a batch without a pick is neither."""
     judged = judged.filter(~(F.col("paper_id").isNull() & (F.col("status") == "ok"))) if "status" in judged.columns else judged
     ok = F.col("paper_id").isNotNull() & F.col("relevance_tier").isin("high", "moderate")
+    if "missing_fields" in judged.columns:
+        ok = ok & (F.size("missing_fields") == 0)
     return judged.filter(ok), judged.filter(~ok | ok.isNull())
 
 
@@ -372,7 +375,12 @@ def envelope_papers(envelopes: DataFrame) -> DataFrame:
     rows = parsed.select("batch_id", F.posexplode("o.papers").alias("pos", "p")).select("batch_id", "pos", "p.*")
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in STAGE2_REQUIRED]),
                        lambda x: x.isNotNull())
-    return rows.withColumnRenamed("arxiv_id", "paper_id").withColumn("missing_fields", missing)
+    return rows.withColumn("missing_fields", missing).withColumnRenamed("arxiv_id", "paper_id")
+
+
+def stage2_envelope_json(papers: Column) -> Column:
+    """Render a stage-2 envelope from an array of paper records."""
+    return F.to_json(F.struct(F.struct(papers.alias("papers")).alias("structured_output")))
 
 
 def stage1_envelope_json(ids: Column) -> Column:

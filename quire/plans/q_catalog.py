@@ -298,3 +298,15 @@ def q_with_urls(spark, sf):
     from ..sources.feeds import with_urls
     p = X.papers(spark, sf).select("paper_id", F.lit(None).cast("string").alias("pdf_url"))
     return with_urls(p).select("paper_id", "pdf_url", "abs_url")
+
+
+@register("upsert_lists", views=("papers", "incoming"), sql="""
+select p.paper_id, case when i.paper_id is null then len(p.authors) else 0 end as n_authors,
+  case when i.paper_id is null then len(p.categories) else 0 end as n_categories
+from papers p left join (select distinct paper_id from incoming) i using (paper_id)
+union all select distinct paper_id, 0, 0 from incoming where paper_id not in (select paper_id from papers)""")
+def q_upsert_lists(spark, sf):
+    """JN-05 with a batch that has neither authors nor categories: empty lists, never null."""
+    out = C.upsert_catalog(C.catalog_from_papers(X.papers(spark, sf)), X.incoming(spark, sf).drop("doc_id"), RUN_DATE)
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
+    return out.select("paper_id", size("authors").alias("n_authors"), size("categories").alias("n_categories"))

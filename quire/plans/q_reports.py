@@ -37,8 +37,7 @@ def q_distinct_union_picks(spark, sf):
 @register("sorted_picks", views=("judgements",), sql="""
 select paper_id, cast(row_number() over (order by paper_id) as bigint) as pos from (select distinct paper_id from judgements)""")
 def q_sorted_picks(spark, sf):
-    from ..operators.ordering import ordered_positions
-    return ordered_positions(R.distinct_union_picks(_judgements(spark, sf)), [], ["paper_id"], "pos")
+    return R.sorted_picks(R.distinct_union_picks(_judgements(spark, sf)))
 
 
 LETTER = "case when max(case when model = '{m}' then 1 end) is null then '' else upper(left(coalesce(min(case when model = '{m}' then relevance_tier end), '?'), 1)) end as {m}"
@@ -53,6 +52,21 @@ def q_agreement_matrix(spark, sf):
     return R.title_lookup(m, X.papers(spark, sf))
 
 
+@register("agreement_matrix_repeats", views=("judgements", "papers"),
+          rep="""select model, paper_id, relevance_tier, 1 as pos from judgements
+union all select j.model, j.paper_id, case when j.relevance_tier = 'high' then 'moderate' else 'high' end, 2 from judgements j join papers using (paper_id) where doc_id % 2 = 0""",
+          sql="select paper_id" + "".join(
+              f", coalesce(upper(left(arg_min(relevance_tier, pos) filter (where model = '{m}'), 1)), '') as {m}" for m in ("m1", "m2", "m3"))
+          + " from rep group by paper_id")
+def q_agreement_matrix_repeats(spark, sf):
+    """AG-07 where a model picks a paper twice: the first tier counts, not the smallest."""
+    j = _judgements(spark, sf)
+    other = F.when(F.col("relevance_tier") == "high", "moderate").otherwise("high")
+    even = X.papers(spark, sf).filter(F.col("doc_id") % 2 == 0).select("paper_id")
+    second = j.join(even, "paper_id").select("model", "paper_id", other.alias("relevance_tier"), F.lit(2).alias("pos"))
+    return R.agreement_matrix(j.withColumn("pos", F.lit(1)).unionByName(second), ["m1", "m2", "m3"], pos="pos")
+
+
 @register("title_lookup", views=("incoming", "papers"), sql="""
 select i.paper_id, left(coalesce(p.title, '?'), 58) as title from (select distinct paper_id from incoming) i
 left join papers p using (paper_id)""")
@@ -111,6 +125,46 @@ def q_compare_models(spark, sf):
     return R.agreement_matrix(union, list(runs), failed=failed)
 
 
+def _failing_runs():
+    """Three models run batch by batch in the tasks: one fails in every third batch, one always, one never."""
+    def batches(papers):
+        return TR.balanced_batches(papers.select("paper_id", "doc_id", "relevance_tier"), 50, ["paper_id"]).withColumnRenamed("relevance_tier", "own").drop("pos")
+
+    def scorer(fails):
+        def score(pdf):
+            if fails == "always" or fails == "third" and (pdf["doc_id"] % 41 == 0).any():
+                raise RuntimeError("judge unavailable")
+            return pdf[pdf["own"].notna()].rename(columns={"own": "relevance_tier"})[["paper_id", "relevance_tier"]]
+        return score
+
+    return {name: (lambda papers, f=fails: TR.judge(batches(papers), scorer(f))) for name, fails in (("some", "third"), ("none", "always"), ("all", "never"))}
+
+
+FAILING_CTES = dict(
+    b="""select *, cast(floor((row_number() over (order by paper_id) - 1) / ceil(count(*) over () / greatest(1, ceil(count(*) over () / 50.0)))) as bigint) as batch_id
+from papers""",
+    f="select batch_id, bool_or(doc_id % 41 = 0) as failed from b group by batch_id",
+)
+
+
+@register("compare_models_failures", views=("papers",), **FAILING_CTES, sql="""
+select paper_id, case when failed then '' else upper(left(relevance_tier, 1)) end as some, 'ERR' as none, upper(left(relevance_tier, 1)) as "all"
+from b join f using (batch_id) where relevance_tier is not null""")
+def q_compare_models_failures(spark, sf):
+    """CP-06 + CP-09: batches and models that fail while the job runs. A failed batch has no picks; a model of failed batches only is ERR."""
+    runs = _failing_runs()
+    return R.agreement_matrix(R.compare_models(X.papers(spark, sf), runs), list(runs))
+
+
+@register("batch_report_failures", views=("papers",), **FAILING_CTES, sql="""
+select batch_id, case when failed then 'FAILED' else 'ok' end as status, case when failed then 0 else n end as n_papers,
+  case when failed then 'RuntimeError: judge unavailable' end as error
+from f join (select batch_id, count(relevance_tier) as n from b group by batch_id) using (batch_id)""")
+def q_batch_report_failures(spark, sf):
+    """CP-06 + AG-08 with failing batches."""
+    return TR.batch_report(_failing_runs()["some"](X.papers(spark, sf)))
+
+
 MANIFEST_SQL = """select cast(date_added as date) as snapshot_date, concat('snapshots/date=', date_added) as path,
   count(*) as n_rows, cast(case when (doc_min % 4) = 0 then 5 else sum(length(title)) end as bigint) as n_bytes
 from (select *, min(doc_id) over (partition by date_added) as doc_min from papers) group by date_added, doc_min"""
@@ -133,8 +187,8 @@ def q_expired_snapshots(spark, sf):
 
 @register("snapshot_manifest_row", views=("papers",), sql="""
 select date '2024-02-01' as snapshot_date, 'snapshots/date=2024-02-01' as path, count(*) as n_rows,
-  cast(sum(length(coalesce(abstract, '')) + length(coalesce(title, ''))) as bigint) as n_bytes,
-  sum(length(coalesce(abstract, '')) + length(coalesce(title, ''))) < 1000 as warn_small from papers""")
+  cast(sum(strlen(coalesce(abstract, '')) + strlen(coalesce(title, ''))) as bigint) as n_bytes,
+  sum(strlen(coalesce(abstract, '')) + strlen(coalesce(title, ''))) < 1000 as warn_small from papers""")
 def q_snapshot_manifest_row(spark, sf):
     return R.snapshot_manifest_row(X.papers(spark, sf), "2024-02-01", "snapshots/date=2024-02-01")
 

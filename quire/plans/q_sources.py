@@ -176,3 +176,46 @@ select user_id, min(event_id) as first_seq, count(*) as n_events from events gro
 def q_ordered_dedupe(spark, sf):
     ev = X.table(spark, sf, "events").select("user_id", "event_id")
     return FE.ordered_dedupe(ev, ["user_id"], "event_id", "first_seq", count_as="n_events")
+
+
+DOC_TERMS_SQL = """
+select source, case doc_id % 4 when 0 then 'high' when 1 then 'moderate' when 2 then 'low' else 'exclude' end as tier,
+  concat('lang ', lang) as topic, concat('w', cast(doc_id as varchar), ' ', lang) as term from documents where source is not null"""
+
+
+def _criteria_by_source(spark, sf):
+    doc = F.col("doc_id")
+    tier = F.when(doc % 4 == 0, "high").when(doc % 4 == 1, "moderate").when(doc % 4 == 2, "low").otherwise("exclude")
+    rows = X.table(spark, sf, "documents").filter("source is not null").select(
+        "source", tier.alias("tier"), F.concat(F.lit("lang "), "lang").alias("topic"), F.concat(F.lit("w"), doc.cast("string"), F.lit(" "), "lang").alias("term"))
+    return S.render_criteria(rows, by="source")
+
+
+@register("criteria_documents", t=DOC_TERMS_SQL, sql="select source as doc, topic, tier, term from t where topic is not null")
+def q_criteria_documents(spark, sf):
+    """SRC-07: a criteria document for each source, written as Markdown files, read back whole and parsed."""
+    from ..streaming.streams import scratch_dir
+    path = scratch_dir(spark, "criteria")
+    docs = _criteria_by_source(spark, sf)
+    # a document a file: its source travels in the first line, which holds no rule
+    docs.select(F.concat(F.lit("<!-- "), "doc", F.lit(" -->\n"), "text").alias("value")).repartition(4).write.option("lineSep", "\x00").text(path)
+    text = S.read_criteria(spark, path).select(F.explode(F.split("text", "\x00")).alias("text")).filter("text <> ''")
+    named = text.select(F.regexp_extract("text", "^<!-- (.*?) -->", 1).alias("doc"), "text")
+    return S.criteria_rows(named).select("doc", "topic", "tier", "term")
+
+
+@register("malformed_documents", views=("records",), sql="""
+select form, batch_id, case when batch_id % 4 = 1 then concat('malformed ', form) else 'empty' end as error
+from (select distinct doc_id // 50 as batch_id from records), (values ('atom'), ('json')) f(form) where batch_id % 4 in (1, 3)""")
+def q_malformed_documents(spark, sf):
+    """SRC-04 / SRC-09: feeds and JSON bodies that were cut short or are blank give an error row each."""
+    b = X.paper_records(spark, sf).withColumn("pos", F.col("doc_id")).withColumn("batch_id", F.floor(F.col("doc_id") / 50).cast("long"))
+    feeds = S.render_atom_feeds(b).select("batch_id", F.col("xml").alias("text"))
+    bodies = b.groupBy("batch_id").agg(F.to_json(F.collect_list(F.struct("paper_id", "title"))).alias("text"))
+    out = None
+    for form, docs in (("atom", feeds), ("json", bodies)):
+        k = F.col("batch_id") % 4
+        cut = F.when(k == 1, F.substring("text", F.lit(1), F.length("text") - 9)).when(k == 3, " ").otherwise(F.col("text"))
+        bad = S.malformed(docs.select("batch_id", cut.alias("text")), "text", "batch_id", form).distinct().select(F.lit(form).alias("form"), "batch_id", "error")
+        out = bad if out is None else out.unionByName(bad)
+    return out

@@ -309,3 +309,27 @@ def q_prompt_stage2_full(spark, sf):
     ids = TR.stage1_candidates(recs, X.criteria(spark))
     batches = TR.balanced_batches(TR.select_candidates(recs, ids), 12, ["paper_id"])
     return TR.prompt_stage2(batches, _criteria_text(spark))
+
+
+STAGE2_ENVELOPES_SQL = """
+select paper_id, doc_id % 7 <> 1 and doc_id % 11 <> 2 and (doc_id % 3 <> 0 or relevance_tier is not null) as valid,
+  array_to_string(list_filter([case when doc_id % 11 = 2 then 'title' end, case when doc_id % 7 = 1 then 'abstract' end,
+    case when doc_id % 3 = 0 and relevance_tier is null then 'relevance_tier' end], lambda x: x is not null), ',') as missing
+from records where doc_id // 12 % 5 <> 4"""
+
+
+@register("stage2_envelopes", views=("records",), sql=STAGE2_ENVELOPES_SQL)
+def q_stage2_envelopes(spark, sf):
+    """SRC-08 + FL-08: stage-2 envelopes of twelve papers each, every fifth cut short; papers without a required field are rejected."""
+    doc = F.col("doc_id")
+    tier = F.when(doc % 3 == 0, F.col("relevance_tier")).otherwise("high")
+    rec = F.struct(F.col("paper_id").alias("arxiv_id"), F.when(doc % 11 != 2, F.col("title")).alias("title"), "authors",
+                   F.when(doc % 7 != 1, F.col("abstract")).alias("abstract"), "published", "pdf_url", "abs_url", tier.alias("relevance_tier"),
+                   F.lit("s").alias("relevance_summary"))
+    per = _records(spark, sf).groupBy(F.floor(doc / 12).cast("long").alias("batch_id")).agg(F.collect_list(rec).alias("p"))
+    stdout = TR.stage2_envelope_json(F.col("p"))
+    raw = per.select("batch_id", F.lit(0).alias("exit_code"),
+                     F.when(F.col("batch_id") % 5 == 4, F.substring(stdout, F.lit(1), F.length(stdout) - 5)).otherwise(stdout).alias("stdout"))
+    ok, bad = TR.valid_judgements(TR.envelope_papers(TR.parse_envelopes(raw, stage=2)))
+    both = ok.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)))
+    return both.select("paper_id", "valid", F.array_join("missing_fields", ",").alias("missing"))

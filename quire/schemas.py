@@ -9,13 +9,6 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Paper ID: four digits, a dot, four or five digits; first match; no version.
 ID_PATTERN = r"(\d{4}\.\d{4,5})"
-# Relevance tiers and their display order: high=0, moderate=1, anything else=2.
-# Batch caps: stage-1 title scan, stage-2 abstract filter, metadata request size.
-STAGE1_BATCH_CAP = 200
-STAGE2_BATCH_CAP = 12
-FETCH_BATCH_SIZE = 50
-# Characters stripped from the right end of a URL found in free text.
-# The same for code links found in page HTML (adds both quote characters).
 # Code hosts used by enrichment; the paper card also accepts bitbucket.org.
 CODE_HOSTS = ("github.com", "gitlab.com", "huggingface.co")
 # GitHub pages that are never a repository (matched after "https://").

@@ -47,8 +47,8 @@ def write_filtered(judged: DataFrame, path: str, run_date) -> None:
 
 
 def write_papers(papers: DataFrame, path: str) -> None:
-    """SNK-04: fetched papers as JSON; an empty result still leaves a readable
-    (empty) dataset because the schema travels with the reader (SRC-06)."""
+    """SNK-04: fetched papers as JSON lines; an empty result still leaves a readable
+    (empty) dataset because the schema travels with the reader (SRC-06 with ``lines``)."""
     papers.write.mode("overwrite").json(path)
 
 

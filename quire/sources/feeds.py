@@ -69,6 +69,19 @@ def parse_entries(feeds: DataFrame, xml_col: str = "xml", keep=()) -> DataFrame:
     return out.filter(F.col("paper_id").isNotNull())
 
 
+def malformed(docs: DataFrame, text_col: str, key: str, form: str) -> DataFrame:
+    """(key, error): the documents that are no well-formed ``atom``, ``rss`` or ``json`` (an array of papers or
+    one paper). The parsers give no rows for them, so without this they would look empty. A null or blank document is ``empty``."""
+    blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    if form == "json":
+        bad = F.get_json_object(text_col, "$").isNull()
+    else:
+        root = r"(?s)^\s*(?:<\?xml.*?\?>\s*)?(?:<!--.*?-->\s*)*<(?:\w+:)?" + {"atom": "feed", "rss": "rss"}[form] + r"\b"
+        bad = F.from_xml(text_col, "_corrupt string", {**XML_OPTS, **opts})["_corrupt"].isNotNull() | ~F.col(text_col).rlike(root)
+    return docs.select(key, F.when(blank, "empty").when(bad, F.lit(f"malformed {form}")).alias("error")).filter("error is not null")
+
+
 # ---------------------------------------------------------------------------
 # SRC-01 / SRC-02 RSS
 # ---------------------------------------------------------------------------
@@ -130,9 +143,21 @@ def listing_ids_by_date(pages: DataFrame, html_col: str = "html", key: str = "pa
 # ---------------------------------------------------------------------------
 # SRC-05 abstract pages
 # ---------------------------------------------------------------------------
-def _meta_raw(html: Column, name: str) -> Column:
-    """Content of the first ``<meta name=...>`` tag; null when the tag is absent."""
-    return F.get(F.regexp_extract_all(html, F.lit(rf'(?s)<meta\s+name="{name}"\s+content="(.*?)"'), 1), 0)
+# The tags and cells of an abstract page that hold its facts.
+ABS_FACTS = (r'(?s)(?=(<meta\s+name="citation_(?:title|abstract|date|pdf_url)"\s+content=".*?"'
+             r'|<meta\s+name="citation_author"\s+content="(?-s:.*?)"'
+             r'|class="tablecell comments[^"]*">.*?</td>|class="primary-subject">.*?</span>.*?</td>))')
+
+
+def page_pairs(html: Column) -> Column:
+    """``array<struct<name,content>>`` of an abstract page's meta tags and cells, in page order: one pass of
+    one pattern over the page (looking ahead, so that a cell that was not closed hides nothing)."""
+    def pair(tag):
+        meta = F.regexp_extract(tag, r'^<meta\s+name="citation_(\w+)"', 1)
+        name = F.when(meta != "", meta).when(tag.startswith('class="tablecell'), "comments").otherwise("subject")
+        content = F.regexp_extract(tag, r'(?s)^[^>]*?content="(.*)"$', 1)
+        return F.struct(name.alias("name"), F.when(meta != "", content).otherwise(F.regexp_extract(tag, r'(?s)^[^>]*>(.*)</td>$', 1)).alias("content"))
+    return F.transform(F.regexp_extract_all(html, F.lit(ABS_FACTS), 1), pair)
 
 
 def parse_abs_pages(pages: DataFrame, html_col: str = "html", id_col: str = "paper_id") -> DataFrame:
@@ -141,23 +166,19 @@ def parse_abs_pages(pages: DataFrame, html_col: str = "html", id_col: str = "pap
     Title and abstract are required; authors are flipped to ``First Last``;
     the comment cell loses its tags; categories come from ``(...)`` in the
     primary subject and then in the rest of the cell, not de-duplicated.
-    Each pattern runs once per page (stage 1); entities are decoded on the
+    One pattern runs once over a page (:func:`page_pairs`, stage 1); entities are decoded on the
     extracted values only (stage 2); HTML never leaves stage 1.
     """
-    h = F.col(html_col)
-    subj = r'(?s)class="primary-subject">(.*?)</span>(.*?)</td>'
-    cm = F.get(F.regexp_extract_all(h, F.lit(r'(?s)class="tablecell comments[^"]*">(.*?)</td>'), 1), 0)
-    prim_cell = F.get(F.regexp_extract_all(h, F.lit(subj), 1), 0)
-    rest_cell = F.get(F.regexp_extract_all(h, F.lit(subj), 2), 0)
-    raw = pages.select(
-        F.col(id_col).alias("paper_id"),
-        _meta_raw(h, "citation_title").alias("_t"), _meta_raw(h, "citation_abstract").alias("_a"),
-        _meta_raw(h, "citation_date").alias("_d"), _meta_raw(h, "citation_pdf_url").alias("_p"),
-        F.regexp_extract_all(h, F.lit(r'<meta\s+name="citation_author"\s+content="(.*?)"'), 1).alias("_au"),
-        F.when(cm.isNotNull(), collapse_ws(strip_tags(cm))).alias("comment"),
-        F.when(prim_cell.isNotNull(), F.concat(
-            F.filter(F.array(F.regexp_extract(prim_cell, r"\(([^)]+)\)", 1)), lambda p: p != ""),
-            F.regexp_extract_all(rest_cell, F.lit(r"\(([^)]+)\)"), 1))).otherwise(
+    pairs = pages.select(F.col(id_col).alias("paper_id"), page_pairs(F.col(html_col)).alias("_pairs"))
+    of = lambda name: F.transform(F.filter("_pairs", lambda p: p["name"] == name), lambda p: p["content"])
+    first = lambda name: F.get(of(name), 0)
+    split = pairs.select("paper_id", first("title").alias("_t"), first("abstract").alias("_a"), first("date").alias("_d"), first("pdf_url").alias("_p"),
+                         of("author").alias("_au"), first("comments").alias("_cm"), F.split(first("subject"), "</span>", 2).alias("_s"))
+    raw = split.select(
+        "paper_id", "_t", "_a", "_d", "_p", "_au", F.when(F.col("_cm").isNotNull(), collapse_ws(strip_tags("_cm"))).alias("comment"),
+        F.when(F.col("_s").isNotNull(), F.concat(
+            F.filter(F.array(F.regexp_extract(F.col("_s")[0], r"\(([^)]+)\)", 1)), lambda p: p != ""),
+            F.regexp_extract_all(F.col("_s")[1], F.lit(r"\(([^)]+)\)"), 1))).otherwise(
             F.array().cast("array<string>")).alias("categories"))
     # all author values of a page are decoded in one call (joined by \x01)
     dec = raw.select(
@@ -223,9 +244,10 @@ def parse_ingest_payload(bodies: DataFrame, body_col: str = "body", key: str = "
 PAPER_FILE = T.StructType([T.StructField("arxiv_id", T.StringType())] + PAPER.fields[1:])
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-06: JSON-array paper files (an empty array is "no papers")."""
-    df = spark.read.schema(PAPER_FILE).option("multiLine", "true").json(path)
+def read_papers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC-06: JSON-array paper files (an empty array is "no papers"), or with ``lines`` the JSON
+    lines that :func:`quire.sinks.files.write_papers` writes, which many tasks can read."""
+    df = spark.read.schema(PAPER_FILE).option("multiLine", str(not lines).lower()).json(path)
     return df.withColumnRenamed("arxiv_id", "paper_id")
 
 
@@ -244,7 +266,7 @@ def read_candidate_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feed_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents as (path, xml) rows - the input of the string parsers."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("feed"), F.col("value").alias("xml")))
 
 
@@ -285,7 +307,7 @@ def criteria_rows(docs: DataFrame, text_col: str = "text", key: str = "doc") ->
 
 def read_criteria(spark: SparkSession, path: str) -> DataFrame:
     """SRC-07: the criteria document as one (doc, text) row, verbatim."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("doc"), F.col("value").alias("text")))
 
 
@@ -381,16 +403,16 @@ def render_listing(batched: DataFrame, key: str = "page") -> DataFrame:
                                          F.lit("</body></html>")).alias("html"))
 
 
-def render_criteria(criteria: DataFrame) -> DataFrame:
-    """(doc, text): criteria rows as a markdown document (sections / topics / terms)."""
+def render_criteria(criteria: DataFrame, by: str | None = None) -> DataFrame:
+    """(doc, text): criteria rows as a markdown document (sections / topics / terms), or one per value of ``by``."""
     names = {v: k for k, v in SECTION_TIERS.items()}
     sec_name = F.lit(None).cast("string")
     for t, n in names.items():
         sec_name = F.when(F.col("tier") == t, F.lit(n)).otherwise(sec_name)
-    per_topic = criteria.groupBy("tier", "topic").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ")
-                                                      .alias("terms"))
+    doc = F.lit("criteria.md") if by is None else F.col(by)
+    per_topic = criteria.groupBy(doc.alias("doc"), "tier", "topic").agg(F.array_join(F.array_sort(F.collect_list("term")), ", ")
+                                                                        .alias("terms"))
     block = F.concat(F.lit("## "), sec_name, F.lit("\n\n### "), F.col("topic"), F.lit("\n- "), F.col("terms"))
-    return per_topic.agg(F.array_join(F.array_sort(F.collect_list(F.struct("tier", "topic", block.alias("b")))
-                                                   ).getField("b"), "\n\n").alias("text")) \
-        .select(F.lit("criteria.md").alias("doc"), F.concat(F.lit("# Criteria\n\n"), F.col("text")).alias("text"))
-
+    return per_topic.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.struct("tier", "topic", block.alias("b")))
+                                                                  ).getField("b"), "\n\n").alias("text")) \
+        .select("doc", F.concat(F.lit("# Criteria\n\n"), F.col("text")).alias("text"))
