@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["cut_lineage", "documents", "scratch_path", "table", "text_or_empty", "written"]
+__all__ = ["cut_lineage", "documents", "fresh", "scratch_path", "table", "text_or_empty", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint directory."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, documents, text_or_empty
+from .common import cut_lineage, documents, fresh, text_or_empty
 from .registry import register
 
 HEAVY = 256      # frequent digests decided by broadcast, at most
@@ -54,7 +54,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that agree in id and text are copies of each other; one of them stays.
     """
-    digest, key = "__digest__", "__kept_id__"
+    digest, key = fresh("digest", docs), fresh("kept_id", docs)
     keep = (exact_dedup(docs, id_col, text_col).filter("kept")
             .select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest)))
     named = docs.withColumn(digest, F.sha2(text_or_empty(text_col), 256))

@@ -5,14 +5,17 @@
 2. *Inverted lists* of retained values propose pairs. Only the rarest values of a
    sketch are listed: two classes that reach the similarity share so many
    retained values that one of these is among the rarest of both (``_needed``). Sets that fit the
-   sketch as a whole are listed by the exact bound. Frequent values are listed in pairs, of which two such classes share one as well.
+   sketch as a whole are listed by the exact bound.
 3. Pairs pass the *union-sketch estimate*: among the least values of both sketches together,
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
 
-A list never emits all its pairs: first each list links its members to one leader, for some rounds with
-other leaders, and what is linked is one component. Then
-only pairs of different components that share a list are left, and all of these are tested.
+Only lists of up to ``SMALL`` classes emit their pairs. A longer one is first split by set size. Then its smallest set is the
+*pivot*, and each member is compared with it on full sets. Members linked with the pivot are one component.
+If a is not linked with the pivot, then a and any b that it is linked with share a
+shingle that the pivot has not: their intersection is greater than that of a and the pivot, because b is
+no smaller than the pivot. So the members go to new lists, one for each of the least shingles that the pivot lacks, as many as
+the similarity demands (a prefix filter), and the next round goes on with these where they still hold several components.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import cut_lineage, documents, text_or_empty, written
+from .common import cut_lineage, documents, fresh, text_or_empty, written
 from .graph import components
 from .registry import register
 
@@ -35,9 +38,10 @@ WORDS = 5          # of a shingle
 SIMILARITY = 80    # percent
 SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
-HOT = 64           # classes of a value beyond which it is listed in pairs
+SMALL = 16         # classes of a list that emits its pairs
+BAND = 1.26        # ratio of set sizes of a band; linked sets are in the same or in neighbouring bands
 MARGIN = 6         # standard deviations that the number of shared values may fall short
-ROUNDS = 6         # of leaders, at most
+ROUNDS = 8         # of pivots, at most; lists that are open after them emit their pairs
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -100,12 +104,10 @@ def _needed(m: Column) -> Column:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node, n) for the rarest retained values of each class, of values that two classes have.
+    """(key, node, n) for the rarest retained values of each class, of values that two classes have.
 
     Sets of up to SKETCH shingles are held whole and listed apart (values below 0), by
-    the exact bound. A set that may also meet a larger one is listed both ways. Of sets beyond SKETCH a value of more than
-    HOT classes is listed in pairs with each more frequent value of a prefix one longer: two classes that share
-    ``need`` values share two within it, and where the rarer of these is frequent, so is the other.
+    the exact bound. A set that may also meet a larger one is listed both ways.
     """
     n = F.col("n")
     whole = classes.filter(n <= SKETCH).select("node", "n", n.alias("m"), F.ceil(n * SIMILARITY / 100).alias("need"),
@@ -117,16 +119,8 @@ def _postings(classes: DataFrame) -> DataFrame:
     met = rows.join(rows.groupBy("value").count().filter("count > 1"), "value")
     # rarest first; values of one class only, which are not in `met`, come before all
     mode = Window.partitionBy("node", F.col("value") < 0)
-    order = mode.orderBy("count", "value")
-    place = F.col("m") - F.count(F.lit(1)).over(mode) + F.row_number().over(order)
-    prefix = F.col("m") - F.col("need") + 1
-    often = (F.col("count") > HOT) & (F.col("value") >= 0) & (F.col("need") > 1)
-    after = F.collect_list("value").over(order.rowsBetween(1, Window.unboundedFollowing))
-    after = F.when(often, F.slice(after, F.lit(1), F.greatest(F.lit(0), prefix + 1 - F.col("place")).cast("int")))
-    kept = written(met.withColumn("place", place).withColumn("after", after).filter(F.col("place") <= prefix)
-                   .select("value", "node", "n", "after"), "postings")
-    split = kept.filter("after is not null").select(F.explode(F.transform("after", lambda v: F.xxhash64("value", v))).alias("value"), "node", "n")
-    return kept.filter("after is null").select("value", "node", "n").unionByName(split)
+    place = F.col("m") - F.count(F.lit(1)).over(mode) + F.row_number().over(mode.orderBy("count", "value"))
+    return met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1).select(F.col("value").alias("key"), "node", "n")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
@@ -181,49 +175,89 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -
     return held.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_exact(words), "a long, b long")
 
 
+def residual(own: np.ndarray, pivot: np.ndarray) -> tuple[bool, np.ndarray]:
+    """Whether two sorted sets reach the similarity, and the least shingles of ``own`` outside ``pivot`` of which another set
+    of the list, linked with ``own``, has one if one of the two is not linked with the pivot."""
+    outside = np.setdiff1d(own, pivot, assume_unique=True)
+    shared = len(own) - len(outside)
+    least = max(1, -(-SIMILARITY * len(own) // 100) - shared)  # shared ones outside the pivot, at least
+    return 100 * shared >= SIMILARITY * (len(pivot) + len(outside)), outside[:max(0, len(outside) - least + 1)]
+
+
+def _against(words: int):
+    """Each member's comparison with its pivot and the keys of the lists it goes to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        d = zstandard.ZstdDecompressor()
+        last, pivot = None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                p, zp, zn = (part.column(c) for c in ("pivot", "zp", "zn"))
+                members = shingle_sets([d.decompress(z.as_py()).decode() for z in zn], words)
+                linked, keys = [], []
+                for i, member in enumerate(members):
+                    if p[i].as_py() != last:
+                        last = p[i].as_py()
+                        pivot = shingle_sets([d.decompress(zp[i].as_py()).decode()], words)[0]
+                    one, outside = residual(member, pivot)
+                    linked.append(one)
+                    keys.append(rolling.mix(outside + rolling.mix(np.array([last], np.int64).view(np.uint64))))
+                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                flat = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([p, part.column("node"), part.column("n"), pa.array(linked), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                                                 names=["pivot", "node", "n", "linked", "keys"])
+    return run
+
+
+def _banded(lists: DataFrame) -> DataFrame:
+    """The lists split by set size: a band and the next one make a list."""
+    band = F.floor(F.log("n") / float(np.log(BAND)))
+    return lists.select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band - 1))).alias("key"), "node", "n")
+
+
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
     spark = classes.sparkSession
     lists = _postings(classes)
-    shared = lists.groupBy("value").count().filter("count > 1").select("value")
-    lists = written(lists.join(shared, "value"), "lists")
-    wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
-    texts = written(_texts(rows, wanted, kind, words), "texts")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
-    n_lists = lists.count()
-    tested = spark.createDataFrame([], "a long, b long")
-    roots = lists.select("node", F.col("node").alias("root")).distinct()
-    now, before = lists.withColumn("root", F.col("node")), None
-    for step in range(ROUNDS + 1):
-        counts = now.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_pairs = (counts.groupBy("value").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p"))
-                      .agg(F.sum("p")).first()[0] or 0) // 2
-        if not open_pairs:
-            break
-        # leaders help while they merge what lists hold; the rest is tested pair by pair
-        last = step == ROUNDS or step > 1 and (open_pairs <= 2 * n_lists or open_pairs > 0.7 * before)
-        before = open_pairs
-        if last:
-            other = now.select("value", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-            pairs = now.join(other, "value").filter(F.expr("node < node2 and root <> root2") & alike("n", "n2")).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        else:
-            rank = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("h"), "node", "root", "n")
-            leaders = now.groupBy("value").agg(F.min(rank).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-            pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
-                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = _links(pairs, classes, texts, words)
-        ends = now.select("node", "root").distinct()
-        joined = (links.join(ends.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
-                  .join(ends.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b"))
-        moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        # roots of this round's roots
-        roots = written(ends.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    lists = written(lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key"), "lists")
+    roots = written(lists.select("node", F.col("node").alias("root")).distinct(), "roots")
+    texts = written(_texts(rows, classes.join(roots, "node").select("node", "rep"), kind, words), "texts")
+    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SIMILARITY
+    for step in range(ROUNDS + 2):
+        now = lists.join(roots, "node")
+        # lists of several components; the pivot is the smallest set
+        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"),
+                                       F.min(F.struct("n", "node")).alias("pivot")).filter("r0 <> r1").drop("r0", "r1")
+        now = written(now.join(sizes, "key"), "open")
+        if now.isEmpty():
+            return roots
+        last = step == ROUNDS + 1
+        small = now if last else now.filter(F.col("c") <= SMALL)
+        other = small.select("key", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+        pairs = small.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root2")) & alike).select(F.col("node").alias("a"), "b")
+        links = _links(written(pairs.distinct(), "pairs"), classes, texts, words)
+        big, tests = now.filter(F.col("c") > SMALL), None
+        if step and not last:
+            asked = big.select(F.col("pivot.node").alias("pivot"), "node", "n").filter("pivot <> node").distinct()
+            held = (asked.join(texts.withColumnRenamed("z", "zn"), "node")
+                    .join(texts.select(F.col("node").alias("pivot"), F.col("z").alias("zp")), "pivot"))
+            tests = written(held.sortWithinPartitions("pivot").mapInArrow(_against(words), "pivot long, node long, n long, linked boolean, keys array<long>"), "tests")
+            links = links.union(tests.filter("linked").select("pivot", "node"))
+        ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        moved = components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root")), "roots")
-        if last:
-            break
-        tested = tested.union(pairs)
-        now = written(lists.join(roots, "node").select("value", "node", "n", "root"), "lists")
+        if last or big.isEmpty():
+            return roots
+        if tests is None:
+            lists = _banded(big)
+        else:
+            # the pivots that a member is not linked with; of their lists those of two members
+            unlinked = tests.filter("not linked").select("pivot").distinct()
+            lists = tests.join(unlinked, "pivot").select(F.explode("keys").alias("key"), "node", "n").distinct()
+            lists = lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key")
+        lists = written(lists, "lists")
     return roots
 
 
@@ -258,7 +292,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each component of :func:`near_dedup`, and all rows without words; columns unchanged."""
-    mark, key = "__text_hash__", "__chosen_id__"
+    mark, key = fresh("text_hash", docs), fresh("chosen_id", docs)
     stay = (near_dedup(docs, id_col, text_col, words).filter("chosen")
             .select(F.col(id_col).alias(key), F.col("h").alias(mark)).distinct())
     named = docs.withColumn(mark, F.xxhash64(text_or_empty(text_col)))

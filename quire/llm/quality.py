@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table, text_or_empty
+from .common import documents, fresh, table, text_or_empty
 from .registry import register
 
 BITS = 17               # buckets of words and n-grams
@@ -202,7 +202,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def reject_low(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the rows that score below one half, columns unchanged."""
-    name = "__score__"
+    name = fresh("score", docs)
     return docs.withColumn(name, score(spark, trained(spark, docs, sf_dir), F.col("text"))).filter(F.col(name) >= 0.5).drop(name)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import cut_lineage, documents, text_or_empty
+from .common import cut_lineage, documents, fresh, text_or_empty
 from .registry import register
 
 LENGTH = 400        # bytes of the shortest string that counts as repeated
@@ -327,9 +327,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **sizes) -> DataFrame:
     """``docs`` with the kept text of :func:`remove_repeats` in ``text_col``, other columns unchanged.
     A character of which only some bytes are left goes; a null text stays null."""
-    spans = repeated_spans(docs, id_col, text_col, length, **sizes).select(F.col("id").alias("__id__"), F.col("h").alias("__h__"), F.col("spans").alias("__spans__"))
-    named = docs.withColumn("__own__", F.xxhash64(text_or_empty(text_col)))
-    met = named.join(spans, named[id_col].eqNullSafe(spans["__id__"]) & (named["__own__"] == spans["__h__"]), "left")
+    key, h, gone, own = (fresh(c, docs) for c in ("span_id", "span_hash", "spans", "own_hash"))
+    spans = repeated_spans(docs, id_col, text_col, length, **sizes).select(F.col("id").alias(key), F.col("h").alias(h), F.col("spans").alias(gone))
+    named = docs.withColumn(own, F.xxhash64(text_or_empty(text_col)))
+    met = named.join(spans, named[id_col].eqNullSafe(spans[key]) & (named[own] == spans[h]), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -342,7 +343,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return met.select(*(cut(F.col(c), F.col("__spans__")).alias(c) if c == text_col else named[c] for c in docs.columns))
+    return met.select(*(cut(F.col(c), F.col(gone)).alias(c) if c == text_col else named[c] for c in docs.columns))
 
 
 @register("op3_suffix_dedup")

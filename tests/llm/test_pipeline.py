@@ -41,7 +41,7 @@ def test_stages_equal_plain_python(spark):
             assert sorted(after) == [ids[i] for i, (_, least) in enumerate(want) if i == least]
         elif name == "suffix_dedup":
             texts = [before[k].text.encode() for k in ids]
-            for k, t, gone in zip(ids, texts, suffix_dedup.brute_force(texts, suffix_dedup.LENGTH)):
+            for k, t, gone in zip(ids, texts, suffix_dedup.brute_force(texts, P.PASSAGE_BYTES)):
                 edges = [0, *(x for run in gone for x in run), len(t)]
                 assert after[k].text == b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2])).decode(errors="ignore")
                 assert after[k].n_chars == len(after[k].text)
