@@ -15,6 +15,9 @@ from quire.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup
 from quire.llm.common import documents, written
 
 
+PASSAGE_BYTES = 200  # passages of fifty words are longer than this in the languages of the corpus; op3 has 400 by contract
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labelled rows, does not reject."""
     return quality.reject_low(spark, docs, sf_dir)
@@ -31,8 +34,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of strings of 400 bytes that occur elsewhere; n_chars follows the text."""
-    return suffix_dedup.cut_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Every document without the bytes of strings of ``PASSAGE_BYTES`` that occur elsewhere; n_chars follows the text."""
+    return suffix_dedup.cut_repeats(docs, length=PASSAGE_BYTES).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
