@@ -10,12 +10,10 @@
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
 
-Only lists of up to ``SMALL`` classes emit their pairs. A longer one is first split by set size. Then its smallest set is the
-*pivot*, and each member is compared with it on full sets. Members linked with the pivot are one component.
-If a is not linked with the pivot, then a and any b that it is linked with share a
-shingle that the pivot has not: their intersection is greater than that of a and the pivot, because b is
-no smaller than the pivot. So the members go to new lists, one for each of the least shingles that the pivot lacks, as many as
-the similarity demands (a prefix filter), and the next round goes on with these where they still hold several components.
+A list does not emit all its pairs: for some rounds each list links its members to one leader, the class whose
+values are the most frequent ones among some drawn anew in each round, and what is linked is one component. Then
+the pairs of different components that share a list are left. All of these are tested; the join that finds them
+returns a pair once, from the first list that both are in, and only if it passes the estimate.
 """
 
 from __future__ import annotations
@@ -38,10 +36,8 @@ WORDS = 5          # of a shingle
 SIMILARITY = 80    # percent
 SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
-SMALL = 16         # classes of a list that emits its pairs
-BAND = 1.26        # ratio of set sizes of a band; linked sets are in the same or in neighbouring bands
 MARGIN = 6         # standard deviations that the number of shared values may fall short
-ROUNDS = 8         # of pivots, at most; lists that are open after them emit their pairs
+ROUNDS = 6         # of leaders, at most
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -104,7 +100,7 @@ def _needed(m: Column) -> Column:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(key, node, n) for the rarest retained values of each class, of values that two classes have.
+    """(value, node, n, count) for the rarest retained values of each class, of values that two classes have.
 
     Sets of up to SKETCH shingles are held whole and listed apart (values below 0), by
     the exact bound. A set that may also meet a larger one is listed both ways.
@@ -120,7 +116,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     # rarest first; values of one class only, which are not in `met`, come before all
     mode = Window.partitionBy("node", F.col("value") < 0)
     place = F.col("m") - F.count(F.lit(1)).over(mode) + F.row_number().over(mode.orderBy("count", "value"))
-    return met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1).select(F.col("value").alias("key"), "node", "n")
+    return met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1).select("value", "node", "n", "count")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
@@ -160,105 +156,78 @@ def _exact(words: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that pass the estimate and then the exact test."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
+def _estimated(sa: str, sb: str) -> Column:
+    """Whether the union sketch of two sketches lets the similarity be reached."""
     p = SIMILARITY / 100
-    both = F.size(F.array_intersect("least", F.array_intersect("sa", "sb")))
-    k = F.size("least")
-    near = (pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * low >= SIMILARITY * high)
-            .withColumn("least", least).filter(both >= p * k - 5 * F.sqrt(p * (1 - p) * k)).select("a", "b"))
-    held = near.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b") \
-        .join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    return held.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_exact(words), "a long, b long")
-
-
-def residual(own: np.ndarray, pivot: np.ndarray) -> tuple[bool, np.ndarray]:
-    """Whether two sorted sets reach the similarity, and the least shingles of ``own`` outside ``pivot`` of which another set
-    of the list, linked with ``own``, has one if one of the two is not linked with the pivot."""
-    outside = np.setdiff1d(own, pivot, assume_unique=True)
-    shared = len(own) - len(outside)
-    least = max(1, -(-SIMILARITY * len(own) // 100) - shared)  # shared ones outside the pivot, at least
-    return 100 * shared >= SIMILARITY * (len(pivot) + len(outside)), outside[:max(0, len(outside) - least + 1)]
+    least = F.slice(F.array_sort(F.array_union(sa, sb)), 1, SKETCH)
+    both, k = F.size(F.array_intersect(least, F.array_intersect(sa, sb))), F.size(least)
+    return both >= p * k - 5 * F.sqrt(p * (1 - p) * k)
 
 
-def _against(words: int):
-    """Each member's comparison with its pivot and the keys of the lists it goes to."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        d = zstandard.ZstdDecompressor()
-        last, pivot = None, None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                p, zp, zn = (part.column(c) for c in ("pivot", "zp", "zn"))
-                members = shingle_sets([d.decompress(z.as_py()).decode() for z in zn], words)
-                linked, keys = [], []
-                for i, member in enumerate(members):
-                    if p[i].as_py() != last:
-                        last = p[i].as_py()
-                        pivot = shingle_sets([d.decompress(zp[i].as_py()).decode()], words)[0]
-                    one, outside = residual(member, pivot)
-                    linked.append(one)
-                    keys.append(rolling.mix(outside + rolling.mix(np.array([last], np.int64).view(np.uint64))))
-                offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                flat = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([p, part.column("node"), part.column("n"), pa.array(linked), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                                                 names=["pivot", "node", "n", "linked", "keys"])
-    return run
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that pass the estimate."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimated("sa", "sb")).select("a", "b")
 
 
-def _banded(lists: DataFrame) -> DataFrame:
-    """The lists split by set size: a band and the next one make a list."""
-    band = F.floor(F.log("n") / float(np.log(BAND)))
-    return lists.select(F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band - 1))).alias("key"), "node", "n")
+def _links(likely: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity."""
+    held = likely.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b") \
+        .join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
+    return held.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_exact(words), "a long, b long")
 
 
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
     spark = classes.sparkSession
     lists = _postings(classes)
-    lists = written(lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key"), "lists")
-    roots = written(lists.select("node", F.col("node").alias("root")).distinct(), "roots")
-    texts = written(_texts(rows, classes.join(roots, "node").select("node", "rep"), kind, words), "texts")
-    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SIMILARITY
-    for step in range(ROUNDS + 2):
-        now = lists.join(roots, "node")
-        # lists of several components; the pivot is the smallest set
-        sizes = now.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                       F.min(F.struct("n", "node")).alias("pivot")).filter("r0 <> r1").drop("r0", "r1")
-        now = written(now.join(sizes, "key"), "open")
-        if now.isEmpty():
-            return roots
-        last = step == ROUNDS + 1
-        small = now if last else now.filter(F.col("c") <= SMALL)
-        other = small.select("key", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-        pairs = small.join(other, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root2")) & alike).select(F.col("node").alias("a"), "b")
-        links = _links(written(pairs.distinct(), "pairs"), classes, texts, words)
-        big, tests = now.filter(F.col("c") > SMALL), None
-        if step and not last:
-            asked = big.select(F.col("pivot.node").alias("pivot"), "node", "n").filter("pivot <> node").distinct()
-            held = (asked.join(texts.withColumnRenamed("z", "zn"), "node")
-                    .join(texts.select(F.col("node").alias("pivot"), F.col("z").alias("zp")), "pivot"))
-            tests = written(held.sortWithinPartitions("pivot").mapInArrow(_against(words), "pivot long, node long, n long, linked boolean, keys array<long>"), "tests")
-            links = links.union(tests.filter("linked").select("pivot", "node"))
+    shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
+    lists = written(lists.join(shared, "value"), "lists")
+    wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
+    texts = written(_texts(rows, wanted, kind, words), "texts")
+    # the lists of a class, and how frequent their values are: greatest for texts that others are edited from
+    mine = written(lists.groupBy("node").agg(F.collect_set("value").alias("mine"), F.sum("count").alias("fame")), "mine")
+    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
+    n_lists = lists.count()
+    tested = spark.createDataFrame([], "a long, b long")
+    roots = written(mine.select("node", F.col("node").alias("root"), "fame"), "roots")
+    before = None
+    for step in range(ROUNDS + 1):
+        now = lists.join(roots, "node").select("value", "node", "n", "root", "fame")
+        counts = now.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
+        open_lists = counts.groupBy("value").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).filter("p > 0")
+        open_lists = written(open_lists, "open")
+        open_pairs = (open_lists.agg(F.sum("p")).first()[0] or 0) // 2
+        if not open_pairs:
+            break
+        now = now.join(open_lists.select("value"), "value")
+        # leaders help while they merge what lists hold; the rest is tested pair by pair
+        last = step == ROUNDS or step > 1 and (open_pairs <= n_lists or open_pairs > 0.8 * before)
+        before = open_pairs
+        if last:
+            full = now.join(mine.select("node", "mine"), "node").join(classes.select("node", "sketch"), "node")
+            other = full.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("mine").alias("mine2"), F.col("sketch").alias("sb"))
+            once = F.array_min(F.array_intersect("mine", "mine2")) == F.col("value")
+            likely = (full.withColumnsRenamed({"node": "a", "sketch": "sa"}).join(other, "value")
+                      .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2") & once & _estimated("sa", "sb"))
+                      .select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        else:
+            drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(8 if step else 1))
+            rank = F.struct(drawn.alias("d"), (-F.col("fame")).alias("f"), "node", "root", "n")
+            leaders = now.groupBy("value").agg(F.min(rank).alias("lead"))
+            pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
+                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+            pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = tested.union(pairs)
+            likely = _likely(pairs, classes)
         ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        moved = components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        joined = _links(likely, texts, words).join(ends("a"), "a").join(ends("b"), "b")
+        moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-                        .select("node", F.coalesce("to", "root").alias("root")), "roots")
-        if last or big.isEmpty():
-            return roots
-        if tests is None:
-            lists = _banded(big)
-        else:
-            # the pivots that a member is not linked with; of their lists those of two members
-            unlinked = tests.filter("not linked").select("pivot").distinct()
-            lists = tests.join(unlinked, "pivot").select(F.explode("keys").alias("key"), "node", "n").distinct()
-            lists = lists.join(lists.groupBy("key").count().filter("count > 1").select("key"), "key")
-        lists = written(lists, "lists")
-    return roots
+                        .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")
+        if last:
+            break
+    return roots.select("node", "root")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -3,10 +3,7 @@
 import random
 import re
 
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from quire.llm import near_dedup as N
 from quire.llm.graph import components
@@ -67,30 +64,16 @@ def test_all_pairs_small_table(spark):
         assert sorted(r.doc_id for r in stay.collect()) == [i for i, (n, least) in enumerate(want) if i == least]
 
 
-@pytest.mark.parametrize("rounds,small", [(0, 16), (8, 2), (1, 3)])
-def test_pivots_and_pairs_agree(spark, monkeypatch, rounds, small):
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_leaders_and_pair_rounds_agree(spark, monkeypatch, rounds):
     texts = cases()[:80]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = [least for _, least in brute_force(texts, 2)]
     monkeypatch.setattr(N, "ROUNDS", rounds)
-    monkeypatch.setattr(N, "SMALL", small)
     got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.sets(st.integers(0, 30), min_size=1), st.sets(st.integers(0, 30), min_size=1), st.sets(st.integers(0, 30), min_size=1))
-def test_linked_sets_meet_in_a_residual_list(a, b, pivot):
-    """Of three sets, the pivot the smallest: if a and b are linked, and one of them not with the pivot, both go to one list."""
-    if len(pivot) > min(len(a), len(b)):
-        return
-    jaccard = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
-    (la, ka), (lb, kb) = (N.residual(np.array(sorted(x), np.uint64), np.array(sorted(pivot), np.uint64)) for x in (a, b))
-    assert la == jaccard(a, pivot) and lb == jaccard(b, pivot)
-    if jaccard(a, b) and not (la and lb):
-        assert set(ka.tolist()) & set(kb.tolist())
-
-
 def test_repeated_rows_null_ids_and_empty_table(spark):
     t = "a b c d e f g h"
     docs = spark.createDataFrame([(None, t), (3, t), (3, t), (3, "other words here"), (9, None), (9, None)], "doc_id long, text string")
@@ -124,11 +107,11 @@ def test_frequent_values_without_common_neighbours_are_listed(spark):
     sketch = lambda c: [v for i in range(12) for v in (1000 * i, alone(c, i))] + [alone(c, i) for i in range(20, 44)]
     n = 72
     classes = spark.createDataFrame([(c, 60, sketch(c)) for c in range(n)], "node long, n long, sketch array<bigint>")
-    sizes = [r["count"] for r in N._postings(classes).groupBy("key").count().collect()]
+    sizes = [r["count"] for r in N._postings(classes).groupBy("value").count().collect()]
     assert max(sizes) == n
 
 
-def test_links_do_not_depend_on_the_length_of_lists(spark, monkeypatch):
+def test_links_of_one_long_list(spark):
     rnd = random.Random(11)
     base = [f"w{i}" for i in range(70)]
     texts = []
@@ -138,6 +121,5 @@ def test_links_do_not_depend_on_the_length_of_lists(spark, monkeypatch):
             w[i] = f"x{rnd.randrange(10 ** 6)}"
         texts.append(" ".join(w))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(N, "SMALL", 4)
     got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
     assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
