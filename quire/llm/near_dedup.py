@@ -12,8 +12,7 @@
 
 A list does not emit all its pairs: for some rounds each list links its members to one leader, the class whose
 values are the most frequent ones among some drawn anew in each round, and what is linked is one component. Then
-the pairs of different components that share a list are left. All of these are tested; the join that finds them
-returns a pair once, from the first list that both are in, and only if it passes the estimate.
+the pairs of different components that share a list are left, and all of these are tested.
 """
 
 from __future__ import annotations
@@ -185,12 +184,11 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
     lists = written(lists.join(shared, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
     texts = written(_texts(rows, wanted, kind, words), "texts")
-    # the lists of a class, and how frequent their values are: greatest for texts that others are edited from
-    mine = written(lists.groupBy("node").agg(F.collect_set("value").alias("mine"), F.sum("count").alias("fame")), "mine")
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
     n_lists = lists.count()
     tested = spark.createDataFrame([], "a long, b long")
-    roots = written(mine.select("node", F.col("node").alias("root"), "fame"), "roots")
+    # how frequent the values of a class are: most of all for texts that others are edited from
+    roots = written(lists.groupBy("node").agg(F.sum("count").alias("fame")).select("node", F.col("node").alias("root"), "fame"), "roots")
     before = None
     for step in range(ROUNDS + 1):
         now = lists.join(roots, "node").select("value", "node", "n", "root", "fame")
@@ -205,23 +203,19 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
         last = step == ROUNDS or step > 1 and (open_pairs <= n_lists or open_pairs > 0.8 * before)
         before = open_pairs
         if last:
-            full = now.join(mine.select("node", "mine"), "node").join(classes.select("node", "sketch"), "node")
-            other = full.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("mine").alias("mine2"), F.col("sketch").alias("sb"))
-            once = F.array_min(F.array_intersect("mine", "mine2")) == F.col("value")
-            likely = (full.withColumnsRenamed({"node": "a", "sketch": "sa"}).join(other, "value")
-                      .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2") & once & _estimated("sa", "sb"))
-                      .select("a", "b").join(tested, ["a", "b"], "left_anti"))
+            other = now.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+            pairs = (now.withColumnRenamed("node", "a").join(other, "value")
+                     .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2")).select("a", "b"))
         else:
             drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(8 if step else 1))
             rank = F.struct(drawn.alias("d"), (-F.col("fame")).alias("f"), "node", "root", "n")
             leaders = now.groupBy("value").agg(F.min(rank).alias("lead"))
             pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
                 F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-            pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            tested = tested.union(pairs)
-            likely = _likely(pairs, classes)
+        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(pairs)
         ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        joined = _links(likely, texts, words).join(ends("a"), "a").join(ends("b"), "b")
+        joined = _links(_likely(pairs, classes), texts, words).join(ends("a"), "a").join(ends("b"), "b")
         moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")
