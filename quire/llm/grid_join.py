@@ -220,6 +220,23 @@ def _compare_rows(axes: np.ndarray, cosine: float):
     return run
 
 
+def _met(rows: DataFrame, dimension: int, cosine: float, block: int) -> DataFrame:
+    """(node, to, n): links of the vectors of one length by pairs of blocks; edges to ``to`` span each pair's connected vectors."""
+    units = cut_lineage(_units(rows, dimension))
+    axes = principal_axes(units, dimension, min(AXES, dimension))
+    limit = 2 - 2 * cosine
+    blocks = cut_lineage(_blocks(units, axes, float(np.sqrt(limit)) / 4, block))
+    sizes = blocks.groupBy("part").agg(F.count(F.lit(1)).alias("c"))  # a row per task
+    before = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
+    blocks = blocks.join(F.broadcast(before), "part").withColumn("i", F.col("before") + F.col("place")).drop("part", "place", "before")
+    boxes = cut_lineage(blocks.select("i", F.floor(F.col("i") / FAN).alias("parent"), "box"))
+    pairs = _block_pairs(boxes, boxes.count(), axes.shape[1], limit)
+    other = blocks.select(F.col("i").alias("b"), F.col("nodes").alias("nb"), F.col("x").alias("xb"))
+    own = blocks.select(F.col("i").alias("a"), F.col("nodes").alias("na"), F.col("x").alias("xa"))
+    sides = pairs.join(other, "b").join(own, "a")
+    return cut_lineage(sides.mapInArrow(_compare_rows(axes, cosine), "node long, to long, n long"))
+
+
 def grid_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
               block: int = BLOCK) -> DataFrame:
     """One row per input row: ``id_col``, n_links, component_id, kept.
@@ -227,30 +244,17 @@ def grid_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     Two vectors are linked if their cosine in double precision is at least ``cosine``
     (above 0). ``n_links`` counts the other rows linked directly; ``component_id`` is the
     smallest id reachable, the row's own included; ``kept`` says that it is the
-    row's own. Vectors that are null, zero, hold null or non-finite components, or differ in
-    length from the most frequent length link with nothing. Repeated rows are linked with each other; null
+    row's own. Vectors that are null, zero, or hold null or non-finite components link with nothing, and vectors of
+    different lengths not with each other; each length is joined on its own. Repeated rows are linked with each other; null
     ids are never the smallest unless a component has no other. Other columns are not read.
     An empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = cut_lineage(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.monotonically_increasing_id().alias("node")))
-    common = rows.filter("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimension = common.d if common else 0
+    sizes = rows.filter("v is not null").groupBy(F.size("v").alias("d")).count().filter("d > 0 and count > 1").orderBy("d").collect()
     met = spark.createDataFrame([], "node long, to long, n long")
-    if dimension:
-        units = cut_lineage(_units(rows.select("node", "v"), dimension))
-        axes = principal_axes(units, dimension, min(AXES, dimension))
-        limit = 2 - 2 * cosine
-        blocks = cut_lineage(_blocks(units, axes, float(np.sqrt(limit)) / 4, block))
-        sizes = blocks.groupBy("part").agg(F.count(F.lit(1)).alias("c"))  # a row per task
-        before = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
-        blocks = blocks.join(F.broadcast(before), "part").withColumn("i", F.col("before") + F.col("place")).drop("part", "place", "before")
-        boxes = cut_lineage(blocks.select("i", F.floor(F.col("i") / FAN).alias("parent"), "box"))
-        pairs = _block_pairs(boxes, boxes.count(), axes.shape[1], limit)
-        other = blocks.select(F.col("i").alias("b"), F.col("nodes").alias("nb"), F.col("x").alias("xb"))
-        own = blocks.select(F.col("i").alias("a"), F.col("nodes").alias("na"), F.col("x").alias("xa"))
-        sides = pairs.join(other, "b").join(own, "a")
-        met = cut_lineage(sides.mapInArrow(_compare_rows(axes, cosine), "node long, to long, n long"))
+    for r in sizes:  # a row per vector length that two vectors have
+        met = met.union(_met(rows.select("node", "v"), r.d, cosine, block))
     links = met.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
     whole = rows.select("node", "id").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

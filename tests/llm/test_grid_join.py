@@ -79,3 +79,9 @@ def test_op6_whole_table(spark):
     rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
     want = sorted(brute_force([k for k, _ in rows], [list(v) for _, v in rows], 0.9))
     assert sorted(tuple(r) for r in G.op6_grid_join(spark, SF).collect()) == want
+
+
+def test_each_length_is_joined(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0]), (7, [])]
+    got = G.grid_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 0, 7)]
