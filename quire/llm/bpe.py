@@ -136,7 +136,6 @@ def load_vocabulary(path: str) -> Vocabulary:
 @lru_cache(maxsize=2)
 def text_encoder(path: str, pattern: str) -> Encoder:
     """Encodes each match of ``pattern`` separately."""
-    import numpy as np
     import regex
 
     vocabulary, split = load_vocabulary(path), regex.compile(pattern)
@@ -146,8 +145,8 @@ def text_encoder(path: str, pattern: str) -> Encoder:
         one = vocabulary.ranks.get(data)
         return [one] if one is not None else PrefixEncoder(vocabulary, data).ids()
 
-    def encode(ps: list[str]) -> list[np.ndarray]:
-        return [np.array([x for m in split.findall(p) for x in ids(m)], np.uint32) for p in ps]
+    def encode(ps: list[str]) -> list[list[int]]:
+        return [[x for m in split.findall(p) for x in ids(m)] for p in ps]
 
     return Encoder(encode)
 

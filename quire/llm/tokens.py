@@ -3,7 +3,7 @@
 The pre-tokenizers used here split between runs of letters, digits and signs, around
 line ends and before a space that such a run follows. A slice of texts is cut at these
 places with numpy, and equal pieces are found by sorting. Pieces repeat far more
-than texts do: each worker keeps the ids of recent pieces in a bounded cache and asks the
+than texts do: each worker keeps the ids of recent pieces in a bounded cache of sorted arrays and asks the
 library only for new ones. Where a character is not surely of a kind named
 above, nothing is cut and the library sees the longer piece.
 """
@@ -13,16 +13,17 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from . import rolling
 
-CACHE_PIECES = 300_000   # per generation, two generations are kept
-CACHED_LENGTH = 64       # longer pieces are encoded each time
+CACHE_PIECES = 600_000   # about 60 bytes each
 SLICE_BYTES = 2 << 20    # texts encoded at once
-SHORT = 16               # pieces of up to so many bytes are told apart by two 8-byte words
+SHORT = 16               # pieces of up to so many bytes are told apart by two 8-byte words; longer ones are encoded each time
+PIECE = np.dtype([("key", np.uint64), ("low", np.uint64), ("high", np.uint64), ("size", np.uint64)])
 
 _LETTER, _SIGN, _DIGIT, _LINE, _SPACE = 1, 2, 3, 4, 5
 _KINDS = np.zeros(256, np.uint8)
@@ -57,6 +58,50 @@ def fold_case(data: np.ndarray) -> np.ndarray:
     return data
 
 
+class PieceCache:
+    """Ids of different short pieces, in arrays sorted by the pieces' keys.
+
+    When more than ``limit`` would be held, the pieces that no slice asked for since they came go,
+    and all of them if that leaves more than half of the limit.
+    """
+
+    def __init__(self, limit: int = CACHE_PIECES):
+        self.limit = limit
+        self._set(np.zeros(0, PIECE), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _set(self, pieces: np.ndarray, place: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        self.pieces, self.place, self.size, self.ids = pieces, place, size, ids
+        self.key = np.ascontiguousarray(pieces["key"])
+        self.asked = np.zeros(len(pieces), bool)
+
+    def find(self, pieces: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 where it is not held."""
+        if not len(self.key):
+            return np.full(len(pieces), -1)
+        row = np.minimum(np.searchsorted(self.key, pieces["key"]), len(self.key) - 1)
+        row[self.pieces[row] != pieces] = -1
+        self.asked[row[row >= 0]] = True
+        return row
+
+    def add(self, pieces: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Holds new pieces; of several with one key only one. ``size``: ids of each piece, in the order of ``ids``."""
+        keep = np.arange(len(self.key))
+        if len(self.key) + len(pieces) > self.limit:
+            keep = np.flatnonzero(self.asked)
+            keep = keep if len(keep) <= self.limit // 2 else keep[:0]
+        held = _ranges(self.place[keep], self.size[keep])
+        kept = self.size[keep]
+        _, first = np.unique(pieces["key"], return_index=True)
+        at = np.searchsorted(self.key[keep], pieces["key"][first])
+        there = at < len(keep)
+        there[there] = self.key[keep][at[there]] == pieces["key"][first][there]
+        at, first = at[~there], first[~there]
+        begin = np.cumsum(size) - size
+        place = np.insert(np.cumsum(kept) - kept, at, len(held) + begin[first])
+        self._set(np.insert(self.pieces[keep], at, pieces[first]), place, np.insert(kept, at, size[first]),
+                  np.concatenate((self.ids[held], ids)))
+
+
 class Encoder:
     """Encodes whole texts by pieces. ``encode``: ids of each of some texts, as the tokenizer gives them.
 
@@ -64,10 +109,8 @@ class Encoder:
     folds case, so pieces are looked up in lower case.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], specials: list[str] = (), fold: bool = False, limit: int = CACHE_PIECES):
-        self.ask, self.specials, self.fold, self.limit = encode, specials, fold, limit
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], specials: list[str] = (), fold: bool = False, limit: int = CACHE_PIECES):
+        self.ask, self.specials, self.fold, self.cache = encode, specials, fold, PieceCache(limit)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and where each text's begin (and the end)."""
@@ -85,38 +128,44 @@ class Encoder:
         starts = piece_starts(data, borders[:-1][np.diff(borders) > 0])
         if self.fold:
             data = fold_case(data)
-        found, which = distinct(data, starts)
-        ids = self._ids(found)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table, place = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        table, place, size, which = self._ids(data, starts)
         n = size[which]
-        ends = np.cumsum(n)
-        flat = table[np.arange(ends[-1]) + np.repeat(place[which] - (ends - n), n)]
-        before = np.concatenate((np.zeros(1, np.int64), ends))
+        flat = table[_ranges(place[which], n)]
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
         return flat, before[np.searchsorted(starts, borders)]
 
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.new) + len(pieces) > self.limit:
-            self.old, self.new = self.new, {}
-        out = [self.new.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(out) if x is None]
-        ask = []
-        for i in missing:
-            if (known := self.old.get(pieces[i])) is None:
-                ask.append(i)
-            else:
-                out[i] = self.new[pieces[i]] = known
-        for i, ids in zip(ask, self.ask([pieces[i].decode() for i in ask])):
-            out[i] = ids.astype("<u4").tobytes()
-            if len(pieces[i]) <= CACHED_LENGTH:
-                self.new[pieces[i]] = out[i]
-        return out
-
-
-def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The different pieces, and for each piece which of them it is. Long pieces may come more than once."""
-    ends = np.append(starts[1:], len(data))
-    size = ends - starts
+    def _ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where the different pieces' begin in them, how many these are, and which piece stands at each start."""
+        chosen, which, pieces = distinct(data, starts)
+        ends = np.append(starts[1:], len(data))
+        row = np.full(len(chosen), -1)
+        row[:len(pieces)] = self.cache.find(pieces)
+        missing = np.flatnonzero(row < 0)
+        raw, at = data.tobytes(), chosen[missing]
+        got = self.ask([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
+        place, size = np.empty(len(chosen), np.int64), np.empty(len(chosen), np.int64)
+        held = row >= 0
+        place[held], size[held] = self.cache.place[row[held]], self.cache.size[row[held]]
+        place[missing], size[missing] = len(self.cache.ids) + np.cumsum(n) - n, n
+        table = np.concatenate((self.cache.ids, ids))
+        short = int(np.searchsorted(missing, len(pieces)))
+        if short:
+            self.cache.add(pieces[missing[:short]], n[:short], ids[:int(n[:short].sum())])
+        return table, place, size, which
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from ``begin`` on, ``size`` of each, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``starts`` of the different pieces, which of them each piece is, and the short ones
+    among them, which come first. Long pieces may come more than once."""
+    size = np.append(starts[1:], len(data)) - starts
     padded = np.concatenate((data, np.zeros(SHORT, np.uint8)))
     words = np.ndarray((len(data) + SHORT - 7,), "<u8", padded, strides=(1,))
     low = words[starts] & _MASKS[np.minimum(size, 8)]
@@ -132,8 +181,10 @@ def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndar
     chosen = np.concatenate((at[first], long))
     out = np.empty(len(starts), np.int64)
     out[at], out[long] = which, len(first) + np.arange(len(long))
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())], out
+    pieces = np.empty(len(first), PIECE)
+    some = at[first]
+    pieces["key"], pieces["low"], pieces["high"], pieces["size"] = key[some], low[some], high[some], size[some]
+    return chosen, out, pieces
 
 
 @lru_cache(maxsize=4)
@@ -144,8 +195,8 @@ def library_encoder(path: str, fold: bool = False) -> Encoder:
 
     tok = Tokenizer.from_file(path)
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     return Encoder(encode, [t.content for t in tok.get_added_tokens_decoder().values()], fold)
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 from functools import lru_cache
 
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quire.llm import bpe, packing, token_files
+from quire.llm import bpe, packing, token_files, tokens
 from quire.llm.tokens import library_encoder
 
 SF = "/root/testdata/sf0.001"
@@ -195,3 +196,29 @@ def test_sum_of_squares_rule(sizes, max_open):
     lengths = [sum(len(p[2]) // 4 for p in w) for w in out]
     assert sum(lengths) == total and all(x == 16 or x & (x - 1) == 0 for x in lengths)
     assert sum(x < 16 for x in lengths) <= 4
+
+
+def test_piece_cache_stays_bounded_and_right():
+    path = P.path("byte_bpe_50k.json")
+    asked = []
+    tok = Tokenizer.from_file(path)
+
+    def ask(pieces):
+        asked.extend(pieces)
+        return [e.ids for e in tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    encoder, draw = tokens.Encoder(ask, limit=40), random.Random(5)
+    for _ in range(80):
+        texts = ["".join(draw.choice(["a", "B", " the", "\n", "é", "7", " cat", "x" * 20, "\0", " "]) for _ in range(draw.randint(0, 40))) for _ in range(6)]
+        flat, at = encoder.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        held = encoder.cache
+        assert (held.key[1:] > held.key[:-1]).all() and len(held.place) == len(held.size) == len(held.key)
+    once = len(asked)
+    first = tokens.Encoder(ask).encode(["the cat the cat the cat"])[0]
+    assert len(asked) - once == 3 and len(first) == 6
+    big = tokens.Encoder(ask)
+    big.encode([" the cat sat"])
+    once = len(asked)
+    big.encode([" cat sat the"])
+    assert len(asked) == once
