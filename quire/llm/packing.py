@@ -5,13 +5,15 @@ cut from long documents first. The rest (less than a window) goes to the fill
 level that minimises the sum of the squared counts of partly filled windows: a
 level array holds how many windows stand at each level, and placing ``s``
 tokens on level ``h`` changes the sum by ``2 (N[h+s] - N[h]) + 2``. Ties take the
-fullest level. When a task ends, or keeps more than ``max_open`` partly filled
-windows, the pieces of these are laid end to end and cut into full windows; the
+fullest level. Windows stay as they were placed. When a task ends, or keeps more than
+``max_open`` partly filled windows, the fullest of these are filled up with pieces cut from the
+emptiest, so only what fills a gap is taken apart (at the end all, beyond the bound until half are left); the
 last remainder becomes windows whose sizes are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -70,46 +72,59 @@ class SumOfSquares:
         if h + s == self.window:
             return [pieces]
         self._open(h + s, pieces)
-        return self._compact() if self.n_open > self.max_open else []
+        return self._top_up(self.max_open // 2) if self.n_open > self.max_open else []
 
     def _open(self, level: int, pieces: list) -> None:
         self.level[level].append(pieces)
         self.count[level] += 1
         self.n_open += 1
 
-    def _compact(self) -> list[list]:
-        """Lays the pieces of all open windows end to end; at most one window stays open."""
-        rest = [p for level in range(self.window - 1, 0, -1) for pieces in self.level[level] for p in pieces]
+    def _top_up(self, stay: int) -> list[list]:
+        """Fills the fullest open windows from the emptiest ones, until no more than ``stay`` (at least one) are open."""
+        todo = deque((level, pieces) for level in range(self.window - 1, 0, -1) for pieces in self.level[level])
         for level in range(1, self.window):
             self.level[level], self.count[level] = [], 0
-        self.n_open = 0
-        closed, last = _lay(rest, lambda left: self.window if left >= self.window else 0)
-        if last:
-            self._open(sum(len(p[2]) for p in last) // 4, last)
+        self.n_open, closed = 0, []
+        while len(todo) > max(stay, 1):
+            level, pieces = todo.popleft()
+            while level < self.window:
+                donor_level, donor = todo.pop()
+                taken, rest = _cut(donor, self.window - level)
+                moved = min(donor_level, self.window - level)
+                pieces, level = pieces + taken, level + moved
+                if rest:
+                    todo.append((donor_level - moved, rest))
+                elif not todo:
+                    break
+            if level < self.window:
+                todo.append((level, pieces))
+            else:
+                closed.append(pieces)
+        for level, pieces in todo:
+            self._open(level, pieces)
         return closed
 
     def finish(self) -> list[list]:
-        closed = self._compact()
+        closed = self._top_up(0)
         last = [p for pieces in self.level[1:self.window] for q in pieces for p in q]
-        return closed + _lay(last, lambda left: 1 << (left.bit_length() - 1))[0]
-
-
-def _lay(pieces: list[tuple], size) -> tuple[list[list], list]:
-    """Windows cut from the pieces in order, and what is left. ``size(tokens left)``: the next window's, 0 to stop."""
-    left = sum(len(p[2]) for p in pieces) // 4
-    out, now, room = [], [], size(left) if left else 0
-    todo = list(reversed(pieces))
-    while todo and room:
-        key, start, ids, total = todo.pop()
-        n = min(room, len(ids) // 4)
-        now.append((key, start, ids[:4 * n], total))
-        if n < len(ids) // 4:
-            todo.append((key, start + n, ids[4 * n:], total))
-        room, left = room - n, left - n
-        if not room:
-            out.append(now)
-            now, room = [], size(left) if left else 0
-    return out, todo[::-1]
+        left = sum(len(p[2]) for p in last) // 4
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            now, last = _cut(last, size)
+            closed.append(now)
+            left -= size
+        return closed
+
+
+def _cut(pieces: list[tuple], n: int) -> tuple[list[tuple], list[tuple]]:
+    """The first ``n`` tokens of the pieces (all, if fewer), and what is left."""
+    for i, (key, start, ids, total) in enumerate(pieces):
+        here = len(ids) // 4
+        if here > n:
+            head = [(key, start, ids[:4 * n], total)] if n else []
+            return pieces[:i] + head, [(key, start + n, ids[4 * n:], total), *pieces[i + 1:]]
+        n -= here
+    return pieces, []
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",

@@ -222,3 +222,19 @@ def test_piece_cache_stays_bounded_and_right():
     once = len(asked)
     big.encode([" cat sat the"])
     assert len(asked) == once
+
+
+def test_full_windows_are_filled_up_from_the_emptiest():
+    packer = packing.SumOfSquares(16, 1000)
+    for level, key in ((12, 1), (11, 2), (6, 3), (3, 4)):
+        packer._open(level, [(key, 0, bytes(range(4 * level)), level)])
+    out = packer.finish()
+    shape = [[(p[0], p[1], len(p[2]) // 4) for p in w] for w in out]
+    assert shape == [[(1, 0, 12), (4, 0, 3), (3, 0, 1)], [(2, 0, 11), (3, 1, 5)]]
+    assert out[1][1][2] == bytes(range(4, 24)) and packer.n_open == 0 and packer.finish() == []
+    packer, closed = packing.SumOfSquares(2048, 40), []
+    draw = random.Random(3)
+    for k in range(400):
+        closed += packer.add(k, bytes(4 * draw.randint(1, 2047)))
+        assert packer.n_open <= 40
+    assert all(sum(len(p[2]) for p in w) == 4 * 2048 for w in closed)
