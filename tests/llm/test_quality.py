@@ -1,8 +1,10 @@
 """The classifier: held-out accuracy, features against plain counting, odd rows."""
 
+import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import quality as Q
 
@@ -54,3 +56,69 @@ def test_odd_tables(spark):
             assert all(abs(r.s - share) < 1e-3 for r in got)
     assert Q.train(docs.limit(0), some).weights.any() == False  # noqa: E712
     assert docs.limit(0).select(Q.score(spark, model, docs.text)).count() == 0
+
+
+def plain_shares(text):
+    """Bucket -> share, by integers and dictionaries."""
+    def bucket(code):
+        code = code * 0xD6E8FEB86659FD93 % 2**64
+        code ^= code >> 29
+        return (code * 0xD6E8FEB86659FD93 % 2**64) >> (64 - Q.BITS)
+
+    words = text.split()
+    codes = [sum(c * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(w)) % 2**64 for w in words]
+    got = [Q.REPEAT if i and codes[i] == codes[i - 1] else bucket(codes[i]) for i in range(len(codes))]
+    for n in Q.GRAMS:
+        for i in range(len(text) + 3 - n):
+            gram = (b" " + text + b" ")[i:i + n]
+            if all(c > 32 for c in gram[1:-1]):
+                code = n
+                for c in gram:
+                    code = (code << 8 | c) % 2**64
+                got.append(bucket(code))
+    return {b: got.count(b) / len(got) for b in set(got)}
+
+
+def plain_fit(rows, labels):
+    """The descent over lists of floats; returns the score of a text's shares."""
+    rng = np.random.default_rng(0)
+    start = rng.uniform(-1 / Q.DIMENSIONS, 1 / Q.DIMENSIONS, (1 << Q.BITS, Q.DIMENSIONS))
+    vectors = {b: start[b].tolist() for shares in rows for b in shares}
+    layer, bias, done = [[0.0] * Q.DIMENSIONS, [0.0] * Q.DIMENSIONS], [0.0, 0.0], 0
+
+    def mean(shares):
+        return [sum(s * vectors.get(b, start[b])[d] for b, s in shares.items()) for d in range(Q.DIMENSIONS)]
+
+    def softmax(m):
+        z = [sum(w * x for w, x in zip(layer[k], m)) + bias[k] for k in (0, 1)]
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    while done < Q.STEPS:
+        for i in rng.permutation(len(rows))[:Q.STEPS - done]:
+            rate = Q.RATE * (1 - done / Q.STEPS)
+            done += 1
+            m = mean(rows[i])
+            grad = [(k == labels[i]) - p for k, p in enumerate(softmax(m))]
+            back = [grad[0] * layer[0][d] + grad[1] * layer[1][d] for d in range(Q.DIMENSIONS)]
+            for k in (0, 1):
+                layer[k] = [w + rate * grad[k] * x for w, x in zip(layer[k], m)]
+                bias[k] += rate * 0.05 * grad[k]
+            for b, s in rows[i].items():
+                vectors[b] = [v + rate * s * g for v, g in zip(vectors[b], back)]
+    return lambda shares: softmax(mean(shares))[1]
+
+
+def test_fit_and_scores_equal_plain_python(spark):
+    good = ["a fine day", "the sun rose", "we met them", "it was calm"]
+    bad = ["buy buy now", "$$$ win", "click click", "xx yy zz"]
+    texts = dict(enumerate(good + bad, 1)) | {20: "the fine sun", 21: "win win now", 22: "é new", 23: "w"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = {i: int(i <= len(good)) for i in range(1, 9)}
+    model = Q.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))
+    got = {r.doc_id: r.s for r in docs.select("doc_id", Q.score(spark, model, docs.text).alias("s")).collect()}
+    order = [r.doc_id for r in docs.filter("doc_id < 20").orderBy(F.xxhash64("doc_id")).collect()]
+    scored = plain_fit([plain_shares(texts[i].encode()) for i in order], [labels[i] for i in order])
+    for i, text in texts.items():
+        assert abs(got[i] - scored(plain_shares(text.encode()))) < 1e-2, text
+    assert all((got[i] > 0.5) == bool(y) for i, y in labels.items())
