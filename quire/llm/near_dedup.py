@@ -10,9 +10,11 @@
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
 
-A list does not emit all its pairs: for some rounds each list links its members to one leader, the class whose
-values are the most frequent ones among some drawn anew in each round, and what is linked is one component. Then
-the pairs of different components that share a list are left, and all of these are tested.
+A list does not emit all its pairs: first each list links its members to one leader, the class whose
+values are the most frequent ones, and what is linked is one component. Of the classes whose lists still hold several
+components, those go that share too few shingles with all others together. The rest falls into groups that lists join, and groups are dealt
+to *tiles*, pairs of blocks of bounded size: a task makes the estimate and the exact Jaccard for a whole tile with
+numpy and returns only as many links as connect what it found.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ SIMILARITY = 80    # percent
 SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
 MARGIN = 6         # standard deviations that the number of shared values may fall short
-ROUNDS = 6         # of leaders, at most
+ROUNDS = 1         # of leaders
+BLOCK = 200_000    # shingles of a block, about; a class counts as 128 at least
+RARE = 32          # members of a block up to which a shingle's pairs are counted one by one
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -176,51 +180,147 @@ def _links(likely: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return held.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_exact(words), "a long, b long")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets of ``left`` with all of ``right``."""
+    n, m = len(left), len(right)
+    _, value = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row, column = np.repeat(np.arange(n), list(map(len, left))), np.repeat(np.arange(m), list(map(len, right)))
+    lv, rv = value[:len(row)], value[len(row):]
+    held = np.bincount(rv, minlength=len(value) + 1)
+    # rare values: each member on the left meets the few on the right
+    few = held[lv] <= RARE
+    times = held[lv[few]]
+    first = np.cumsum(held) - held
+    at = np.repeat(first[lv[few]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    met = np.repeat(row[few], times) * m + column[np.argsort(rv, kind="stable")][at]
+    out = np.bincount(met, minlength=n * m).reshape(n, m)
+    # frequent values: products of incidence matrices
+    frequent = np.unique(lv[~few])
+    for some in np.split(frequent, range(1024, len(frequent), 1024)):
+        a, b = np.zeros((n, len(some)), np.float32), np.zeros((m, len(some)), np.float32)
+        for matrix, line, v in ((a, row, lv), (b, column, rv)):
+            place = np.full(len(held), -1)
+            place[some] = np.arange(len(some))
+            there = place[v] >= 0
+            matrix[line[there], place[v[there]]] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _reached(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The union-sketch estimate for all pairs: of the values up to the lesser end of both sketches, the share of those in both."""
+    p = SIMILARITY / 100
+    ends = lambda sets: np.array([s[-1] if len(s) == SKETCH else np.iinfo(np.int64).max for s in sets])
+    of_left, of_right = ends(right), ends(left)
+    of_left = np.array([np.searchsorted(s, of_left, "right") for s in left])
+    of_right = np.array([np.searchsorted(s, of_right, "right") for s in right]).T
+    both = overlaps(left, right)
+    k = of_left + of_right - both
+    return both >= p * k - 5 * np.sqrt(p * (1 - p) * k)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """As many of the links (row, column) as connect what all of them connect."""
+    out, fresh_row, fresh_col = [], linked.any(axis=1), linked.any(axis=0)
+    for start in np.flatnonzero(fresh_row):
+        todo = [(int(start), True)] if fresh_row[start] else []
+        fresh_row[start] = False
+        while todo:
+            at, is_row = todo.pop()
+            line, unseen = (linked[at], fresh_col) if is_row else (linked[:, at], fresh_row)
+            found = np.flatnonzero(line & unseen)
+            unseen[found] = False
+            out += [(at, int(x)) if is_row else (int(x), at) for x in found]
+            todo += [(int(x), not is_row) for x in found]
+    return out
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Links (a, b) of roots between the lower block (side 0) and the other; a tile with side 0 alone is a block with itself."""
+    def lists(name: str) -> list[np.ndarray]:
+        column = table.column(name).combine_chunks()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        return [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+
+    side, root, n = (table.column(c).to_numpy() for c in ("side", "root", "n"))
+    sketch, held = lists("sketch"), lists("held")
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1 if side.any() else side == 0)
+    if not len(left) or not len(right):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    pick = lambda sets, at: [sets[i] for i in at]
+    fit = (root[left][:, None] != root[right]) & _reached(pick(sketch, left), pick(sketch, right))
+    rows, cols = fit.any(axis=1), fit.any(axis=0)
+    left, right, fit = left[rows], right[cols], fit[rows][:, cols]
+    if len(left):
+        shared = overlaps(pick(held, left), pick(held, right))
+        fit &= 100 * shared >= SIMILARITY * (n[left][:, None] + n[right] - shared)
+    links = _forest(fit)
+    return pa.table({"a": pa.array([int(root[left[i]]) for i, _ in links], pa.int64()),
+                     "b": pa.array([int(root[right[j]]) for _, j in links], pa.int64())})
+
+
+def _sets(words: int):
+    """(node, s): the full set of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                sets = shingle_sets([d.decompress(z.as_py()).decode() for z in some.column("z")], words)
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column("node"), flat], names=["node", "s"])
+    return run
+
+
+def _tiled(now: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between the roots of open lists ``now`` (value, node, n, root)."""
+    nodes = now.select("node", "n", "root").distinct()
+    each = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_sets(words), "node long, s array<bigint>").select("node", F.explode("s").alias("s"))
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
+    # shingles that no other open class has lie in no intersection
+    held = each.join(shared, "s").groupBy("node").agg(F.collect_list("s").alias("held")).join(nodes, "node")
+    held = written(held.filter(100 * F.size("held") >= SIMILARITY * F.col("n")), "held")
+    lists = now.select("value", "node").join(held.select("node", "root"), "node")
+    leads = lists.groupBy("value").agg(F.min("node").alias("lead"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
+    grouped = components(lists.join(leads, "value").select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("root", "group")
+    weighed = grouped.join(held.select("node", F.greatest(F.size("held"), F.lit(128)).alias("w")), "node")
+    blocks = weighed.groupBy("group").agg(F.ceil(F.sum("w") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = grouped.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                         (F.col("own") > F.col("other")).cast("int").alias("side"))
+    rows = dealt.join(held, "node").join(classes.select("node", "sketch"), "node")
+    return rows.groupBy("group", "lo", "hi").applyInArrow(_tile, "a long, b long")
+
+
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
-    spark = classes.sparkSession
     lists = _postings(classes)
     shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
     lists = written(lists.join(shared, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
     texts = written(_texts(rows, wanted, kind, words), "texts")
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
-    n_lists = lists.count()
-    tested = spark.createDataFrame([], "a long, b long")
     # how frequent the values of a class are: most of all for texts that others are edited from
     roots = written(lists.groupBy("node").agg(F.sum("count").alias("fame")).select("node", F.col("node").alias("root"), "fame"), "roots")
-    before = None
     for step in range(ROUNDS + 1):
         now = lists.join(roots, "node").select("value", "node", "n", "root", "fame")
-        counts = now.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_lists = counts.groupBy("value").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).filter("p > 0")
-        open_lists = written(open_lists, "open")
-        open_pairs = (open_lists.agg(F.sum("p")).first()[0] or 0) // 2
-        if not open_pairs:
-            break
-        now = now.join(open_lists.select("value"), "value")
-        # leaders help while they merge what lists hold; the rest is tested pair by pair
-        last = step == ROUNDS or step > 1 and (open_pairs <= n_lists or open_pairs > 0.8 * before)
-        before = open_pairs
-        if last:
-            other = now.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-            pairs = (now.withColumnRenamed("node", "a").join(other, "value")
-                     .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2")).select("a", "b"))
+        if step == ROUNDS:
+            open_lists = now.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("value")
+            joined = _tiled(now.join(open_lists, "value"), classes, texts, words)
         else:
-            drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(8 if step else 1))
-            rank = F.struct(drawn.alias("d"), (-F.col("fame")).alias("f"), "node", "root", "n")
+            rank = F.struct((-F.col("fame")).alias("f"), "node", "root", "n")
             leaders = now.groupBy("value").agg(F.min(rank).alias("lead"))
             pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
-                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        joined = _links(_likely(pairs, classes), texts, words).join(ends("a"), "a").join(ends("b"), "b")
-        moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+            ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+            joined = _links(_likely(pairs, classes), texts, words).join(ends("a"), "a").join(ends("b"), "b").select(
+                F.col("ra").alias("a"), F.col("rb").alias("b"))
+        moved = components(joined)
         roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")
-        if last:
-            break
     return roots.select("node", "root")
 
 
