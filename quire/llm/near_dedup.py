@@ -11,9 +11,9 @@
 4. The *exact Jaccard* of the full sets decides each link.
 
 A list does not emit all its pairs: first each list links its members to one leader, the class whose
-values are the most frequent ones, and what is linked is one component. Of the classes whose lists still hold several
-components, those go that share too few shingles with all others together. The rest falls into groups that lists join, and groups are dealt
-to *tiles*, pairs of blocks of bounded size: a task makes the estimate and the exact Jaccard for a whole tile with
+values are the most frequent ones, and what is linked is one component. Then lists that still hold several
+components emit their pairs if they are short. Of the classes in the other lists, those go that share too few
+shingles with all others together; the rest falls into groups that lists join, and groups are dealt to *tiles*, pairs of blocks of bounded size: a task makes the estimate and the exact Jaccard for a whole tile with
 numpy and returns only as many links as connect what it found.
 """
 
@@ -39,6 +39,7 @@ SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
 MARGIN = 6         # standard deviations that the number of shared values may fall short
 ROUNDS = 1         # of leaders
+SMALL = 16         # members of a list up to which it emits its pairs, so at most 8 for each member
 BLOCK = 200_000    # shingles of a block, about; a class counts as 128 at least
 RARE = 32          # members of a block up to which a shingle's pairs are counted one by one
 SLICE_BYTES = 1 << 20
@@ -307,17 +308,24 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
     roots = written(lists.groupBy("node").agg(F.sum("count").alias("fame")).select("node", F.col("node").alias("root"), "fame"), "roots")
     for step in range(ROUNDS + 1):
         now = lists.join(roots, "node").select("value", "node", "n", "root", "fame")
-        if step == ROUNDS:
-            open_lists = now.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("value")
-            joined = _tiled(now.join(open_lists, "value"), classes, texts, words)
-        else:
+        if step < ROUNDS:
             rank = F.struct((-F.col("fame")).alias("f"), "node", "root", "n")
             leaders = now.groupBy("value").agg(F.min(rank).alias("lead"))
             pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
-                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-            ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-            joined = _links(_likely(pairs, classes), texts, words).join(ends("a"), "a").join(ends("b"), "b").select(
-                F.col("ra").alias("a"), F.col("rb").alias("b"))
+                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
+        else:
+            open_lists = now.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("c"))
+            open_lists = written(open_lists.filter("r < s").select("value", (F.col("c") <= SMALL).alias("small")), "open")
+            now = now.join(open_lists, "value")
+            few = now.filter("small")
+            other = few.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+            pairs = few.withColumnRenamed("node", "a").join(other, "value").filter(
+                (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2")).select("a", "b")
+        ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        joined = _links(_likely(pairs.distinct(), classes), texts, words).join(ends("a"), "a").join(ends("b"), "b").select(
+            F.col("ra").alias("a"), F.col("rb").alias("b"))
+        if step == ROUNDS:
+            joined = joined.union(_tiled(now.filter("not small"), classes, texts, words))
         moved = components(joined)
         roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")

@@ -154,6 +154,7 @@ def test_groups_of_several_blocks(spark, monkeypatch, block):
     texts = cases()[:80]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "SMALL", 1)
     monkeypatch.setattr(N, "ROUNDS", 0)
     got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
     assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
