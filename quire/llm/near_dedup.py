@@ -12,9 +12,10 @@
 
 A list does not emit all its pairs: first each list links its members to one leader, the class whose
 values are the most frequent ones, and what is linked is one component. Then lists that still hold several
-components emit their pairs if they are short. Of the classes in the other lists, those go that share too few
-shingles with all others together; the rest falls into groups that lists join, and groups are dealt to *tiles*, pairs of blocks of bounded size: a task makes the estimate and the exact Jaccard for a whole tile with
-numpy and returns only as many links as connect what it found.
+components emit their pairs if they are short, and the pairs that pass the estimate join their classes in a group.
+Of the classes in longer lists, those go that share too few retained values with all others together; what is left of a
+list is in one group. Groups are dealt to *tiles*, pairs of blocks of bounded size: a task makes the estimate and the exact
+Jaccard for a whole tile with numpy and returns only as many links as connect what it found.
 """
 
 from __future__ import annotations
@@ -261,7 +262,7 @@ def _tile(table: pa.Table) -> pa.Table:
 
 
 def _sets(words: int):
-    """(node, s): the full set of each text."""
+    """(node, held): the full set of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         d = zstandard.ZstdDecompressor()
@@ -271,28 +272,31 @@ def _sets(words: int):
                 sets = shingle_sets([d.decompress(z.as_py()).decode() for z in some.column("z")], words)
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column("node"), flat], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([some.column("node"), flat], names=["node", "held"])
     return run
 
 
-def _tiled(now: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Links (a, b) between the roots of open lists ``now`` (value, node, n, root)."""
-    nodes = now.select("node", "n", "root").distinct()
-    each = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_sets(words), "node long, s array<bigint>").select("node", F.explode("s").alias("s"))
+def _tiled(now: DataFrame, likely: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) between roots: of the pairs ``likely`` (a, b) and of the open lists ``now`` (value, node, root)."""
+    p = SIMILARITY / 100
+    size = F.size("sketch")
+    each = classes.join(now.select("node").distinct(), "node", "left_semi").select(
+        "node", (p * size - 5 * F.sqrt(p * (1 - p) * size)).alias("least"), F.explode("sketch").alias("s"))
     shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("s")
-    # shingles that no other open class has lie in no intersection
-    held = each.join(shared, "s").groupBy("node").agg(F.collect_list("s").alias("held")).join(nodes, "node")
-    held = written(held.filter(100 * F.size("held") >= SIMILARITY * F.col("n")), "held")
-    lists = now.select("value", "node").join(held.select("node", "root"), "node")
-    leads = lists.groupBy("value").agg(F.min("node").alias("lead"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
-    grouped = components(lists.join(leads, "value").select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("root", "group")
-    weighed = grouped.join(held.select("node", F.greatest(F.size("held"), F.lit(128)).alias("w")), "node")
+    # a pair that passes the estimate shares at least this many retained values
+    alive = each.join(shared, "s").groupBy("node").agg(F.first("least").alias("least"), F.count(F.lit(1)).alias("c")).filter("c >= least")
+    lists = written(now.select("value", "node", "root").join(alive.select("node"), "node"), "open")
+    leads = lists.groupBy("value").agg(F.min("node").alias("b"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s")
+    stars = lists.join(leads, "value").select(F.col("node").alias("a"), "b")
+    grouped = components(likely.unionByName(stars)).withColumnRenamed("root", "group")
+    weighed = grouped.join(classes.select("node", F.greatest("n", F.lit(128)).alias("w")), "node")
     blocks = weighed.groupBy("group").agg(F.ceil(F.sum("w") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = grouped.join(blocks, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("node", "group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
                          (F.col("own") > F.col("other")).cast("int").alias("side"))
-    rows = dealt.join(held, "node").join(classes.select("node", "sketch"), "node")
+    held = texts.join(grouped, "node", "left_semi").mapInArrow(_sets(words), "node long, held array<bigint>")
+    rows = dealt.join(held, "node").join(classes.select("node", "n", "sketch"), "node").join(roots.select("node", "root"), "node")
     return rows.groupBy("group", "lo", "hi").applyInArrow(_tile, "a long, b long")
 
 
@@ -321,11 +325,12 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
             other = few.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
             pairs = few.withColumnRenamed("node", "a").join(other, "value").filter(
                 (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2")).select("a", "b")
-        ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        joined = _links(_likely(pairs.distinct(), classes), texts, words).join(ends("a"), "a").join(ends("b"), "b").select(
-            F.col("ra").alias("a"), F.col("rb").alias("b"))
-        if step == ROUNDS:
-            joined = joined.union(_tiled(now.filter("not small"), classes, texts, words))
+        likely = _likely(pairs.distinct(), classes)
+        if step < ROUNDS:
+            ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+            joined = _links(likely, texts, words).join(ends("a"), "a").join(ends("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        else:
+            joined = _tiled(now.filter("not small"), likely, roots, classes, texts, words)
         moved = components(joined)
         roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
                         .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")
