@@ -3,7 +3,6 @@
 import random
 import re
 
-import numpy as np
 import pytest
 
 from quire.llm import near_dedup as N
@@ -124,37 +123,3 @@ def test_links_of_one_long_list(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
     assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
-
-
-def test_overlaps_of_rare_and_frequent_values():
-    rng = np.random.default_rng(3)
-    sets = lambda k: [np.unique(np.concatenate([rng.integers(0, 60, 40), rng.integers(0, 4000, 30)])) for _ in range(k)]
-    left, right = sets(70), [*sets(90), np.zeros(0, np.int64)]
-    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
-    assert (N.overlaps(left, right) == np.array(want)).all()
-
-
-def test_forest_connects_what_all_links_connect():
-    rng = np.random.default_rng(5)
-    linked = rng.random((40, 30)) < 0.03
-
-    def parts(links):
-        root = list(range(70))
-        for i, j in links:
-            a, b = root[i], root[40 + j]
-            root = [a if r == b else r for r in root]
-        return [root.index(r) for r in root]
-    links = N._forest(linked)
-    assert all(linked[i, j] for i, j in links) and len(links) < 70
-    assert parts(links) == parts(zip(*np.nonzero(linked)))
-
-
-@pytest.mark.parametrize("block", [256, 1024])
-def test_groups_of_several_blocks(spark, monkeypatch, block):
-    texts = cases()[:80]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(N, "BLOCK", block)
-    monkeypatch.setattr(N, "SMALL", 1)
-    monkeypatch.setattr(N, "ROUNDS", 0)
-    got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
-    assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
