@@ -13,7 +13,6 @@ narrow (key, url) rows cross the shuffles.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,34 +27,43 @@ from ..session import cut_lineage
 BLOOM_BITS = 1 << 23  # at most, of the filter over requested URLs (1 MB)
 
 
-def url_filter(requests: DataFrame, bits: int = BLOOM_BITS) -> Callable[[Column, str], Column]:
-    """A Bloom filter over the requested (url, kind), as a test on a page's URL and a kind.
+def _marks(url, kind) -> Column:
+    """The two bits of a request in the word of its URL."""
+    h = F.xxhash64(url, kind)
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(F.lit(63)).cast("int"))
+    return bit(h).bitwiseOR(bit(F.shiftrightunsigned(h, 6)))
 
-    Spark sets the bits; at most ``bits`` / 64 words reach the driver, however many URLs are
-    requested, and few ones are folded to a shorter filter. It never
-    denies a requested page. When it is full it admits pages that nobody asked for; the join that follows drops them.
-    """
-    def places(url, kind) -> list[Column]:
-        h = F.xxhash64(url, kind)
-        return [h, F.shiftrightunsigned(h, 32)]
 
+def filter_words(requests: DataFrame, bits: int = BLOOM_BITS) -> Callable[[Column], Column]:
+    """A Bloom filter over the requested (url, kind): gives the word that has the marks of a URL's requests.
+
+    Spark sets the bits and keeps them as one row, at most ``bits`` / 64 words however many URLs are
+    requested; few ones are folded to a shorter filter. The row is read by a scalar subquery:
+    as a literal it would be printed whole in each description of a plan, of which the driver keeps many. Each place that reads it adds a copy
+    to the code of a task, so all marks of a URL are in one word. When it is full it admits pages that nobody asked for.
+    """
+    place = lambda url, n: F.xxhash64(url).bitwiseAND(F.lit(n - 1))
     asked = requests.filter(F.col("url").isNotNull())
-    place = asked.select(F.explode(F.array(*[h.bitwiseAND(F.lit(bits - 1)) for h in places("url", "kind")])).alias("p"))
-    one = F.expr("shiftleft(1L, cast(p & 63 as int))")
-    words = [0] * (bits // 64)
-    for w, v in place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("v")).collect():
-        words[w] = v & (1 << 64) - 1
-    ones = sum(map(int.bit_count, words))
-    while len(words) > 16 and len(words) * 64 > 16 * ones:
-        words = [x | y for x, y in zip(words[:len(words) // 2], words[len(words) // 2:])]
-    mask = F.lit(len(words) * 64 - 1)
-    held = F.from_json(F.lit(json.dumps([w - (1 << 64) if w >> 63 else w for w in words])), "array<bigint>")
-
-    def may_hold(url: Column, kind: str) -> Column:
-        tests = [F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
-                 for p in (h.bitwiseAND(mask) for h in places(url, F.lit(kind)))]
-        return tests[0] & tests[1]
-    return may_hold
+    words = cut_lineage(asked.groupBy(place("url", bits // 64).alias("w")).agg(F.bit_or(_marks("url", "kind")).alias("v")))
+    ones, size = words.agg(F.sum(F.bit_count("v"))).first()[0] or 0, bits // 64
+    while size > 16 and size * 64 > 16 * ones:
+        size //= 2
+    folded = words.groupBy(F.col("w").bitwiseAND(F.lit(size - 1)).alias("id")).agg(F.bit_or("v").alias("v"))
+    dense = requests.sparkSession.range(size).join(folded, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    held = cut_lineage(dense.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("l")).select(F.col("l.v").alias("v"))).scalar()
+    return lambda url: F.get(held, place(url, size).cast("int"))
+
+
+def may_be_asked(word: Column, url: Column, kind: str) -> Column:
+    """Whether a word of :func:`filter_words` has the marks of (url, kind); always so for a request."""
+    marks = _marks(url, F.lit(kind))
+    return word.bitwiseAND(marks) == marks
+
+
+def url_filter(requests: DataFrame, bits: int = BLOOM_BITS) -> Callable[[Column, str], Column]:
+    """:func:`filter_words` as a test on a page's URL and a kind."""
+    word = filter_words(requests, bits)
+    return lambda url, kind: may_be_asked(word(url), url, kind)
 
 
 def page_facts(pages: DataFrame, requests: DataFrame, fetched_at: str | None = None, bits: int = BLOOM_BITS) -> DataFrame:
@@ -71,10 +79,10 @@ def page_facts(pages: DataFrame, requests: DataFrame, fetched_at: str | None = N
     """
     requests = requests.filter(F.col("url").isNotNull())
     wanted = requests.groupBy("url").agg(*[F.max(F.col("kind") == k).alias(f"_{k}") for k in ("project", "repo", "figure")])
-    admits = url_filter(requests, bits)
     url = F.col("url")
-    project, repo, figure = (admits(url, k) for k in ("project", "repo", "figure"))
-    facts = pages.filter(project | repo | figure).select(
+    project, repo, figure = (may_be_asked(F.col("_word"), url, k) for k in ("project", "repo", "figure"))
+    admitted = pages.withColumn("_word", filter_words(requests, bits)(url)).filter(project | repo | figure)
+    facts = admitted.select(
         "url", F.struct(F.col(fetched_at) if fetched_at else F.lit(0), F.xxhash64("html")).alias("_at"),
         F.when(project, code_url_from_page("html")).alias("page_code"),
         F.when(repo, project_page_from_repo("html")).alias("repo_project"),

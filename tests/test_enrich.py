@@ -79,6 +79,18 @@ def test_filter_admits_every_request_and_few_others(spark):
     assert [r.images for r in got if not r.repo_project] == [[]]
 
 
+def test_plans_do_not_print_the_filter(spark):
+    """The description of a plan has one size, whatever the number of requests."""
+    def described(n):
+        urls = spark.range(n).select(F.concat(F.lit("https://x.org/"), F.col("id").cast("string")).alias("url"), F.lit("project").alias("kind"))
+        pages = urls.select("url", F.lit('<img src="a.png">').alias("html"))
+        facts = EN.page_facts(pages, urls)
+        assert facts.filter(F.size("images") == 1).count() == n
+        return len(facts._jdf.queryExecution().toString())
+
+    assert described(20_000) < described(20) + 2000 < 100_000
+
+
 def test_latest_fetch_counts(spark):
     pages = spark.createDataFrame([("u", '<img src="old.png">', 1), ("u", '<img src="new.png">', 2)], "url string, html string, t int")
     got = EN.page_facts(pages, _requests(spark, [("u", "project")]), fetched_at="t").first()
