@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import month_prefix
 from ..schemas import STAGE1_OUTPUT, STAGE2_OUTPUT, STAGE2_REQUIRED
+from ..session import cut_lineage
 from .ordering import group_sizes, ordered_positions
 
 # Bytes of term text in one automaton; larger term tables are dealt to several.
@@ -130,8 +131,9 @@ def judge_by_terms(papers: DataFrame, criteria: DataFrame, text_col: str = "titl
     about ``AUTOMATON_BYTES`` of text, and a task finds all terms of a block in one pass
     over each text with an Aho-Corasick automaton, which workers build once. Texts stay
     where they are: no shuffle and no copy of them, however many terms there are.
+    The criteria are read once and written to the checkpoint directory.
     """
-    terms = criteria.filter(F.length("term") > 0).select(F.lower("term").alias("term"), "tier", "topic").distinct()
+    terms = cut_lineage(criteria.filter(F.length("term") > 0).select(F.lower("term").alias("term"), "tier", "topic").distinct())
     size = terms.agg(F.sum(F.octet_length("term") + F.lit(16))).first()[0] or 0
     blocks = -(-size // AUTOMATON_BYTES)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import month_prefix
 from ..operators import triage as TR
+from ..session import cut_lineage
 from ..sources import fixtures as X
 from .registry import register
 
@@ -80,7 +81,7 @@ def _word_criteria(spark, sf):
               + ") where relevance_tier is not null")
 def q_judge_by_terms_counts(spark, sf):
     """The term judge with 1, 256, 257 and 5,000 terms: one method whatever their number."""
-    criteria = _word_criteria(spark, sf)
+    criteria = cut_lineage(_word_criteria(spark, sf))  # else the documents are read for their words by each count
     papers, out = X.papers(spark, sf).select("paper_id", "abstract"), None
     for n in TERM_COUNTS:
         j = TR.judge_by_terms(papers, criteria.filter(F.col("k") <= n), "abstract", "strict").filter(F.col("relevance_tier").isNotNull())

@@ -106,3 +106,32 @@ def test_envelopes(spark):
         0: "nonzero_exit", 1: "empty", 2: "bad_json", 3: "missing_result", 4: "ok", 5: "ok"}
     ids = sorted((r.batch_id, r.paper_id) for r in TR.envelope_candidates(env).collect())
     assert ids == [(4, "a"), (4, "b"), (5, "c")]
+
+
+def test_criteria_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(term):
+        read.add(1)
+        return term
+
+    papers = spark.createDataFrame([("1", "a word7 here"), ("2", "none")], "paper_id string, title string")
+    crit = spark.createDataFrame([("high", "t", f"word{i}") for i in range(20)], "tier string, topic string, term string")
+    crit = crit.withColumn("term", F.udf(seen).asNondeterministic()("term"))
+    got = TR.judge_by_terms(papers, crit, "title").filter("relevance_tier is not null").collect()
+    assert [r.paper_id for r in got] == ["1"]
+    assert read.value == 20
+
+
+def test_word_criteria_are_derived_once_for_all_counts(spark, sf, monkeypatch):
+    from quire.plans import q_triage as Q
+
+    plans, judge = [], TR.judge_by_terms
+
+    def judged(papers, criteria, *args):
+        plans.append(criteria._jdf.queryExecution().optimizedPlan().toString())
+        return judge(papers, criteria, *args)
+
+    monkeypatch.setattr(TR, "judge_by_terms", judged)
+    Q.q_judge_by_terms_counts(spark, sf)
+    assert len(plans) == len(Q.TERM_COUNTS) and not any("regexp_extract_all" in p for p in plans)
