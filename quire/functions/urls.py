@@ -6,6 +6,7 @@ inside whole-stage codegen; nothing is a Python UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -118,17 +119,50 @@ def card_links(project_url, code_url, abstract, comment) -> Column:
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once and stands once in the plan, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _remove_dot_segments(path: Column) -> Column:
-    segs = F.split(path, "/", -1)
-    stack = F.aggregate(
-        segs, _empty(),
-        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1))
-                              .otherwise(acc))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))))
-    last = F.element_at(segs, -1)
-    stack = F.when(last.isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
-    return F.array_join(stack, "/")
+    def joined(segs: Column) -> Column:
+        stack = F.aggregate(
+            segs, _empty(),
+            lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1))
+                                  .otherwise(acc))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))))
+        tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(_empty())
+        return F.array_join(F.concat(stack, tail), "/")
+    return _let(F.split(path, "/", -1), joined)
+
+
+def _base_parts(base: Column) -> Column:
+    scheme = F.regexp_extract(base, _SCHEME, 1)
+    return F.struct(
+        base.alias("url"), scheme.alias("scheme"),
+        F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1).alias("authority"),
+        F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1).alias("path"),
+        F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1).alias("query"))
+
+
+def _resolve(b: Column, ref: Column) -> Column:
+    """:func:`resolve_url` with the parts of the base."""
+    origin = F.concat(b["scheme"], F.lit("://"), b["authority"])
+
+    def by_path(rpath: Column) -> Column:
+        rtail = F.substring(ref, F.length(rpath) + 1, F.length(ref))
+        path = (F.when(ref.startswith("/"), rpath)
+                 .when((b["authority"] != "") & (b["path"] == ""), F.concat(F.lit("/"), rpath))
+                 .otherwise(F.concat(F.regexp_replace(b["path"], r"[^/]*$", ""), rpath)))
+        same = F.concat(b["path"], F.when(ref.startswith("?"), F.lit("")).otherwise(b["query"]))
+        return F.concat(origin, F.when(rpath == "", same).otherwise(_remove_dot_segments(path)), rtail)
+
+    return (F.when(ref.rlike(_SCHEME), ref)
+             .when(ref.startswith("//"), F.concat(b["scheme"], F.lit(":"), ref))
+             .when(ref == "", b["url"])
+             .when(ref.startswith("#"), F.concat(F.regexp_replace(b["url"], "#.*$", ""), ref))
+             .otherwise(_let(F.regexp_extract(ref, r"^([^?#]*)", 1), by_path)))
 
 
 def resolve_url(base, ref) -> Column:
@@ -137,24 +171,7 @@ def resolve_url(base, ref) -> Column:
     Covers absolute refs, ``//host``, ``/path``, ``?query``, ``#frag`` and
     relative paths with ``.``/``..`` segments.
     """
-    base, ref = _c(base), _c(ref)
-    scheme = F.regexp_extract(base, _SCHEME, 1)
-    authority = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)
-    bpath = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    bquery = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
-    origin = F.concat(scheme, F.lit("://"), authority)
-    rpath = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    rtail = F.substring(ref, F.length(rpath) + 1, F.length(ref))
-    merged = F.when((authority != "") & (bpath == ""), F.concat(F.lit("/"), rpath)).otherwise(
-        F.concat(F.regexp_replace(bpath, r"[^/]*$", ""), rpath))
-    return (F.when(ref.rlike(_SCHEME), ref)
-             .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-             .when(ref == "", base)
-             .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-             .when(rpath == "", F.concat(origin, bpath,
-                                         F.when(ref.startswith("?"), F.lit("")).otherwise(bquery), rtail))
-             .when(ref.startswith("/"), F.concat(origin, _remove_dot_segments(rpath), rtail))
-             .otherwise(F.concat(origin, _remove_dot_segments(merged), rtail)))
+    return _let(_base_parts(_c(base)), lambda b: _resolve(b, _c(ref)))
 
 
 def page_base(url) -> Column:
@@ -178,9 +195,8 @@ def image_candidates(html, page_url) -> Column:
     og = F.filter(F.array(F.coalesce(og1, og2)), lambda u: u.isNotNull())
     raw = F.concat(og, F.regexp_extract_all(h, F.lit(IMG_KEYWORD_RE), 1),
                    F.regexp_extract_all(h, F.lit(IMG_EXT_RE), 1))
-    base = page_base(page_url)
-    resolved = F.transform(raw, lambda u: F.when(u.startswith("http"), u).otherwise(resolve_url(base, u)))
-    return F.array_distinct(resolved)
+    return F.array_distinct(_let(_base_parts(page_base(page_url)), lambda b: F.transform(
+        raw, lambda u: F.when(u.startswith("http"), u).otherwise(_resolve(b, u)))))
 
 
 def figure_candidates(html, base) -> Column:
@@ -193,7 +209,7 @@ def figure_candidates(html, base) -> Column:
     raw = F.array_distinct(F.concat(F.regexp_extract_all(h, F.lit(FIG_KEYWORD_RE), 1),
                                     F.regexp_extract_all(h, F.lit(IMG_EXT_RE), 1)))
     keep = F.filter(raw, lambda u: ~figure_skip(u))
-    return F.transform(F.slice(keep, 1, MAX_FIGURES), lambda u: resolve_url(_c(base), u))
+    return _let(_base_parts(_c(base)), lambda b: F.transform(F.slice(keep, 1, MAX_FIGURES), lambda u: _resolve(b, u)))
 
 
 def figure_skip(src) -> Column:

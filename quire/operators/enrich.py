@@ -48,8 +48,9 @@ def filter_words(requests: DataFrame, bits: int = BLOOM_BITS) -> Callable[[Colum
     ones, size = words.agg(F.sum(F.bit_count("v"))).first()[0] or 0, bits // 64
     while size > 16 and size * 64 > 16 * ones:
         size //= 2
-    folded = words.groupBy(F.col("w").bitwiseAND(F.lit(size - 1)).alias("id")).agg(F.bit_or("v").alias("v"))
-    dense = requests.sparkSession.range(size).join(folded, "id", "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    blank = requests.sparkSession.range(size).select("id", F.lit(0).cast("long").alias("v"))
+    folded = words.select(F.col("w").bitwiseAND(F.lit(size - 1)).alias("id"), "v")
+    dense = blank.union(folded).groupBy("id").agg(F.bit_or("v").alias("v"))
     held = cut_lineage(dense.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("l")).select(F.col("l.v").alias("v"))).scalar()
     return lambda url: F.get(held, place(url, size).cast("int"))
 
@@ -106,9 +107,23 @@ def text_links(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", project.alias("project"), code.alias("code"))
 
 
-def _first_image(cands: DataFrame, good: DataFrame, order, name: str) -> DataFrame:
-    return (cands.join(good, "img", "left_semi")
-            .groupBy("paper_id").agg(F.min_by("img", order).alias(name)))
+def _findings(visits: DataFrame, facts: DataFrame, good: DataFrame) -> DataFrame:
+    """(paper_id, _site, _page_code, _img): what comes first on the pages that a paper asks for.
+
+    ``visits(paper_id, ppos, kind, url)`` give the pages in order, ``good(url)`` the acceptable images. One
+    row per candidate image, or one where a page has none, crosses the shuffles.
+    """
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    seen = visits.join(facts, "url").select(
+        "paper_id", "ppos", of("project", "page_code").alias("page_code"), of("repo", "repo_project").alias("site"),
+        F.posexplode_outer(F.coalesce(of("project", "images"), of("figure", "figures"))).alias("ipos", "img"))
+    code = F.when(F.coalesce("ipos", F.lit(0)) == 0, F.col("page_code"))
+    seen = (seen.withColumn("page_code", code)
+            .join(good.select(F.col("url").alias("img"), F.lit(True).alias("_good")), "img", "left"))
+    return seen.groupBy("paper_id").agg(
+        F.min("site").alias("_site"),
+        F.min_by("page_code", F.when(F.col("page_code").isNotNull(), F.col("ppos"))).alias("_page_code"),
+        F.min_by("img", F.when(F.col("_good"), F.struct("ppos", "ipos"))).alias("_img"))
 
 
 def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame,
@@ -127,61 +142,39 @@ def enrich_links(papers: DataFrame, pages: DataFrame, images: DataFrame,
     then the ``github.io`` pages named by repo pages and, only for papers
     still without an acceptable image, their rendered paper page.
 
-    ``links`` (per-paper URL lists) and ``facts`` (per-page findings) feed
-    several branches; with ``materialize`` they are written once to the shared
-    checkpoint directory (reliable checkpoint, survives executor loss) so the
-    branches read narrow files instead of re-deriving papers and pages.
+    ``links`` (per-paper URL lists) and ``first`` (what the first pass found) are
+    read several times; with ``materialize`` they are written once to the shared
+    checkpoint directory (reliable checkpoint, survives executor loss) so that
+    papers and pages are not derived again.
     """
+    cut = cut_lineage if materialize else (lambda df: df)
     links = text_links(papers)
     gh_repo = F.get(F.filter("code", lambda u: u.contains("github.com")), 0)
-    links = links.withColumn("_repo", F.when(F.size("project") == 0, gh_repo))
-    if materialize:
-        links = cut_lineage(links)
-    proj = links.select("paper_id", F.posexplode("project").alias("ppos", "url"))
-    repo = links.filter(F.col("_repo").isNotNull()).select("paper_id", F.col("_repo").alias("url"))
-    requests = (proj.select("url", F.lit("project").alias("kind"))
-                .unionByName(repo.select("url", F.lit("repo").alias("kind"))))
-    facts = page_facts(pages, requests)
-    if materialize:
-        facts = cut_lineage(facts)
-    good = image_ok(images).withColumnRenamed("url", "img")
-    # images of the text's project pages
-    visits1 = proj.join(facts.select("url", "page_code", "images"), "url", "left")
-    # second hop: (a) project pages named by repo pages, appended after the
-    # text ones; (b) the rendered paper page, only for papers whose project
-    # pages gave no acceptable image
-    extra = (repo.join(facts.select("url", "repo_project"), "url")
-             .filter(F.col("repo_project").isNotNull())
-             .groupBy("paper_id").agg(F.first("repo_project").alias("url")))
-    extra_n = links.select("paper_id", F.size("project").alias("ppos")).join(extra, "paper_id")
-    cands1 = visits1.select("paper_id", "ppos", F.posexplode(F.coalesce("images", F.array().cast("array<string>")))
-                            .alias("ipos", "img"))
-    has_img1 = cands1.join(good, "img", "left_semi").select("paper_id").distinct()
-    fig = (links.select("paper_id").join(has_img1, "paper_id", "left_anti")
-           .select("paper_id", F.concat(F.lit("https://arxiv.org/html/"), F.col("paper_id"), F.lit("v1")).alias("url")))
-    facts2 = page_facts(pages, extra.select("url", F.lit("project").alias("kind"))
-                        .unionByName(fig.select("url", F.lit("figure").alias("kind"))))
-    if materialize:
-        facts2 = cut_lineage(facts2)
-    visits = visits1.unionByName(extra_n.join(facts2.select("url", "page_code", "images"), "url", "left"))
-    page_code = (visits.filter(F.col("page_code").isNotNull())
-                 .groupBy("paper_id").agg(F.min_by("page_code", "ppos").alias("_page_code")))
-    cands = visits.select("paper_id", "ppos", F.posexplode(F.coalesce("images", F.array().cast("array<string>")))
-                          .alias("ipos", "img"))
-    first_img = _first_image(cands, good, F.struct("ppos", "ipos"), "_img")
-    figs = (fig.join(facts2.select("url", "figures"), "url")
-            .select("paper_id", F.posexplode(F.coalesce("figures", F.array().cast("array<string>")))
-                    .alias("fpos", "img")))
-    first_fig = _first_image(figs, good, F.col("fpos"), "_fig")
-    plist0 = F.coalesce(F.get("project", 0), F.col("_extra"))
-    out = (links.join(extra.withColumnRenamed("url", "_extra"), "paper_id", "left")
-                .join(page_code, "paper_id", "left").join(first_img, "paper_id", "left")
-                .join(first_fig, "paper_id", "left"))
-    img = F.coalesce("_img", "_fig")
-    code = F.coalesce(F.get("code", 0), F.col("_page_code"))
-    return out.select(
+    links = cut(links.withColumn("_repo", F.when(F.size("project") == 0, gh_repo)))
+    good = image_ok(images)
+    # the text's project pages, or the repository that may name one
+    proj = links.select("paper_id", F.posexplode("project").alias("ppos", "url"), F.lit("project").alias("kind"))
+    repo = links.filter(F.col("_repo").isNotNull()).select("paper_id", F.lit(0).alias("ppos"), F.col("_repo").alias("url"), F.lit("repo").alias("kind"))
+    visits = proj.unionByName(repo)
+    found = _findings(visits, page_facts(pages, visits.select("url", "kind")), good)
+    first = cut(links.join(found, "paper_id", "left").select(
+        "paper_id", F.get("project", 0).alias("_project"), F.get("code", 0).alias("_code"), F.size("project").alias("_n"),
+        "_site", "_page_code", "_img"))
+    # second hop: (a) project pages named by repo pages, after the text ones;
+    # (b) then the rendered paper page, only for papers whose project pages
+    # gave no acceptable image
+    page = lambda kind, n, url: F.struct(F.lit(kind).alias("kind"), n.alias("ppos"), url.alias("url"))
+    rendered = F.concat(F.lit("https://arxiv.org/html/"), F.col("paper_id"), F.lit("v1"))
+    hops = F.array(F.when(F.col("_site").isNotNull(), page("project", F.col("_n"), F.col("_site"))),
+                   F.when(F.col("_img").isNull(), page("figure", F.col("_n") + 1, rendered)))
+    visits = first.select("paper_id", F.explode(F.filter(hops, lambda h: h.isNotNull())).alias("h")).select("paper_id", "h.*")
+    found = _findings(visits, page_facts(pages, visits.select("url", "kind")), good)
+    then = found.select("paper_id", F.col("_page_code").alias("_page_code2"), F.col("_img").alias("_img2"))
+    img = F.coalesce("_img", "_img2")
+    code = F.coalesce("_code", "_page_code", "_page_code2")
+    return first.join(then, "paper_id", "left").select(
         "paper_id",
-        plist0.alias("project_url"),
+        F.coalesce("_project", "_site").alias("project_url"),
         code.alias("code_url"),
         F.when(img.isNotNull(), thumb_path(F.col("paper_id"), img)).alias("thumbnail"),
         img.alias("image_url"),

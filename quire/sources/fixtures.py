@@ -176,15 +176,18 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select(doc, paper_id_of(doc).alias("paper_id"))
     s = doc.cast("string")
     site = F.concat(F.lit("https://lab"), s, F.lit(".github.io/proj/"))
-    repo = d.filter(doc % 6 == 1).select(
-        F.concat(F.lit("https://github.com/org"), (doc % 7).cast("string"), F.lit("/repo"), s).alias("url"),
-        F.concat(F.lit('<a href="'), site, F.lit('">site</a>')).alias("html"))
-    named = d.filter(doc % 12 == 1).select(site.alias("url"), F.concat(F.lit('<img src="'), site, F.lit('pic.png">')).alias("html"))
-    rendered = d.filter(doc % 5 == 2).select(
-        F.concat(F.lit("https://arxiv.org/html/"), "paper_id", F.lit("v1")).alias("url"),
+    page = lambda url, html: F.struct(url.alias("url"), html.alias("html"))
+    repo = page(F.concat(F.lit("https://github.com/org"), (doc % 7).cast("string"), F.lit("/repo"), s),
+                F.concat(F.lit('<a href="'), site, F.lit('">site</a>')))
+    named = page(site, F.concat(F.lit('<img src="'), site, F.lit('pic.png">')))
+    rendered = page(
+        F.concat(F.lit("https://arxiv.org/html/"), "paper_id", F.lit("v1")),
         F.concat(F.lit('<img src="https://arxiv.org/icon.png"><img src="https://arxiv.org/html/'), "paper_id", F.lit('v1/x1.png"><img src="https://arxiv.org/html/x2'), s,
-                 F.lit('.png">')).alias("html"))
-    return page_html(spark, sf_dir).select("url", "html").unionByName(repo).unionByName(named).unionByName(rendered)
+                 F.lit('.png">')))
+    # one scan for the three: what is done with pages is planned once for each part of this union
+    found = F.array(F.when(doc % 6 == 1, repo), F.when(doc % 12 == 1, named), F.when(doc % 5 == 2, rendered))
+    more = d.select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("p")).select("p.url", "p.html")
+    return page_html(spark, sf_dir).select("url", "html").unionByName(more)
 
 
 CRITERIA_ROWS = [

@@ -112,3 +112,43 @@ def test_card_links_take_linear_time(spark):
     seconds(500)
     small, large = min(seconds(2000) for _ in range(2)), seconds(16_000)
     assert large < 24 * small + 2
+
+
+def test_plans_stay_small_in_the_driver(spark, sf):
+    """A resolved URL names its parts once, pages come from two scans, and the walk's last step joins what it found once."""
+    from quire.functions.urls import figure_candidates, image_candidates
+    from quire.sources import fixtures as X
+
+    pages = spark.createDataFrame([], "url string, html string")
+    found = pages.select(image_candidates("html", F.col("url")), figure_candidates("html", F.col("url")))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract(") < 30
+    web = X.web_pages(spark, sf)
+    assert web._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    papers = spark.createDataFrame([("2401.00001", "Project page: https://p1.org/site", None)], "paper_id string, comment string, abstract string")
+    images = spark.createDataFrame([], "url string, n_bytes long")
+    walk = EN.enrich_links(papers, web, images)
+    assert walk._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+    assert [r.project_url for r in walk.collect()] == ["https://p1.org/site"]
+
+
+def test_one_page_in_two_roles(spark):
+    """A page that one paper asks for as its project page and others as a repository or a rendered page."""
+    papers = spark.createDataFrame([
+        ("2401.00001", "see https://x.org/github.com/site.github.io/p", None),
+        ("2401.00002", "https://github.com/lab/r", None),
+        ("2401.00003", "page https://arxiv.example/html/none and https://p3.org/", None),
+    ], "paper_id string, comment string, abstract string")
+    pages = spark.createDataFrame([
+        ("https://github.com/lab/r", '<a href="https://lab.github.io/a/">s</a><img src="own.png"><a href="https://github.com/lab/other">o</a>'),
+        ("https://lab.github.io/a/", '<img src="one.png"><img src="two.png"><a href="https://github.com/lab/far">f</a>'),
+        ("https://p3.org/", '<img src="small.png"><img src="../big.png">'),
+        ("https://arxiv.org/html/2401.00002v1", '<img src="fig.png">'),
+        ("https://arxiv.org/html/2401.00003v1", '<img src="fig.png">'),
+    ], "url string, html string")
+    images = spark.createDataFrame([("https://lab.github.io/a/two.png", 700), ("https://lab.github.io/a/two.png", 800), ("https://github.com/lab/own.png", 900),
+                                    ("https://p3.org/small.png", 10), ("https://arxiv.org/html/fig.png", 900), (None, 900)], "url string, n_bytes long")
+    for mat in (False, True):
+        got = {r.paper_id: (r.project_url, r.code_url, r.image_url, r.success) for r in EN.enrich_links(papers, pages, images, materialize=mat).collect()}
+        assert got["2401.00002"] == ("https://lab.github.io/a/", "https://github.com/lab/r", "https://lab.github.io/a/two.png", True)
+        assert got["2401.00003"] == ("https://arxiv.example/html/none", None, "https://arxiv.org/html/fig.png", True)
+        assert got["2401.00001"][2:] == (None, False) and len(got) == 3
