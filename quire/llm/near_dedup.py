@@ -10,15 +10,20 @@
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
 
-A list does not emit all its pairs: for some rounds each list links its members to one leader, the class whose
-values are the most frequent ones among some drawn anew in each round, and what is linked is one component. Then
-the pairs of different components that share a list are left, and all of these are tested.
+A list does not emit all its pairs. In each round it compares its members with one leader, the class whose
+values are the most frequent ones, and keeps how each near member's set *differs* from the leader's. Edited copies of one
+text differ little, and two of them that do not both link with the leader can only link if they share many of
+these differences (``_shared_differences``), so inverted lists of the rarest differences propose their pairs. That is exact for members of
+similarity ``CORE`` or more with whatever they link with, which by the triangle inequality of the Jaccard
+distance has ``RANGE`` or more with the leader. They leave the list. After the rounds, short lists emit what they still hold, and classes of
+longer ones are listed by the rarest shingles of their full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +42,9 @@ SKETCH = 48        # retained values
 LISTED = 24        # of these, the least are looked up in lists
 MARGIN = 6         # standard deviations that the number of shared values may fall short
 ROUNDS = 6         # of leaders, at most
+CORE = 50          # percent, with the leader, from which all links of a class are found through it
+RANGE = 30         # percent: CORE less what the distance of two linked classes may be
+SHORT = 32         # members up to which a list emits pairs
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -99,7 +107,8 @@ def _needed(m: Column) -> Column:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(value, node, n, count) for the rarest retained values of each class, of values that two classes have.
+    """(value, node, n, fame) for the rarest retained values of each class, of values that two classes have; ``fame`` says
+    how frequent all values of the class are, most of all in texts that others are edited from.
 
     Sets of up to SKETCH shingles are held whole and listed apart (values below 0), by
     the exact bound. A set that may also meet a larger one is listed both ways.
@@ -115,7 +124,9 @@ def _postings(classes: DataFrame) -> DataFrame:
     # rarest first; values of one class only, which are not in `met`, come before all
     mode = Window.partitionBy("node", F.col("value") < 0)
     place = F.col("m") - F.count(F.lit(1)).over(mode) + F.row_number().over(mode.orderBy("count", "value"))
-    return met.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.col("need") + 1).select("value", "node", "n", "count")
+    fame = F.sum(F.log2("count")).over(mode) / F.col("m")
+    return (met.withColumn("place", place).withColumn("fame", fame).filter(F.col("place") <= F.col("m") - F.col("need") + 1)
+            .select("value", "node", "n", "fame"))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
@@ -132,96 +143,202 @@ def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFra
     return met.select("node", "z").dropDuplicates(["node"])
 
 
-def _exact(words: int):
-    """Pairs whose full sets reach the similarity."""
+def _compared(words: int, least: int, differ: bool):
+    """Pairs whose full sets reach a similarity of ``least`` percent, with the shingles they share and, if asked, those of only one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         d = zstandard.ZstdDecompressor()
         last, own = None, None
         for batch in batches:
             a, b, za, zb = (batch.column(c) for c in ("a", "b", "za", "zb"))
-            out = []
             for start in range(0, batch.num_rows, 64):
-                part = range(start, min(start + 64, batch.num_rows))
+                part, out, sizes, apart = range(start, min(start + 64, batch.num_rows)), [], [], [np.zeros(0, np.uint64)]
                 others = shingle_sets([d.decompress(zb[i].as_py()).decode() for i in part], words)
                 for i, other in zip(part, others):
                     if a[i].as_py() != last:
                         last, own = a[i].as_py(), shingle_sets([d.decompress(za[i].as_py()).decode()], words)[0]
                     shared = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * shared >= SIMILARITY * (len(own) + len(other) - shared):
+                    if 100 * shared >= least * (len(own) + len(other) - shared):
                         out.append(i)
-            at = pa.array(out, pa.int32())
-            yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
+                        sizes.append((len(own), len(other), shared))
+                        apart.append(np.setxor1d(own, other, assume_unique=True) if differ else apart[0])
+                at, numbers = pa.array(out, pa.int32()), np.array(sizes, np.int64).reshape(-1, 3)
+                offsets = pa.array(np.cumsum([len(x) for x in apart]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [a.take(at), b.take(at), *map(pa.array, numbers.T), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(apart).view(np.int64)))],
+                    names=["a", "b", "na", "nb", "shared", "apart"])
     return run
 
 
-def _estimated(sa: str, sb: str) -> Column:
+def _estimated(sa: str, sb: str, percent: int) -> Column:
     """Whether the union sketch of two sketches lets the similarity be reached."""
-    p = SIMILARITY / 100
+    p = percent / 100
     least = F.slice(F.array_sort(F.array_union(sa, sb)), 1, SKETCH)
     both, k = F.size(F.array_intersect(least, F.array_intersect(sa, sb))), F.size(least)
     return both >= p * k - 5 * F.sqrt(p * (1 - p) * k)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """Those of ``pairs`` (a, b) that pass the estimate."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimated("sa", "sb")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_estimated("sa", "sb", percent)).select("a", "b")
 
 
-def _links(likely: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity."""
+def _links(likely: DataFrame, texts: DataFrame, words: int, percent: int = SIMILARITY, differ: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity, as of :func:`_compared`."""
     held = likely.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b") \
         .join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    return held.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(_exact(words), "a long, b long")
+    return held.select("a", "b", "za", "zb").sortWithinPartitions("a").mapInArrow(
+        _compared(words, percent, differ), "a long, b long, na long, nb long, shared long, apart array<bigint>")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after what the pairs (a, b) link."""
+    ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    joined = links.select("a", "b").join(ends("a"), "a").join(ends("b"), "b")
+    moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+                   .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")
+
+
+def _alike(x, y, percent: int = SIMILARITY) -> Column:
+    """Whether sets of these sizes can reach the similarity."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _placed(rows: DataFrame, owner: list[str], space: list[str]) -> DataFrame:
+    """``rows`` (of a value ``v``) of values that two owners have, with their ``place`` among those of the owner, the most frequent
+    one first. Owners that share ``k`` values have one in common that is at place ``k`` or later for both."""
+    met = rows.join(rows.groupBy(*space, "v").count().filter("count > 1"), [*space, "v"])
+    place = F.row_number().over(Window.partitionBy(*owner).orderBy(F.desc("count"), F.desc("v")))
+    return met.withColumn("place", place).drop("count")
+
+
+def _shared_differences(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of different roots that may link, by what their sets have in common in their difference from a leader's (a leader's set is ``a`` of ``near``).
+
+    With the leader's size n, a set that lacks x of its shingles and has y others, and p for the similarity, two sets link if
+    they share at least (w + w' - (100 - p) n) / (100 + p) differences, where w = 100 x + p y. A set with w <= (100 - p) n links with the leader,
+    so of two that are not yet linked the one with the larger w, the *far* one, exceeds this.
+    """
+    p = SIMILARITY
+    w = 100 * (F.col("na") - F.col("shared")) + p * (F.col("nb") - F.col("shared"))
+    over = w - (100 - p) * F.col("na")
+    members = near.select(
+        F.col("a").alias("lead"), F.col("b").alias("node"), F.col("nb").alias("n"), w.alias("w"), over.alias("over"), "apart",
+        (100 * F.col("shared") >= CORE * (F.col("na") + F.col("nb") - F.col("shared"))).alias("core")).join(roots.select("node", "root"), "node")
+    mixed = (members.groupBy("lead").agg(F.min("w").alias("least"), F.min("root").alias("r"), F.max("root").alias("r2"))
+             .filter("r < r2").select("lead", "least"))
+    members = (members.join(mixed, "lead").withColumn("far", F.when(F.col("over") > 0, F.ceil((F.col("over") + F.col("least")) / (100 + p))))
+               .withColumn("close", F.ceil((F.col("w") + F.greatest("over", F.lit(1))) / (100 + p))))
+    rows = members.select("lead", "node", "far", "close", F.explode("apart").alias("v"))
+    rows = _placed(rows, ["lead", "node"], ["lead"]).filter(F.col("place") >= F.least("far", "close"))
+    rows = written(rows.join(members.select("lead", "node", "n", "w", "core", "root"), ["lead", "node"]), "differences")
+    far = rows.filter(F.col("place") >= F.col("far")).drop("far", "close", "place")
+    close = rows.filter(F.col("place") >= F.col("close")).select("lead", "v", *[F.col(c).alias(c + "2") for c in ("node", "n", "w", "core", "root")])
+    met = far.join(close, ["lead", "v"]).filter(
+        (F.col("root") != F.col("root2")) & (F.col("core") | F.col("core2")) & _alike("n", "n2")
+        & ((F.col("w") > F.col("w2")) | (F.col("w") == F.col("w2")) & (F.col("node") > F.col("node2"))))
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def _full_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        d = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                sets = shingle_sets([d.decompress(z.as_py()).decode() for z in some.column("z")], words)
+                offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("node"), pa.array(list(map(len, sets)), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))],
+                    names=["node", "n", "s"])
+    return run
+
+
+def _pairs_within(rows: DataFrame, key: str) -> DataFrame:
+    """(a, b) of different roots that share a ``key``, of ``rows`` (key, node, n, root)."""
+    other = rows.select(key, F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    return (rows.withColumnRenamed("node", "a").join(other, key)
+            .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & _alike("n", "n2")).select("a", "b").distinct())
+
+
+def _led(now: DataFrame) -> DataFrame:
+    """Each row of the lists (value, node, n, fame) with the ``lead`` (node, n) of its list.
+
+    A list's most famous member is put up; a class votes for the one that is put up most often in its lists, and a list is led by
+    the one with most votes. So a list that only far edited copies are in is led by the text that they are edited from.
+    """
+    most = lambda rows, key: (rows.groupBy(key, "lead").agg(F.count(F.lit(1)).alias("c")).groupBy(key)
+                              .agg(F.max(F.struct("c", "lead"))["lead"].alias("lead")))
+    up = now.groupBy("value").agg(F.max(F.struct("fame", "node", "n")).alias("m")).select("value", F.struct("m.node", "m.n").alias("lead"))
+    votes = most(now.select("value", "node").join(up, "value"), "node")
+    chosen = most(now.select("value", "node").join(votes, "node"), "value")
+    return now.select("value", "node", "n").join(chosen, "value")
+
+
+def _middles(near: DataFrame) -> DataFrame:
+    """(lead, better): the member that comes closer to all others than their leader does.
+
+    What most members differ in from the leader is the leader's own; the member nearest to the leader's set
+    without these differences is taken.
+    """
+    found = near.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("nb").alias("n"), "apart")
+    parts = found.select("lead", "node", F.explode("apart").alias("v"))
+    sizes = found.groupBy("lead").agg(F.count(F.lit(1)).alias("members"))
+    own = parts.groupBy("lead", "v").count().filter("count > 2").join(sizes, "lead").filter("2 * count > members").select("lead", "v")
+    gain = parts.join(own, ["lead", "v"]).groupBy("lead", "node").agg(F.count(F.lit(1)).alias("gain"))
+    nearer = found.join(gain, ["lead", "node"]).withColumn("d", F.size("apart") - 2 * F.col("gain")).filter("d < 0")
+    return nearer.groupBy("lead").agg(F.min(F.struct("d", "node", "n")).alias("m")).select("lead", F.struct("m.node", "m.n").alias("better"))
 
 
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
-    spark = classes.sparkSession
     lists = _postings(classes)
     shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
     lists = written(lists.join(shared, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
     texts = written(_texts(rows, wanted, kind, words), "texts")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * SIMILARITY
     n_lists = lists.count()
-    tested = spark.createDataFrame([], "a long, b long")
-    # how frequent the values of a class are: most of all for texts that others are edited from
-    roots = written(lists.groupBy("node").agg(F.sum("count").alias("fame")).select("node", F.col("node").alias("root"), "fame"), "roots")
-    before = None
+    roots = written(lists.groupBy("node").agg(F.max("fame").alias("fame")).select("node", F.col("node").alias("root"), "fame"), "roots")
+    lists, before, short = lists.select("value", "node", "n"), None, []
     for step in range(ROUNDS + 1):
         now = lists.join(roots, "node").select("value", "node", "n", "root", "fame")
         counts = now.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_lists = counts.groupBy("value").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).filter("p > 0")
-        open_lists = written(open_lists, "open")
-        open_pairs = (open_lists.agg(F.sum("p")).first()[0] or 0) // 2
-        if not open_pairs:
+        open_lists = counts.groupBy("value").agg(F.sum("c").alias("members"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).filter("p > 0")
+        now = now.join(open_lists, "value")
+        short.append(written(now.filter(F.col("members") <= SHORT).select("value", "node", "n"), "short"))
+        now = written(now.filter(F.col("members") > SHORT).drop("members"), "now")
+        open_pairs = (now.select("value", "p").distinct().agg(F.sum("p")).first()[0] or 0) // 2
+        # leaders help while they take classes from lists
+        if not open_pairs or step == ROUNDS or step and (open_pairs <= n_lists or open_pairs > 0.8 * before):
             break
-        now = now.join(open_lists.select("value"), "value")
-        # leaders help while they merge what lists hold; the rest is tested pair by pair
-        last = step == ROUNDS or step > 1 and (open_pairs <= n_lists or open_pairs > 0.8 * before)
         before = open_pairs
-        if last:
-            other = now.select("value", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-            pairs = (now.withColumnRenamed("node", "a").join(other, "value")
-                     .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & alike("n", "n2")).select("a", "b"))
-        else:
-            drawn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(8 if step else 1))
-            rank = F.struct(drawn.alias("d"), (-F.col("fame")).alias("f"), "node", "root", "n")
-            leaders = now.groupBy("value").agg(F.min(rank).alias("lead"))
-            pairs = now.join(leaders, "value").filter((F.col("lead.root") != F.col("root")) & alike("n", "lead.n")).select(
-                F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(pairs)
-        ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        joined = _links(_likely(pairs, classes), texts, words).join(ends("a"), "a").join(ends("b"), "b")
-        moved = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        roots = written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-                        .select("node", F.coalesce("to", "root").alias("root"), "fame"), "roots")
-        if last:
-            break
-    return roots.select("node", "root")
+        led = written(_led(now), "led")
+        compared = lambda rows: _links(_likely(
+            rows.filter((F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", RANGE))
+            .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), classes, RANGE), texts, words, RANGE, True)
+        near = written(compared(led), "near")
+        middles = written(_middles(near), "middles")
+        moved = led.join(middles, led["lead"]["node"] == middles["lead"]).select("value", "node", "n", F.col("better").alias("lead"))
+        kept = led.join(middles, led["lead"]["node"] == middles["lead"], "left_anti")
+        near = written(near.join(middles.select(F.col("lead").alias("a")), "a", "left_anti").select(*near.columns).union(compared(moved)), "near")
+        led = kept.union(moved).filter("node <> lead.node")
+        union = F.col("na") + F.col("nb") - F.col("shared")
+        roots = _merged(roots, near.filter(100 * F.col("shared") >= SIMILARITY * union))
+        pairs = written(_shared_differences(near, roots), "pairs")
+        roots = _merged(roots, _links(_likely(pairs, classes), texts, words))
+        core = near.filter(100 * F.col("shared") >= CORE * union).select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
+        lists = written(led.select("value", "node", "n", F.col("lead.node").alias("lead")).join(core, ["lead", "node"], "left_anti").select("value", "node", "n"), "lists")
+    few = reduce(DataFrame.union, short).join(roots.select("node", "root"), "node")
+    pairs = _likely(_pairs_within(few, "value"), classes)
+    rest = written(now.select("node").distinct(), "rest")
+    if not rest.isEmpty():
+        full = texts.join(rest, "node").mapInArrow(_full_sets(words), "node long, n long, s array<bigint>").select("node", "n", F.explode("s").alias("v"))
+        listed = _placed(full, ["node"], []).filter(100 * F.col("place") >= SIMILARITY * F.col("n")).join(roots.select("node", "root"), "node")
+        pairs = pairs.union(_likely(_pairs_within(listed.select("v", "node", "n", "root"), "v"), classes))
+    return _merged(roots, _links(written(pairs.distinct(), "pairs"), texts, words)).select("node", "root")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -123,3 +123,29 @@ def test_links_of_one_long_list(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
     assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
+
+
+def test_edited_copies_propose_few_pairs_and_lose_no_link(spark, monkeypatch):
+    # copies edited so far that many do not link with their source; there are 7140 pairs
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(100):
+        w = list(base)
+        for i in rnd.sample(range(120), rnd.randint(1, 16)):
+            w[i] = f"x{rnd.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    for k in range(20):  # edited once more: these link with a copy, if not with the source
+        w = texts[k].split()
+        w[rnd.randrange(120)] = "again"
+        texts.append(" ".join(w))
+    proposed, within, differences = [], N._pairs_within, N._shared_differences
+    count = lambda pairs: proposed.append(pairs.count()) or pairs
+    monkeypatch.setattr(N, "SHORT", 2)
+    monkeypatch.setattr(N, "_pairs_within", lambda *a: count(within(*a)))
+    monkeypatch.setattr(N, "_shared_differences", lambda *a: count(differences(*a)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
+    want = [least for _, least in brute_force(texts, 2)]
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) > 10 and sum(proposed) < 7140 / 5
