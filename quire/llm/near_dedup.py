@@ -16,7 +16,8 @@ text differ little, and two of them that do not both link with the leader can on
 these differences (``_shared_differences``), so inverted lists of the rarest differences propose their pairs. That is exact for members of
 similarity ``CORE`` or more with whatever they link with, which by the triangle inequality of the Jaccard
 distance has ``RANGE`` or more with the leader. They leave the list. After the rounds, short lists emit what they still hold, and classes of
-longer ones are listed by the rarest shingles of their full sets.
+longer ones are listed again by the rarest values of their whole sketches, by the same margin, and those that long lists still hold by
+the rarest shingles of their full sets.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import cut_lineage, documents, fresh, text_or_empty, written
+from .common import documents, fresh, text_or_empty, written
 from .graph import components
 from .registry import register
 
@@ -44,6 +45,7 @@ MARGIN = 6         # standard deviations that the number of shared values may fa
 ROUNDS = 6         # of leaders, at most
 CORE = 50          # percent, with the leader, from which all links of a class are found through it
 RANGE = 30         # percent: CORE less what the distance of two linked classes may be
+LEAST_LED = 0.25   # of the classes in long lists, that have to come near a leader for a round to go on
 SHORT = 32         # members up to which a list emits pairs
 SLICE_BYTES = 1 << 20
 
@@ -295,7 +297,7 @@ def _middles(near: DataFrame) -> DataFrame:
 
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
-    lists = _postings(classes)
+    lists = written(_postings(classes), "postings")
     shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
     lists = written(lists.join(shared, "value"), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
@@ -316,10 +318,12 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
             break
         before = open_pairs
         led = written(_led(now), "led")
-        compared = lambda rows: _links(_likely(
+        compared = lambda rows: _links(_likely(written(
             rows.filter((F.col("node") != F.col("lead.node")) & _alike("n", "lead.n", RANGE))
-            .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), classes, RANGE), texts, words, RANGE, True)
+            .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "led-pairs"), classes, RANGE), texts, words, RANGE, True)
         near = written(compared(led), "near")
+        if near.select("b").distinct().count() < LEAST_LED * now.select("node").distinct().count():
+            break
         middles = written(_middles(near), "middles")
         moved = led.join(middles, led["lead"]["node"] == middles["lead"]).select("value", "node", "n", F.col("better").alias("lead"))
         kept = led.join(middles, led["lead"]["node"] == middles["lead"], "left_anti")
@@ -332,13 +336,21 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
         core = near.filter(100 * F.col("shared") >= CORE * union).select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
         lists = written(led.select("value", "node", "n", F.col("lead.node").alias("lead")).join(core, ["lead", "node"], "left_anti").select("value", "node", "n"), "lists")
     few = reduce(DataFrame.union, short).join(roots.select("node", "root"), "node")
-    pairs = _likely(_pairs_within(few, "value"), classes)
+    pairs = _pairs_within(few, "value")
     rest = written(now.select("node").distinct(), "rest")
     if not rest.isEmpty():
-        full = texts.join(rest, "node").mapInArrow(_full_sets(words), "node long, n long, s array<bigint>").select("node", "n", F.explode("s").alias("v"))
-        listed = _placed(full, ["node"], []).filter(100 * F.col("place") >= SIMILARITY * F.col("n")).join(roots.select("node", "root"), "node")
-        pairs = pairs.union(_likely(_pairs_within(listed.select("v", "node", "n", "root"), "v"), classes))
-    return _merged(roots, _links(written(pairs.distinct(), "pairs"), texts, words)).select("node", "root")
+        held = classes.join(rest, "node").select("node", "n", F.explode("sketch").alias("v"))
+        again = _placed(held, ["node"], []).filter(F.col("place") >= _needed(F.least("n", F.lit(SKETCH)))).join(roots.select("node", "root"), "node")
+        again = written(again.select("v", "node", "n", "root"), "again")
+        still = written(again.groupBy("v").agg(F.count(F.lit(1)).alias("c"), (F.min("root") < F.max("root")).alias("open")).filter(f"c > {SHORT} and open").select("v"), "still")
+        pairs = pairs.union(_pairs_within(again.join(still, "v", "left_anti"), "v"))
+        rest = written(again.join(still, "v").select("node").distinct(), "rest")
+        if not rest.isEmpty():
+            full = texts.join(rest, "node").mapInArrow(_full_sets(words), "node long, n long, s array<bigint>").select("node", "n", F.explode("s").alias("v"))
+            listed = _placed(full, ["node"], []).filter(100 * F.col("place") >= SIMILARITY * F.col("n")).join(roots.select("node", "root"), "node")
+            pairs = pairs.union(_pairs_within(listed.select("v", "node", "n", "root"), "v"))
+    likely = written(_likely(written(pairs.distinct(), "pairs"), classes), "likely")
+    return _merged(roots, _links(likely, texts, words)).select("node", "root")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -353,11 +365,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = cut_lineage(texts.mapInArrow(_sketches(words), f"id {kind}, h long, n long, set binary, sketch array<bigint>"))
+    rows = written(texts.mapInArrow(_sketches(words), f"id {kind}, h long, n long, set binary, sketch array<bigint>"), "rows")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    classes = cut_lineage(rows.filter("n > 0").groupBy("set")
-                          .agg(F.min(first).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-                          .withColumn("node", F.monotonically_increasing_id()))
+    classes = written(rows.filter("n > 0").groupBy("set")
+                      .agg(F.min(first).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+                      .withColumn("node", F.monotonically_increasing_id()), "classes")
     roots = link_classes(classes, texts, kind, words)
     grouped = classes.select("node", "set", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("best"))

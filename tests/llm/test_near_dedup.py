@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from quire.llm import graph
 from quire.llm import near_dedup as N
 from quire.llm.graph import components
 
@@ -149,3 +150,31 @@ def test_edited_copies_propose_few_pairs_and_lose_no_link(spark, monkeypatch):
     want = [least for _, least in brute_force(texts, 2)]
     assert [got[i] for i in range(len(texts))] == want
     assert len(set(want)) > 10 and sum(proposed) < 7140 / 5
+
+
+def test_rows_with_a_common_passage_are_not_listed_by_full_sets(spark, monkeypatch):
+    # the passage is a third of each text, so that long lists hold all of them
+    rnd = random.Random(7)
+    passage = [f"p{i}" for i in range(42)]
+    texts = [" ".join([*passage, *(f"x{rnd.randrange(10 ** 6)}" for _ in range(78))]) for _ in range(72)]
+    texts += [t + " again" for t in texts[:4]]
+    monkeypatch.setattr(N, "_full_sets", lambda words: pytest.fail("full sets were listed"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
+    assert [got[i] for i in range(len(texts))] == [least for _, least in brute_force(texts, 2)]
+
+
+@pytest.mark.parametrize("few", [0, 7, 10_000])
+def test_few_edges_are_contracted_at_once(spark, monkeypatch, few):
+    rnd, steps, real = random.Random(few), [], graph.written
+    edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)]
+    want = list(range(80))
+    for a, b in edges:
+        a, b = want[a], want[b]
+        want = [min(a, b) if x in (a, b) else x for x in want]
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "written", lambda df, name: steps.append(name) or real(df, name))
+    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {a: roots[a] for e in edges for a in e if e[0] != e[1]}
+    assert roots == linked and all((roots[a] == roots[b]) == (want[a] == want[b]) for a in roots for b in roots)
+    assert few < 60 or steps == ["edges", "roots"]
