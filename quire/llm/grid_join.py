@@ -6,8 +6,11 @@ ones. The sequence is cut into blocks, and an interval tree over the blocks keep
 interval, the box of the leading coordinates and the range of the norm of
 the rest. Pairs of intervals are joined recursively from the root: a pair whose
 boxes and norms are provably farther apart than the limit is skipped with
-all that lies below it. Pairs of blocks that remain are compared in double precision, again by
-parts. A pair of blocks returns how many links each vector has and edges that span
+all that lies below it. Blocks lie in the shared folder once, and a task reads two slices of them and compares the pairs of
+blocks between them that remain, again by parts. On vectors spread evenly hardly a pair goes, so nothing is
+shuffled by pairs. A first product of the axes that hold half of the length, and of the norms of the rest, bounds
+the cosine from above, and what reaches the limit by it is compared in double precision.
+A pair of blocks returns how many links each vector has and edges that span
 its connected vectors, never all its links.
 """
 
@@ -20,61 +23,55 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut_lineage, table
+from .common import cut_lineage, table, written
 from .graph import components
 from .registry import register
+from .vectors import binaries, by_length
 
 COSINE = 0.9
 AXES = 8         # leading principal dimensions that order and bound
-BLOCK = 2048     # vectors of a block
+BLOCK = 8192     # vectors of a block
 PART = 512       # vectors compared at once within a block
 FAN = 8          # children of an interval
 SLACK = 1e-9     # of squared distances, against rounding in the bounds only
+SLICE_BYTES = 64 << 20  # of the blocks that a task holds while others pass by
+BATCH_BYTES = 8 << 20   # of the pairs of blocks that go to Python at once
 
 
-def unit_rows(values: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which of the lists they are. Lists that are null, zero, of
-    another length, or hold null or non-finite components are left out."""
-    keep, rows = [], []
-    for i, v in enumerate(values):
-        x = v.as_py()
-        if x is not None and len(x) == dimension and None not in x:
-            keep.append(i)
-            rows.append(x)
-    x = np.array(rows, np.float64).reshape(len(rows), dimension)
-    good = np.isfinite(x).all(1) & (x != 0).any(1)
-    x, keep = x[good], np.array(keep, np.int64)[good]
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """The rows, none of them zero, as unit vectors in double precision."""
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True, initial=0)
-    return x / np.sqrt((x * x).sum(1, keepdims=True)), keep
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _units(vectors: DataFrame, dimension: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, keep = unit_rows(batch.column("v"), dimension)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(keep)), pa.array([r.tobytes() for r in x], pa.binary())],
-                                             names=["node", "x"])
-    return vectors.mapInArrow(run, "node long, x binary")
-
+def _usable(batch: pa.RecordBatch, dimension: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix) of the vectors of one length that are not zero and hold finite numbers only."""
+    for at, x in by_length(batch.column("v")):
+        if x.shape[1] == dimension and x.any():
+            yield at[x.any(1)], x[x.any(1)]
 
-def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dimension)
 
-
-def principal_axes(units: DataFrame, dimension: int, axes: int = AXES) -> np.ndarray:
-    """The leading eigenvectors of the sum of outer products; only its dimension**2 entries reach the driver."""
+def principal_axes(vectors: DataFrame, dimension: int) -> np.ndarray:
+    """The leading eigenvectors of the sum of outer products, ``AXES`` or as many as hold the length that the first one holds and half of
+    the remaining; only dimension**2 entries reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dimension, dimension))
         for batch in batches:
-            x = _matrix(batch.column("x"), dimension)
-            total += x.T @ x
+            for _, x in _usable(batch, dimension):
+                x = unit_rows(x)
+                total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimension ** 2)), pa.array(total.ravel())], names=["k", "s"])
 
     total = np.zeros(dimension ** 2)
-    for r in units.mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+    for r in vectors.select("v").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
         total[r.k] = r.s
-    return np.linalg.eigh(total.reshape(dimension, dimension))[1][:, ::-1][:, :axes].copy()
+    held, axes = np.linalg.eigh(total.reshape(dimension, dimension))
+    held, axes = held[::-1], axes[:, ::-1]
+    enough = 1 + int(np.searchsorted(np.cumsum(held), (held.sum() + held[0]) / 2))
+    return axes[:, :min(dimension, max(AXES, enough))].copy()
 
 
 def box_of(low: np.ndarray, rest: np.ndarray) -> list[float]:
@@ -82,14 +79,17 @@ def box_of(low: np.ndarray, rest: np.ndarray) -> list[float]:
     return [*low.min(0).tolist(), float(rest.min()), *low.max(0).tolist(), float(rest.max())]
 
 
-def _blocks(units: DataFrame, axes: np.ndarray, width: float, block: int) -> DataFrame:
-    """The sequence in grid order as rows (part, place, nodes, x, rest, box): ``block`` vectors each."""
-    dimension, k = axes.shape
+def _blocks(vectors: DataFrame, kind: str, axes: np.ndarray, width: float, block: int, parts: int) -> DataFrame:
+    """The sequence in grid order as rows (part, place, nodes, x, box): ``block`` vectors each, as they were given, of type ``kind``."""
+    dimension = len(axes)
+    lead = axes[:, :AXES]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = np.floor(_matrix(batch.column("x"), dimension) @ axes / width).astype(np.int64) + (1 << 20)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.astype(">u4").tobytes() for r in low], pa.binary())], names=["node", "x", "cell"])
+            for at, x in _usable(batch, dimension):
+                low = np.floor(unit_rows(x) @ lead / width).astype(np.int64) + (1 << 20)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at)), binaries(x.astype(kind)), binaries(low.astype(">u4"))],
+                                                 names=["node", "x", "cell"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -98,12 +98,12 @@ def _blocks(units: DataFrame, axes: np.ndarray, width: float, block: int) -> Dat
 
         def made(n):
             nonlocal nodes, rows, place
-            x = np.frombuffer(b"".join(rows[:n]), np.float64).reshape(-1, dimension)
-            low = x @ axes
+            x = b"".join(rows[:n])
+            low = unit_rows(np.frombuffer(x, kind).reshape(-1, dimension)) @ lead
             rest = np.sqrt(np.maximum(0, 1 - (low * low).sum(1)))
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([np.array(nodes[:n], np.int64).tobytes()], pa.binary()),
-                 pa.array([x.tobytes()], pa.binary()), pa.array([box_of(low, rest)], pa.list_(pa.float64()))],
+                 pa.array([x], pa.binary()), pa.array([box_of(low, rest)], pa.list_(pa.float64()))],
                 names=["part", "place", "nodes", "x", "box"])
             nodes, rows, place = nodes[n:], rows[n:], place + 1
             return out
@@ -116,8 +116,7 @@ def _blocks(units: DataFrame, axes: np.ndarray, width: float, block: int) -> Dat
         if rows:
             yield made(len(rows))
 
-    placed = units.mapInArrow(cells, "node long, x binary, cell binary")
-    parts = max(1, -(-units.count() // block))  # about a block each, so that blocks are not cut small
+    placed = vectors.mapInArrow(cells, "node long, x binary, cell binary")
     return (placed.repartitionByRange(parts, "cell", "node").sortWithinPartitions("cell", "node").select("node", "x")
             .mapInArrow(cut, "part int, place int, nodes binary, x binary, box array<double>"))
 
@@ -169,33 +168,45 @@ def spanning(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def compare(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, cosine: float, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
-    """Links within x (y is None) or between x and y: links of each vector of x, then of y, and component labels
-    (the least position). Parts that are provably apart are skipped."""
-    own, n = y is None, len(x)
-    y = x if own else y
-    shift = 0 if own else n
-    count, u, v = np.zeros(shift + len(y), np.int64), [], []
+def faced(x: np.ndarray, axes: np.ndarray, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, their coordinates on the axes with the norm of the rest in single precision, and the boxes of their parts."""
+    low = x @ axes
+    rest = lambda m: np.sqrt(np.maximum(0, 1 - (m * m).sum(1)))
+    lead, others = low[:, :AXES], rest(low[:, :AXES])
+    boxes = [box_of(lead[i:i + part], others[i:i + part]) for i in range(0, len(x), part)]
+    return x, np.concatenate((low, rest(low)[:, None]), 1).astype(np.float32), np.array(boxes)
 
-    def boxes(m):
-        low = m @ axes
-        rest = np.sqrt(np.maximum(0, 1 - (low * low).sum(1)))
-        return np.array([box_of(low[i:i + part], rest[i:i + part]) for i in range(0, len(m), part)])
 
-    bx, by = boxes(x), boxes(y)
+def _cosines(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The products of rows ``r`` of x with rows ``c`` of y."""
+    if 8 * len(r) > len(x) * len(y):
+        return (x @ y.T)[r, c]
+    step = max(1, (1 << 21) // x.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", x[r[k:k + step]], y[c[k:k + step]]) for k in range(0, len(r), step)])
+
+
+def compare_faced(one: tuple, other: tuple | None, cosine: float, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`compare` of what :func:`faced` returns."""
+    own, n = other is None, len(one[0])
+    (x, sx, bx), (y, sy, by) = one, one if own else other
+    shift = 0 if own else n
+    count, u, v = np.zeros(shift + len(y), np.int64), [], []
     k = bx.shape[1] // 2
+    least = np.float32(cosine - sx.shape[1] * 2.0 ** -21)  # against rounding in single precision
     for i in range(len(bx)):
         gap = np.maximum(np.maximum(bx[i, :k] - by[:, k:], by[:, :k] - bx[i, k:]), 0)
         for j in np.flatnonzero((gap * gap).sum(1) <= 2 - 2 * cosine + SLACK):
             if own and j < i:
                 continue
             a, b = i * part, j * part
-            near = x[a:a + part] @ y[b:b + part].T >= cosine
+            bound = sx[a:a + part] @ sy[b:b + part].T
+            r, c = np.divmod(np.flatnonzero(bound >= least), bound.shape[1])
             if own and i == j:
-                near = np.triu(near, 1)
-            if near.any():
-                r, c = np.nonzero(near)
-                r, c = r + a, c + b + shift
+                r, c = r[r < c], c[r < c]
+            if len(r):
+                near = _cosines(x[a:a + part], y[b:b + part], r, c) >= cosine
+                r, c = r[near] + a, c[near] + b + shift
+            if len(r):
                 np.add.at(count, r, 1)
                 np.add.at(count, c, 1)
                 label = spanning(r, c, len(count))
@@ -205,36 +216,55 @@ def compare(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, cosine: float
     return count, spanning(np.concatenate(u), np.concatenate(v), len(count)) if u else np.arange(len(count))
 
 
-def _compare_rows(axes: np.ndarray, cosine: float):
-    dimension = len(axes)
+def compare(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, cosine: float, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Links within x (y is None) or between x and y: links of each vector of x, then of y, and component labels
+    (the least position). Parts that are provably apart are skipped."""
+    return compare_faced(faced(x, axes, part), None if y is None else faced(y, axes, part), cosine, part)
+
 
+def _compare_rows(kind: str, axes: np.ndarray, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, one = None, None
+        face = lambda v: faced(unit_rows(np.frombuffer(v.as_py(), kind).reshape(-1, len(axes))), axes)
         for batch in batches:
             for a, b, na, nb, xa, xb in zip(*(batch.column(c) for c in ("a", "b", "na", "nb", "xa", "xb"))):
                 own = a.as_py() == b.as_py()
+                if a.as_py() != held:
+                    held, one = a.as_py(), face(xa)
                 nodes = np.frombuffer(na.as_py() + (b"" if own else nb.as_py()), np.int64)
-                x, y = (np.frombuffer(v.as_py(), np.float64).reshape(-1, dimension) for v in (xa, xb))
-                count, label = compare(x, None if own else y, axes, cosine)
+                count, label = compare_faced(one, None if own else face(xb), cosine)
                 some = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]]), pa.array(count[some])], names=["node", "to", "n"])
     return run
 
 
-def _met(rows: DataFrame, dimension: int, cosine: float, block: int) -> DataFrame:
+def _met(rows: DataFrame, dimension: int, count: int, cosine: float, block: int) -> DataFrame:
     """(node, to, n): links of the vectors of one length by pairs of blocks; edges to ``to`` span each pair's connected vectors."""
-    units = cut_lineage(_units(rows, dimension))
-    axes = principal_axes(units, dimension, min(AXES, dimension))
+    vectors = rows.filter(F.size("v") == dimension)
+    kind = "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+    axes = principal_axes(vectors, dimension)
     limit = 2 - 2 * cosine
-    blocks = cut_lineage(_blocks(units, axes, float(np.sqrt(limit)) / 4, block))
+    # each two slices are a task, about half of which have pairs
+    slices = max(-(-count * dimension * int(kind[-1]) // SLICE_BYTES), int(np.ceil(np.sqrt(8 * rows.sparkSession.sparkContext.defaultParallelism))))
+    parts = max(min(slices, -(-count // block)), -(-count // (8 * block)))
+    blocks = written(_blocks(vectors, kind, axes, float(np.sqrt(limit)) / 4, block, parts), "blocks")
     sizes = blocks.groupBy("part").agg(F.count(F.lit(1)).alias("c"))  # a row per task
     before = sizes.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
-    blocks = blocks.join(F.broadcast(before), "part").withColumn("i", F.col("before") + F.col("place")).drop("part", "place", "before")
+    blocks = blocks.join(F.broadcast(cut_lineage(before)), "part").withColumn("i", F.col("before") + F.col("place")).drop("part", "place", "before")
     boxes = cut_lineage(blocks.select("i", F.floor(F.col("i") / FAN).alias("parent"), "box"))
-    pairs = _block_pairs(boxes, boxes.count(), axes.shape[1], limit)
-    other = blocks.select(F.col("i").alias("b"), F.col("nodes").alias("nb"), F.col("x").alias("xb"))
-    own = blocks.select(F.col("i").alias("a"), F.col("nodes").alias("na"), F.col("x").alias("xa"))
-    sides = pairs.join(other, "b").join(own, "a")
-    return cut_lineage(sides.mapInArrow(_compare_rows(axes, cosine), "node long, to long, n long"))
+    pairs = _block_pairs(boxes, boxes.count(), min(AXES, axes.shape[1]), limit)
+    meets = written(pairs.groupBy("a").agg(F.collect_list("b").alias("meets")), "meets")  # numbers of blocks
+    own = blocks.join(meets, F.col("i") == F.col("a")).select("a", F.col("nodes").alias("na"), F.col("x").alias("xa"), "meets").coalesce(slices)
+    other = blocks.select(F.col("i").alias("b"), F.col("nodes").alias("nb"), F.col("x").alias("xb")).coalesce(slices)
+    sides = own.join(other, F.array_contains("meets", F.col("b"))).drop("meets")
+    met = sides.mapInArrow(_compare_rows(kind, axes, cosine), "node long, to long, n long")
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = conf.get(key)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return cut_lineage(met)
+    finally:
+        conf.set(key, given)
 
 
 def grid_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
@@ -250,11 +280,13 @@ def grid_join(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = cut_lineage(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.monotonically_increasing_id().alias("node")))
+    single = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = written(vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.monotonically_increasing_id().alias("node")), "vectors")
     sizes = rows.filter("v is not null").groupBy(F.size("v").alias("d")).count().filter("d > 0 and count > 1").orderBy("d").collect()
     met = spark.createDataFrame([], "node long, to long, n long")
     for r in sizes:  # a row per vector length that two vectors have
-        met = met.union(_met(rows.select("node", "v"), r.d, cosine, block))
+        met = met.union(_met(rows.select("node", "v"), r.d, r["count"], cosine, block))
     links = met.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))
     whole = rows.select("node", "id").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -85,3 +85,28 @@ def test_each_length_is_joined(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0]), (7, [])]
     got = G.grid_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 0, 7)]
+
+
+def test_blocks_are_not_shuffled_by_pairs(spark, monkeypatch):
+    # spread evenly, so that all pairs of blocks are compared
+    vectors = np.random.default_rng(2).normal(size=(400, 24))
+    plans, real = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in G.grid_join(docs, block=16).collect()) == brute_force(list(range(400)), vectors.tolist(), 0.9)
+    compared = [p for p in plans if "xa#" in p]
+    assert compared and not any("Exchange hashpartitioning" in p for p in compared)
+
+
+def test_bound_by_the_leading_axes_loses_no_link():
+    rng = np.random.default_rng(8)
+    for shift in (0, 1.5):  # without and with a mean that makes most of the length
+        x = np.concatenate([rng.normal(size=64) + rng.normal(size=(40, 64)) * s for s in (0.02, 0.2, 0.33, 1)] + [rng.normal(size=(300, 64))]) + shift
+        x = G.unit_rows(x)
+        axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+        near = x @ x.T >= 0.9
+        for k in (1, 8, 32, 64):
+            count, label = G.compare(x, None, axes[:, :k], 0.9, part=64)
+            assert (count == near.sum(1) - 1).all()
+            a, b = G.compare(x[:200], x[200:], axes[:, :k], 0.9, part=64)
+            assert (a == np.concatenate((near[:200, 200:].sum(1), near[:200, 200:].sum(0)))).all()
