@@ -6,11 +6,14 @@
    sketch are listed: two classes that reach the similarity share so many
    retained values that one of these is among the rarest of both (``_needed``). Sets that fit the
    sketch as a whole are listed by the exact bound.
+   In a larger table a value is in more texts that have nothing else in common, so only lists of up to ``MET`` members propose their pairs at
+   once. Classes of longer ones are listed by the *runs of three* values that follow each other in their sketches: of 48 values of a
+   union, each in both sketches with probability 0.8, three in a row are so but for 4e-8 (``_runs``).
 3. Pairs pass the *union-sketch estimate*: among the least values of both sketches together,
    the share of those in both, with a margin of five standard deviations.
 4. The *exact Jaccard* of the full sets decides each link.
 
-A list does not emit all its pairs. In each round it compares its members with one leader, the class whose
+A list of runs does not emit all its pairs. In each round it compares its members with one leader, the class whose
 values are the most frequent ones, and keeps how each near member's set *differs* from the leader's. Edited copies of one
 text differ little, and two of them that do not both link with the leader can only link if they share many of
 these differences (``_shared_differences``), so inverted lists of the rarest differences propose their pairs. That is exact for members of
@@ -46,7 +49,8 @@ ROUNDS = 6         # of leaders, at most
 CORE = 50          # percent, with the leader, from which all links of a class are found through it
 RANGE = 30         # percent: CORE less what the distance of two linked classes may be
 LEAST_LED = 0.25   # of the classes in long lists, that have to come near a leader for a round to go on
-SHORT = 32         # members up to which a list emits pairs
+MET = 4            # members up to which a list of one value emits pairs
+SHORT = 32         # members up to which a list of runs emits pairs
 SLICE_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
@@ -131,6 +135,29 @@ def _postings(classes: DataFrame) -> DataFrame:
             .select("value", "node", "n", "fame"))
 
 
+def _runs(classes: DataFrame) -> DataFrame:
+    """(value, node, n) for each run of three values that follow each other in the sketch of a class, of runs that two classes have.
+
+    A set that fits the sketch is there as a whole; sets that differ by a fifth of their union at most have a run in common then, but
+    for one of four shingles in one of five, which have two in a row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sketch")
+            v, sizes = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            two = rolling.mix(rolling.mix(v[:-1]) + v[1:])
+            three = rolling.mix(two[:-1] + v[2:])
+            i, j = np.flatnonzero(at[2:] == at[:-2]), np.flatnonzero((at[1:] == at[:-1]) & (sizes[at[1:]] <= 5))
+            of = np.concatenate((at[i], at[j]))
+            value = (np.concatenate((three[i], two[j])) >> np.uint64(1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(value), batch.column("node").take(pa.array(of)), batch.column("n").take(pa.array(of))],
+                                             names=["value", "node", "n"])
+
+    rows = classes.select("node", "n", "sketch").mapInArrow(run, "value long, node long, n long")
+    return rows.join(rows.groupBy("value").count().filter("count > 1").select("value"), "value")
+
+
 def _texts(rows: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, z): the compressed text of one row of each wanted class (node, rep, set)."""
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,20 +325,27 @@ def _middles(near: DataFrame) -> DataFrame:
 def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) -> DataFrame:
     """(node, root) of the classes that share a list with another one; linked ones have one root."""
     lists = written(_postings(classes), "postings")
-    shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("value")
+    shared = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     lists = written(lists.join(shared, "value"), "lists")
-    wanted = classes.join(lists.select("node").distinct(), "node").select("node", "rep")
-    texts = written(_texts(rows, wanted, kind, words), "texts")
-    n_lists = lists.count()
     roots = written(lists.groupBy("node").agg(F.max("fame").alias("fame")).select("node", F.col("node").alias("root"), "fame"), "roots")
-    lists, before, short = lists.select("value", "node", "n"), None, []
+    met = _pairs_within(lists.filter(F.col("c") <= MET).select("value", "node", "n", F.col("node").alias("root")), "value")
+    many = written(lists.filter(F.col("c") > MET).select("node").distinct(), "many")
+    lists = written(_runs(classes.join(many, "node", "left_semi")), "runs")
+    n_lists, before, short = lists.count(), None, []
     for step in range(ROUNDS + 1):
         now = lists.join(roots, "node").select("value", "node", "n", "root", "fame")
         counts = now.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
         open_lists = counts.groupBy("value").agg(F.sum("c").alias("members"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("p")).filter("p > 0")
         now = now.join(open_lists, "value")
-        short.append(written(now.filter(F.col("members") <= SHORT).select("value", "node", "n"), "short"))
+        few = written(now.filter(F.col("members") <= SHORT).select("value", "node", "n"), "short")
         now = written(now.filter(F.col("members") > SHORT).drop("members"), "now")
+        if step:
+            short.append(few)
+        else:
+            pairs = met.union(_pairs_within(few.withColumn("root", F.col("node")), "value")).distinct()
+            first = written(_likely(written(pairs, "pairs"), classes), "likely")
+            wanted = first.select(F.col("a").alias("node")).union(first.select("b")).union(now.select("node")).distinct()
+            texts = written(_texts(rows, classes.join(wanted, "node").select("node", "rep"), kind, words), "texts")
         open_pairs = (now.select("value", "p").distinct().agg(F.sum("p")).first()[0] or 0) // 2
         # leaders help while they take classes from lists
         if not open_pairs or step == ROUNDS or step and (open_pairs <= n_lists or open_pairs > 0.8 * before):
@@ -335,8 +369,11 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
         roots = _merged(roots, _links(_likely(pairs, classes), texts, words))
         core = near.filter(100 * F.col("shared") >= CORE * union).select(F.col("a").alias("lead"), F.col("b").alias("node")).distinct()
         lists = written(led.select("value", "node", "n", F.col("lead.node").alias("lead")).join(core, ["lead", "node"], "left_anti").select("value", "node", "n"), "lists")
-    few = reduce(DataFrame.union, short).join(roots.select("node", "root"), "node")
-    pairs = _pairs_within(few, "value")
+    ends = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    first = first.join(ends("a"), "a").join(ends("b"), "b").filter("ra <> rb").select("a", "b")
+    pairs = first.limit(0)
+    if short:
+        pairs = _pairs_within(reduce(DataFrame.union, short).join(roots.select("node", "root"), "node"), "value")
     rest = written(now.select("node").distinct(), "rest")
     if not rest.isEmpty():
         held = classes.join(rest, "node").select("node", "n", F.explode("sketch").alias("v"))
@@ -349,7 +386,7 @@ def link_classes(classes: DataFrame, rows: DataFrame, kind: str, words: int) ->
             full = texts.join(rest, "node").mapInArrow(_full_sets(words), "node long, n long, s array<bigint>").select("node", "n", F.explode("s").alias("v"))
             listed = _placed(full, ["node"], []).filter(100 * F.col("place") >= SIMILARITY * F.col("n")).join(roots.select("node", "root"), "node")
             pairs = pairs.union(_pairs_within(listed.select("v", "node", "n", "root"), "v"))
-    likely = written(_likely(written(pairs.distinct(), "pairs"), classes), "likely")
+    likely = written(first.union(_likely(written(pairs.distinct(), "pairs"), classes)).distinct(), "likely")
     return _merged(roots, _links(likely, texts, words)).select("node", "root")
 
 

@@ -178,3 +178,34 @@ def test_few_edges_are_contracted_at_once(spark, monkeypatch, few):
     linked = {a: roots[a] for e in edges for a in e if e[0] != e[1]}
     assert roots == linked and all((roots[a] == roots[b]) == (want[a] == want[b]) for a in roots for b in roots)
     assert few < 60 or steps == ["edges", "roots"]
+
+
+def test_texts_that_share_frequent_shingles_only_propose_few_pairs(spark, monkeypatch):
+    # 900 shingles, each in about a tenth of the texts: nearly all of the 8385 pairs share one
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(30)}" for _ in range(100)) for _ in range(120)]
+    texts += [t.replace(" ", " once ", 1) for t in texts[:10]]
+    proposed, within = [], N._pairs_within
+    monkeypatch.setattr(N, "_pairs_within", lambda *a: proposed.append(within(*a).count()) or within(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.near_dedup(docs, words=2).collect()}
+    want = [least for _, least in brute_force(texts, 2)]
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(set(want)) == 120 and sum(proposed) < 8385 / 10
+
+
+def test_sets_that_reach_the_similarity_have_a_run_in_common(spark):
+    rnd, sets = random.Random(6), []
+    for k in range(5):  # four of five shingles, each one left out
+        sets.append(([10 * k + 1000 * i for i in range(5)], [10 * k + 1000 * i for i in range(5) if i != k]))
+    for _ in range(300):
+        union = rnd.sample(range(10 ** 6, 10 ** 9), rnd.randint(6, 100))
+        alone = rnd.sample(union, len(union) // 5)
+        cut = rnd.randint(0, len(alone))
+        sets.append(([v for v in union if v not in alone[:cut]], [v for v in union if v not in alone[cut:]]))
+    classes = [(i, len(s), sorted(s)[:N.SKETCH]) for i, s in enumerate(x for pair in sets for x in pair)]
+    found = {}
+    for r in N._runs(spark.createDataFrame(classes, "node long, n long, sketch array<bigint>")).collect():
+        assert r.n == classes[r.node][1]
+        found.setdefault(r.node, set()).add(r.value)
+    assert all(found[2 * k] & found[2 * k + 1] for k in range(len(sets)))
